@@ -13,13 +13,14 @@ Steps
   3. Classes that share such a member are candidates. They are partitioned into groups of
      similar sets: the smallest shingle hash names a family, and a family of more than
      ``GROUP`` classes is split by hash into as many groups as it needs.
-  4. Each group is opened once in a task of its own: exact links inside it. The centres
-     of the resulting parts of split families are grouped and linked again.
+  4. Each group of several classes is opened once: exact links inside it. The centres of
+     the resulting parts of split families are grouped and linked again.
   5. The token-group matrix holds, for each rare member, the groups having it, and is
      needed only for members that occur in two or more components. A class outside a
-     member's largest component queries the groups of that member. On opening, the
-     overlap with the union of the group's sets bounds the similarity with every member
-     of the group; only groups that reach ceil(0.9 n) are compared one by one.
+     member's largest component queries the groups of that member. The union of a group's
+     sets is kept as a bitmap of two bits or more a member; members of the query that fall
+     on an empty bit are in no set of the group, which bounds the overlap from above. Only
+     groups that reach ceil(0.9 n) are opened, that is read and compared exactly.
   6. Connected components over the links.
 
 A pair of different components has at least one side outside the member's largest
@@ -43,6 +44,7 @@ from quillon.store import Stages
 FREQUENCY_BUCKETS = 1 << 18
 GROUP = 128
 QUERIES = 512
+FETCH_BITS = 1 << 22
 THRESHOLD = 90  # per cent
 
 
@@ -83,7 +85,21 @@ def _key(members: np.ndarray, starts: np.ndarray) -> list[bytes]:
     return [raw[16 * i : 16 * i + 16] for i in range(len(starts))]
 
 
-_SIGNATURE = "doc_id long, n long, k binary, family long, rare array<long>"
+_SIGNATURE = "doc_id long, n long, k binary, family long, rare array<long>, bits binary"
+
+
+def _bit_lengths(n: np.ndarray) -> np.ndarray:
+    """Bits of the bitmap of a set of n: a power of two, 2 n at least."""
+    return np.where(n > 0, 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * n, 1)))).astype(np.int64), 0)
+
+
+def _bitmaps(row: np.ndarray, members: np.ndarray, n: np.ndarray) -> pa.Array:
+    lengths = _bit_lengths(n)
+    offsets = np.r_[0, np.cumsum(lengths)]
+    flags = np.zeros(offsets[-1], np.uint8)
+    flags[offsets[row] + (members & (lengths[row] - 1).astype(np.uint64)).astype(np.int64)] = 1
+    packed = np.packbits(flags, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((offsets // 8).astype(np.int32)), pa.py_buffer(packed)])
 
 
 def _signer(shingle: int, threshold: int, frequency):
@@ -109,8 +125,8 @@ def _signer(shingle: int, threshold: int, frequency):
                 rare = members[order][rank < take[row]]
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)].astype(np.int32)), pa.array(rare.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, end - first), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(family.view(np.int64)), lists],
-                    ["doc_id", "n", "k", "family", "rare"],
+                    [ids.slice(first, end - first), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(family.view(np.int64)), lists, _bitmaps(row, members, n)],
+                    ["doc_id", "n", "k", "family", "rare", "bits"],
                 )
 
     return sign
@@ -119,17 +135,14 @@ def _signer(shingle: int, threshold: int, frequency):
 class _Open:
     """Sets of a group, held as one array sorted by member."""
 
-    def __init__(self, texts: pa.Array, keys: list[bytes], shingle: int):
-        self.keys: list[bytes] = []
+    def __init__(self, texts: pa.Array, names: list[int], shingle: int):
+        self.names: list[int] = []
         found = []
         for first, end, row, members in _sets(texts, shingle):
             cuts = np.searchsorted(row, np.arange(end - first + 1))
             for i in range(end - first):
-                s = members[cuts[i] : cuts[i + 1]]
-                # a document id that repeats with another text is told apart by its key
-                if len(s) and _key(s, np.zeros(1, np.int64))[0] == keys[first + i]:
-                    self.keys.append(keys[first + i])
-                    found.append(s)
+                self.names.append(names[first + i])
+                found.append(members[cuts[i] : cuts[i + 1]])
         self.sets = found
         self.size = np.array([len(s) for s in found], np.int64)
 
@@ -139,20 +152,15 @@ class _Open:
         order = np.argsort(every, kind="stable")
         self.tokens, self.owner = every[order], owner[order]
 
-    def overlap(self, s: np.ndarray, threshold: int) -> np.ndarray | None:
-        """Shared members with each set, or None if the union of all is too far from s."""
+    def links(self, s: np.ndarray, threshold: int) -> np.ndarray:
+        """The sets that s links to; none is compared if the union of all is too far from s."""
         low = np.searchsorted(self.tokens, s, "left")
         n = np.searchsorted(self.tokens, s, "right") - low
-        if np.count_nonzero(n) < _least(len(s), threshold):
-            return None
+        if not len(s) or np.count_nonzero(n) < _least(len(s), threshold):
+            return np.zeros(0, np.int64)
         low, n = low[n > 0], n[n > 0]
         at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        return np.bincount(self.owner[at], minlength=len(self.sets))
-
-    def links(self, s: np.ndarray, threshold: int) -> np.ndarray:
-        shared = self.overlap(s, threshold)
-        if shared is None:
-            return np.zeros(0, np.int64)
+        shared = np.bincount(self.owner[at], minlength=len(self.sets))
         return np.flatnonzero((100 * shared >= threshold * (self.size + len(s) - shared)) & (shared > 0))
 
 
@@ -185,13 +193,14 @@ def _root(parent: list[int], i: int) -> int:
 
 
 def _inner(shingle: int, threshold: int):
-    """Columns g, k, text sorted by g: each k with the centre of its part of the group."""
+    """Columns g, c, text sorted by g: each c with the centre of its part of the group."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, 1):
             group = _Open(table.column(2), table.column(1).to_pylist(), shingle)
             n = len(group.sets)
-            parent, degree = list(range(n)), [0] * n
+            first = {name: i for i, name in reversed(list(enumerate(group.names)))}
+            parent, degree = [first[name] for name in group.names], [0] * n
             if n > 1:
                 group.index()
                 for i in range(n):
@@ -204,53 +213,108 @@ def _inner(shingle: int, threshold: int):
             best: dict[int, int] = {}
             for i in range(n):
                 r = _root(parent, i)
-                if r not in best or (degree[i], group.keys[i]) > (degree[best[r]], group.keys[best[r]]):
+                if r not in best or (degree[i], group.names[i]) > (degree[best[r]], group.names[best[r]]):
                     best[r] = i
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(group.keys, pa.binary()), pa.array([group.keys[best[_root(parent, i)]] for i in range(n)], pa.binary())],
-                ["k", "root"],
-            )
+            roots = [group.names[best[_root(parent, i)]] for i in first.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.int64()), pa.array(roots, pa.int64())], ["c", "root"])
 
     return link
 
 
+def _fold(bits: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0) if len(bits) > size else bits
+
+
+def _bound(threshold: int):
+    """Columns g, part, query, c, comp, n, bits sorted by the first three: (g, c) that may link."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current = None
+        unions: dict[int, list] = {}
+        for batch in batches:
+            keep_g, keep_c = [], []
+            for g, part, query, c, comp, n, bits in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (g, part) != current:
+                    current, unions = (g, part), {}
+                own = np.frombuffer(bits, np.uint8)
+                if not query:
+                    u = unions.setdefault(len(own), [np.zeros(len(own), np.uint8), n, n, comp])
+                    u[0] = u[0] | own
+                    u[1], u[2] = min(u[1], n), max(u[2], n)
+                    u[3] = comp if u[3] == comp else None
+                    continue
+                least = _least(n, threshold)
+                for size in (len(own) // 2, len(own), 2 * len(own)):
+                    u = unions.get(size)
+                    if u is None or u[3] == comp or 100 * u[2] < threshold * n or threshold * u[1] > 100 * n:
+                        continue
+                    small = min(size, len(own))
+                    missing = int(np.bitwise_count(_fold(own, small) & ~_fold(u[0], small)).sum())
+                    if n - missing >= least:
+                        keep_g.append(g)
+                        keep_c.append(c)
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(keep_g, pa.int64()), pa.array(keep_c, pa.int64())], ["g", "c"])
+
+    return check
+
+
 def _outer(shingle: int, threshold: int):
-    """Columns g, part, query, k, comp, text sorted by the first three: links of queries to members."""
+    """Columns g, part, query, c, comp, text sorted by the first three: links of queries to members."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, 2):
             asks = np.array(table.column(2).to_pylist())
             n = int(np.count_nonzero(asks == 0))
             comps = dict(zip(table.column(3).to_pylist(), table.column(4).to_pylist(), strict=True))
-            keys, texts = table.column(3).to_pylist(), table.column(5)
-            group = _Open(texts.slice(0, n), keys[:n], shingle)
-            queries = _Open(texts.slice(n), keys[n:], shingle)
+            names, texts = table.column(3).to_pylist(), table.column(5)
+            group = _Open(texts.slice(0, n), names[:n], shingle)
+            queries = _Open(texts.slice(n), names[n:], shingle)
             group.index()
             found = set()
-            for key, s in zip(queries.keys, queries.sets, strict=True):
+            for name, s in zip(queries.names, queries.sets, strict=True):
                 for j in group.links(s, threshold).tolist():
-                    a, b = comps[key], comps[group.keys[j]]
+                    a, b = comps[name], comps[group.names[j]]
                     if a != b:
                         found.add((min(a, b), max(a, b)))
             pairs = sorted(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["src", "dst"]
+                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["src", "dst"]
             )
 
     return link
 
 
-def _group_of(family: Column, key: Column, classes: Column, group: int) -> Column:
-    parts = F.ceil(classes / F.lit(float(group))).cast("long")
-    return F.xxhash64(family, F.pmod(F.xxhash64(key), parts))
+def _fetched(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) of the ids in ``wanted`` (column c), and some more.
+
+    A bitmap of FETCH_BITS over hashed ids (a fixed size) spares the shuffle most other
+    rows; the exact join follows.
+    """
+    slot = F.pmod(F.xxhash64(F.col("c")), F.lit(FETCH_BITS)).cast("int")
+    at = wanted.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)  # FETCH_BITS rows at most
+    flags = np.zeros(FETCH_BITS, bool)
+    flags[at] = True
+    spread = source.sparkSession.sparkContext.broadcast(np.packbits(flags, bitorder="little"))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = np.asarray(batch.column(0).fill_null(0))
+            keep = ((spread.value[i >> 3] >> (i & 7)) & 1).astype(bool)
+            if keep.any():
+                kept = batch.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(2)], ["doc_id", "text"])
+
+    slot = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(FETCH_BITS)).cast("int")
+    return source.where("doc_id is not null").select(slot.alias("slot"), "doc_id", "text").mapInArrow(some, "doc_id long, text string")
 
 
 def _grouped(nodes: DataFrame, group: int) -> DataFrame:
-    """nodes(k, family, ...) with g, and ``split``: whether the family has more groups."""
+    """nodes(c, family, ...) with the group g, the family's classes, and ``split``: whether it has more groups."""
     sizes = nodes.groupBy("family").agg(F.count("*").alias("classes"))
-    return nodes.join(sizes, "family").select(
-        _group_of(F.col("family"), F.col("k"), F.col("classes"), group).alias("g"), nodes["*"], (F.col("classes") > group).alias("split")
-    )
+    parts = F.ceil(F.col("classes") / F.lit(float(group))).cast("long")
+    g = F.xxhash64("family", F.pmod(F.xxhash64("c"), parts))
+    return nodes.join(sizes, "family").select(g.alias("g"), nodes["*"], "classes", (F.col("classes") > group).alias("split"))
 
 
 def ngram_jaccard_components(
@@ -266,8 +330,8 @@ def ngram_jaccard_components(
     component_id is the smallest id reachable by links. A null or blank text has an empty
     set and its own id. A row with a null id gets the component of its class, or null if
     no row of it has an id. Rows repeated with the same id count as equal sets; an id that
-    comes with several texts is judged text by text. Other columns are not read, so their
-    names may clash with ours. An empty table gives no rows.
+    comes with several texts is one document that links by each of them. Other columns are
+    not read, so their names may clash with ours. An empty table gives no rows.
     """
     spark = docs.sparkSession
     stages = Stages(spark, "ngram-join")
@@ -283,80 +347,69 @@ def ngram_jaccard_components(
     classes = (
         signed.where("n > 0")
         .groupBy("k")
-        .agg(F.min("doc_id").alias("rep"), F.first("family").alias("family"), F.first("rare").alias("rare"))
-        .where("rep is not null")
+        .agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("family").alias("family"), F.first("rare").alias("rare"), F.first("bits").alias("bits"))
+        .where("c is not null")
     )
     classes = stages.keep(classes, "classes")
-    rare = classes.select("k", F.explode("rare").alias("token"))
+    rare = classes.select("c", F.explode("rare").alias("token"))
     shared = rare.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1").select("token")
-    cells = stages.keep(rare.join(shared, "token"), "cells")
+    cells = stages.keep(rare.join(shared, "token").distinct(), "cells")
 
-    candidates = classes.join(cells.select("k").distinct(), "k", "left_semi").select("k", "rep", "family")
-    texts = _grouped(candidates, group).join(source, F.col("rep") == F.col("doc_id")).select("g", "k", "text", "family", "rep", "split")
+    candidates = classes.select("c", "family").join(cells.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
+    nodes = stages.keep(_grouped(candidates, group), "nodes")
+    several = nodes.where("classes > 1")
+    texts = several.select("g", "c", "family", "split").join(_fetched(source, several), F.col("c") == F.col("doc_id")).drop("doc_id")
     texts = stages.keep(texts, "texts")
-    inner = "k binary, root binary"
 
     def linked(rows: DataFrame) -> DataFrame:
-        return rows.select("g", "k", "text").repartition("g").sortWithinPartitions("g").mapInArrow(_inner(shingle, threshold), inner)
+        return rows.select("g", "c", "text").repartition("g").sortWithinPartitions("g").mapInArrow(_inner(shingle, threshold), "c long, root long")
 
-    parts = stages.keep(linked(texts).dropDuplicates(["k"]), "parts")
+    parts = stages.keep(linked(texts).union(nodes.where("classes = 1").select("c", "c")), "parts")
     for level in range(2):
-        centres = texts.where("split").select("k", "family", "text").join(parts.where("k = root").select("k"), "k", "left_semi")
+        centres = texts.where("split").select("c", "family", "text").join(parts.where("c = root").select("c"), "c", "left_semi")
         centres = stages.keep(_grouped(centres, group), f"centres{level}")
         if centres.isEmpty():
             break
-        again = linked(centres).dropDuplicates(["k"]).select(F.col("k").alias("root"), F.col("root").alias("higher"))
+        again = linked(centres).select(F.col("c").alias("root"), F.col("root").alias("higher"))
         parts = stages.keep(
-            parts.join(again, "root", "left").select("k", F.coalesce("higher", "root").alias("root")), f"parts{level}"
+            parts.join(again, "root", "left").select("c", F.coalesce("higher", "root").alias("root")), f"parts{level}"
         )
         if centres.where("split").isEmpty():
             break
 
     # the token-group matrix, of members that occur in several components
-    cell = cells.join(parts, "k").join(texts.select("k", "g").dropDuplicates(["k"]), "k").select("token", "k", "root", "g")
-    cell = stages.keep(cell, "matrix")
+    known = stages.keep(nodes.select("c", "g").join(parts, "c"), "known")
+    cell = stages.keep(cells.join(known, "c"), "matrix")
     per_root = cell.groupBy("token", "root").agg(F.count("*").alias("n"))
     mixed = (
         per_root.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("major")).where("roots > 1")
         .select("token", F.col("major.root").alias("major"))
     )
     cell = cell.join(mixed, "token")
-    asking = cell.where("root != major").select("token", F.col("k").alias("q"), F.col("root").alias("of"))
+    asking = cell.where("root != major").select("token", "c", F.col("root").alias("of"))
     columns = cell.groupBy("token", "g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    pairs = (
-        asking.join(columns, "token").where("not (low = of and high = of)").select("g", F.col("q").alias("k")).distinct()
-    )
+    pairs = asking.join(columns, "token").where("not (low = of and high = of)").select("g", "c").distinct()
     pairs = stages.keep(pairs, "pairs")
-    if pairs.isEmpty():
+    sized = known.join(classes.select("c", "n", "bits"), "c").withColumnRenamed("root", "comp")
+    sorted_by = ["g", "part", "query"]
+    near = _dealt(pairs, sized, ["n", "bits"]).sortWithinPartitions(*sorted_by).mapInArrow(_bound(threshold), "g long, c long")
+    near = stages.keep(near.distinct(), "near")
+    if near.isEmpty():
         final = parts
     else:
-        open_parts = pairs.groupBy("g").agg(F.ceil(F.count("*") / F.lit(float(QUERIES))).cast("long").alias("parts"))
-        full = texts.select("g", "k", "text").join(parts, "k").withColumnRenamed("root", "comp")
-        asked = (
-            pairs.join(open_parts, "g")
-            .select("g", F.pmod(F.xxhash64("k"), F.col("parts")).alias("part"), "k")
-            .join(full.select("k", "comp", "text"), "k")
-            .select("g", "part", F.lit(1).alias("query"), "k", "comp", "text")
-        )
-        held = full.join(open_parts, "g").select(
-            "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("query"), "k", "comp", "text"
-        )
-        edges = (
-            asked.unionByName(held)
-            .repartition("g", "part")
-            .sortWithinPartitions("g", "part", "query")
-            .mapInArrow(_outer(shingle, threshold), "src binary, dst binary")
-            .distinct()
-        )
-        edges = stages.keep(edges, "edges")
-        joined = connected_components(edges).select(F.col("node").alias("root"), F.col("component").alias("higher"))
-        final = parts.join(joined, "root", "left").select("k", F.coalesce("higher", "root").alias("root"))
-
-    least = final.join(classes.select("k", "rep"), "k").groupBy("root").agg(F.min("rep").alias("component"))
+        open_groups = known.join(near.select("g").distinct(), "g", "left_semi").select("c")
+        wanted = open_groups.union(near.select("c")).distinct()
+        full = known.withColumnRenamed("root", "comp").join(wanted, "c", "left_semi").join(_fetched(source, wanted), F.col("c") == F.col("doc_id"))
+        full = stages.keep(full.select("c", "g", "comp", "text"), "full")
+        edges = _dealt(near, full, ["text"]).sortWithinPartitions(*sorted_by).mapInArrow(_outer(shingle, threshold), "src long, dst long")
+        joined = connected_components(stages.keep(edges.distinct(), "edges")).select(F.col("node").alias("root"), F.col("component").alias("higher"))
+        final = parts.join(joined, "root", "left").select("c", F.coalesce("higher", "root").alias("root"))
+
+    least = final.groupBy("root").agg(F.min("c").alias("component"))
     of_class = (
-        classes.select("k", "rep")
-        .join(final.join(least, "root").select("k", "component"), "k", "left")
-        .select("k", F.coalesce("component", "rep").alias("component"))
+        classes.select("k", "c")
+        .join(final.join(least, "root").select("c", "component"), "c", "left")
+        .select("k", F.coalesce("component", "c").alias("component"))
     )
     of_class = stages.keep(of_class, "of_class")
     out = (
@@ -365,5 +418,36 @@ def ngram_jaccard_components(
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     )
     out = stages.keep(out, "result")
-    stages.drop("signed", "classes", "cells", "texts", "parts", "parts0", "parts1", "centres0", "centres1", "matrix", "pairs", "edges", "of_class")
+    out = _one_per_id(out, stages)
+    stages.drop("signed", "classes", "cells", "nodes", "texts", "parts", "parts0", "parts1", "centres0", "centres1", "known", "matrix", "pairs", "near", "full", "edges", "of_class")
     return out
+
+
+def _dealt(pairs: DataFrame, rows: DataFrame, more: list[str]) -> DataFrame:
+    """Members and queries of each group, in parts of about QUERIES queries.
+
+    pairs has (g, c of a query); rows has each class once with its own g, comp and ``more``.
+    """
+    parts = pairs.groupBy("g").agg(F.ceil(F.count("*") / F.lit(float(QUERIES))).cast("long").alias("parts"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    held = rows.join(parts, "g").select("g", every, F.lit(0).alias("query"), "c", "comp", *more)
+    asked = (
+        pairs.join(parts, "g")
+        .select("g", F.pmod(F.xxhash64("c"), F.col("parts")).alias("part"), "c")
+        .join(rows.drop("g"), "c")
+        .select("g", "part", F.lit(1).alias("query"), "c", "comp", *more)
+    )
+    return held.unionByName(asked).repartition("g", "part")
+
+
+def _one_per_id(out: DataFrame, stages: Stages) -> DataFrame:
+    """Joins the components of an id that came with several texts (as a rule there is none)."""
+    torn = out.groupBy("doc_id").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"))
+    torn = torn.where("doc_id is not null and low != high").select("doc_id", "low")
+    if torn.isEmpty():
+        return out
+    edges = out.join(torn, "doc_id").select(F.col("component_id").alias("src"), F.col("low").alias("dst"))
+    joined = connected_components(edges).select(F.col("node").alias("component_id"), F.col("component").alias("lower"))
+    return stages.keep(
+        out.join(joined, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("lower", "component_id").alias("component_id")), "joined"
+    )
