@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +35,18 @@ def build_session(master: str | None = None, app: str = "quillon", **conf: str)
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, unless PYTHONPATH already leads there."""
+    root = Path(__file__).resolve().parent.parent
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(":"):
+        return
+    _SHIPPED.add(app)
+    copy = Path(tempfile.mkdtemp(prefix="quillon-code-"))
+    shutil.copytree(root / "quillon", copy / "src" / "quillon", ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(copy / "quillon"), "zip", copy / "src"))
