@@ -10,7 +10,7 @@ Steps
   2. A second pass writes per document: set size, a 128-bit key of the set and the
      n - ceil(0.9 n) + 1 rarest members (two linked sets share one of these). Equal sets
      collapse to one class; only classes go on.
-  3. Classes that share such a member are candidates. They are partitioned into groups of
+  3. Classes of similar size that share such a member are candidates. They are partitioned into groups of
      similar sets: the smallest shingle hash names a family, and a family of more than
      ``GROUP`` classes is split by hash into as many groups as it needs.
   4. Each group of several classes is opened once: exact links inside it. The centres of
@@ -30,6 +30,7 @@ enumerated. No step emits pairs of documents, other than those of a spanning for
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,8 @@ from quillon.llm.textvec import SPACES, Words, distinct_by_row, mix, pieces, win
 from quillon.operators.components import connected_components
 from quillon.store import Stages
 
-FREQUENCY_BUCKETS = 1 << 18
+FREQUENCY_BUCKETS = 1 << 22
+SLICES = 64
 GROUP = 128
 QUERIES = 512
 FETCH_BITS = 1 << 22
@@ -62,19 +64,60 @@ def _least(n: np.ndarray | int, threshold: int) -> np.ndarray | int:
 
 
 def _counter(shingle: int):
+    """Counters of a task, as SLICES compressed runs."""
     shift = np.uint64(64 - (FREQUENCY_BUCKETS.bit_length() - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(FREQUENCY_BUCKETS, np.int64)
+        total = np.zeros(FREQUENCY_BUCKETS, np.uint32)
+        waiting, n = [], 0
+
+        def add() -> None:
+            nonlocal waiting, n
+            if waiting:
+                total[:] += np.bincount(np.concatenate(waiting), minlength=FREQUENCY_BUCKETS).astype(np.uint32)
+            waiting, n = [], 0
+
         for batch in batches:
             for _, _, _, members in _sets(batch.column(0), shingle):
-                total += np.bincount((members >> shift).astype(np.int64), minlength=FREQUENCY_BUCKETS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["bucket", "n"])
+                waiting.append((members >> shift).astype(np.int32))
+                n += len(members)
+                if n > FREQUENCY_BUCKETS:
+                    add()
+        add()
+        yield _packed(dict(enumerate(total.reshape(SLICES, -1))))
 
     return count
 
 
+def _packed(runs: dict[int, np.ndarray]) -> pa.RecordBatch:
+    data = [pa.compress(x.astype(np.uint32).tobytes(), codec="zstd", asbytes=True) for x in runs.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(runs), pa.int32()), pa.array(data, pa.binary())], ["slice", "counts"])
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    size = FREQUENCY_BUCKETS // SLICES * 4
+    return np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True), np.uint32)
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            run = _unpacked(data)
+            total[i] = total[i] + run if i in total else run
+    yield _packed(total)
+
+
+def _frequencies(source: DataFrame, shingle: int) -> np.ndarray:
+    """Occurrences by bucket, over all documents (FREQUENCY_BUCKETS counters, whatever the input)."""
+    form = "slice int, counts binary"
+    rows = source.select("text").mapInArrow(_counter(shingle), form).repartition(SLICES, "slice").mapInArrow(_add_up, form).collect()
+    table = np.zeros((SLICES, FREQUENCY_BUCKETS // SLICES), np.uint32)
+    for r in rows:
+        table[r["slice"]] += _unpacked(r["counts"])
+    return table.ravel()
+
+
 def _key(members: np.ndarray, starts: np.ndarray) -> list[bytes]:
     """128-bit keys of sets given as sorted runs."""
     if not len(starts):
@@ -336,12 +379,7 @@ def ngram_jaccard_components(
     spark = docs.sparkSession
     stages = Stages(spark, "ngram-join")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = (
-        source.select("text").mapInArrow(_counter(shingle), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    ).toPandas()  # FREQUENCY_BUCKETS rows at most
-    table = np.zeros(FREQUENCY_BUCKETS, np.int64)
-    table[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    frequency = spark.sparkContext.broadcast(table)
+    frequency = spark.sparkContext.broadcast(_frequencies(source, shingle))
 
     signed = stages.keep(source.mapInArrow(_signer(shingle, threshold, frequency), _SIGNATURE), "signed")
     classes = (
@@ -353,7 +391,13 @@ def ngram_jaccard_components(
     classes = stages.keep(classes, "classes")
     rare = classes.select("c", F.explode("rare").alias("token"))
     shared = rare.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1").select("token")
-    cells = stages.keep(rare.join(shared, "token").distinct(), "cells")
+    # sets that link differ in size by a band at most, and so have a band's upper or lower border in common
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.0001 * math.log(threshold / 100))).cast("long")
+    bands = classes.select("c", F.explode(F.array(band, band + 1)).alias("band"))
+    cells = rare.join(shared, "token").distinct().join(bands, "c").select("c", F.xxhash64("token", "band").alias("token"))
+    cells = stages.keep(cells, "all_cells")
+    several = cells.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1").select("token")
+    cells = stages.keep(cells.join(several, "token"), "cells")
 
     candidates = classes.select("c", "family").join(cells.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
     nodes = stages.keep(_grouped(candidates, group), "nodes")
@@ -419,7 +463,7 @@ def ngram_jaccard_components(
     )
     out = stages.keep(out, "result")
     out = _one_per_id(out, stages)
-    stages.drop("signed", "classes", "cells", "nodes", "texts", "parts", "parts0", "parts1", "centres0", "centres1", "known", "matrix", "pairs", "near", "full", "edges", "of_class")
+    stages.drop("signed", "classes", "all_cells", "cells", "nodes", "texts", "parts", "parts0", "parts1", "centres0", "centres1", "known", "matrix", "pairs", "near", "full", "edges", "of_class")
     return out
 
 
