@@ -65,7 +65,7 @@ def _has(part: Column, words: list[str]) -> Column:
 def institution_of(affiliation: Column) -> Column:
     """The part that names the institution: a top one that is no subunit, else a top one, a centre,
     the first part of three words without a digit, or the first that is no subunit."""
-    parts = F.filter(F.transform(F.split(affiliation, "[,;]"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(affiliation, "[,;]"), lambda p: F.trim(p)), lambda p: p != "")
     pick = lambda test: F.get(F.filter(parts, test), F.lit(0))
     digit = lambda p: p.rlike(r"\d")
     first = F.get(parts, F.lit(0))

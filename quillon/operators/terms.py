@@ -53,7 +53,8 @@ def synonym_suggestions(counts: DataFrame, threshold: float = 0.9) -> DataFrame:
     first = same.groupBy("squash").agg(F.min("term").alias("src"), F.count("*").alias("k")).where("k > 1")
     links = same.join(first, "squash").select("src", F.col("term").alias("dst"))
     w = Window.partitionBy(F.substring("term", 1, 3)).orderBy("term")
-    near = counts.select("term", F.explode(F.array(F.lead("term", 1).over(w), F.lead("term", 2).over(w))).alias("other")).where("other is not null")
+    near = counts.select("term", F.array(F.lead("term", 1).over(w), F.lead("term", 2).over(w)).alias("others"))
+    near = near.select("term", F.explode("others").alias("other")).where("other is not null")
     near = near.where(title_similarity(F.col("term"), F.col("other"), threshold) >= threshold).select(F.col("term").alias("src"), F.col("other").alias("dst"))
     found = connected_components(links.union(near))
     return found.select(F.col("component").alias("group"), F.col("node").alias("term"))
