@@ -44,7 +44,7 @@ from quillon.store import Stages
 
 FREQUENCY_BUCKETS = 1 << 22
 SLICES = 64
-GROUP = 128
+GROUP = 384
 QUERIES = 512
 FETCH_BITS = 1 << 22
 THRESHOLD = 90  # per cent
@@ -389,15 +389,11 @@ def ngram_jaccard_components(
         .where("c is not null")
     )
     classes = stages.keep(classes, "classes")
-    rare = classes.select("c", F.explode("rare").alias("token"))
+    # sets that link differ in size by a band at most
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.0001 * math.log(threshold / 100))).cast("int")
+    rare = classes.select("c", band.alias("band"), F.explode("rare").alias("token"))
     shared = rare.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1").select("token")
-    # sets that link differ in size by a band at most, and so have a band's upper or lower border in common
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.0001 * math.log(threshold / 100))).cast("long")
-    bands = classes.select("c", F.explode(F.array(band, band + 1)).alias("band"))
-    cells = rare.join(shared, "token").distinct().join(bands, "c").select("c", F.xxhash64("token", "band").alias("token"))
-    cells = stages.keep(cells, "all_cells")
-    several = cells.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1").select("token")
-    cells = stages.keep(cells.join(several, "token"), "cells")
+    cells = stages.keep(rare.join(shared, "token"), "cells")
 
     candidates = classes.select("c", "family").join(cells.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
     nodes = stages.keep(_grouped(candidates, group), "nodes")
@@ -430,9 +426,10 @@ def ngram_jaccard_components(
         .select("token", F.col("major.root").alias("major"))
     )
     cell = cell.join(mixed, "token")
-    asking = cell.where("root != major").select("token", "c", F.col("root").alias("of"))
-    columns = cell.groupBy("token", "g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    pairs = asking.join(columns, "token").where("not (low = of and high = of)").select("g", "c").distinct()
+    near_bands = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    asking = cell.where("root != major").select("token", near_bands, "c", F.col("root").alias("of"))
+    columns = cell.groupBy("token", "band", "g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    pairs = asking.join(columns, ["token", "band"]).where("not (low = of and high = of)").select("g", "c").distinct()
     pairs = stages.keep(pairs, "pairs")
     sized = known.join(classes.select("c", "n", "bits"), "c").withColumnRenamed("root", "comp")
     sorted_by = ["g", "part", "query"]
@@ -463,7 +460,7 @@ def ngram_jaccard_components(
     )
     out = stages.keep(out, "result")
     out = _one_per_id(out, stages)
-    stages.drop("signed", "classes", "all_cells", "cells", "nodes", "texts", "parts", "parts0", "parts1", "centres0", "centres1", "known", "matrix", "pairs", "near", "full", "edges", "of_class")
+    stages.drop("signed", "classes", "cells", "nodes", "texts", "parts", "parts0", "parts1", "centres0", "centres1", "known", "matrix", "pairs", "near", "full", "edges", "of_class")
     return out
 
 
