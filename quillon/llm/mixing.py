@@ -28,25 +28,30 @@ STEPS = 20
 TOLERANCE = 1e-3
 BROADCAST_CELLS = 100_000
 
-# fixed values: traits as (pattern, least share of words in per cent)
-TRAITS = [
-    (r"\b(?:the|and|that|with)\b", 3), (r"\b(?:der|die|und|das)\b", 3), (r"\b(?:les|des|est|une)\b", 2), (r"\b(?:que|los|las|una)\b", 3),
-    ("[äöüß]", 10), ("[éèêçà]", 15), ("[ñíóá]", 10), (r"[#*$%&|<>]", 30), ("!!", 30), (r"[.,;:?!](?:\s|$)", 5),
-]
+# fixed values: function words by language; a trait is that two of them or more occur
+WORDS = ["the and that with", "der die und das", "les des est une", "que los las una"]
+# fixed values: traits as (pattern, least matches per 100 words)
+PATTERNS = [("[#*$%&|<>]", 30), ("!!", 30), (r"[.,;:?!](?:\s|$)", 5)]
+TRAITS = [*WORDS, *PATTERNS]
 
 
-def tokens_of(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("long")
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
 
-def traits_of(text: Column, tokens: Column) -> Column:
-    """The traits as bits of a number."""
-    text = F.coalesce(text, F.lit(""))
-    bits = [F.when(100 * F.regexp_count(text, F.lit(p)) >= share * F.greatest(tokens, F.lit(1)), 1 << i).otherwise(0) for i, (p, share) in enumerate(TRAITS)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out + b
-    return out.cast("int")
+def measured(docs: DataFrame, text: str, keep: list[Column | str]) -> DataFrame:
+    """``keep``, _tokens and _traits (as bits of a number), with the text cut into words once."""
+    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"), words_of(F.col(text)).alias("_words"))
+    every = F.array(*[F.lit(w) for ws in WORDS for w in ws.split()])
+    counts = [F.regexp_count("_text", F.lit(p)).alias(f"_c{i}") for i, (p, _) in enumerate(PATTERNS)]
+    own = [F.col(c) for c in rows.columns if c not in ("_text", "_words")]
+    rows = rows.select(*own, F.size("_words").cast("long").alias("_tokens"), F.array_intersect("_words", every).alias("_function"), *counts)
+    bits = [F.size(F.array_intersect("_function", F.array(*map(F.lit, ws.split())))) >= 2 for ws in WORDS]
+    bits += [100 * F.col(f"_c{i}") >= least * F.greatest("_tokens", F.lit(1)) for i, (_, least) in enumerate(PATTERNS)]
+    out = F.lit(0)
+    for i, b in enumerate(bits):
+        out = out + F.when(b, 1 << i).otherwise(0)
+    return rows.select(*own, "_tokens", out.alias("_traits"))
 
 
 class DomainModel:
@@ -135,9 +140,8 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, target, id_col: str = "
     """
     spark = docs.sparkSession
     stages = Stages(spark, "mixing")
-    tokens = tokens_of(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_t"), tokens.alias("tokens"))
-    rows = stages.keep(rows.select("doc_id", "tokens", traits_of(F.col("_t"), F.col("tokens")).alias("traits")), "rows")
+    rows = measured(docs, text_col, [F.col(id_col).cast("long").alias("doc_id")])
+    rows = stages.keep(rows.select("doc_id", F.col("_tokens").alias("tokens"), F.col("_traits").alias("traits")), "rows")
     model = fit_domains(rows, labelled)
     n = len(model.domains)
     posterior = model.posterior(F.col("traits")) if n else F.array().cast("array<double>")
@@ -148,8 +152,8 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, target, id_col: str = "
     rates = stages.keep(cells.select(F.col("traits").alias("_traits"), best.alias("_domain"), F.round(rate, 6).alias("_rate")), "rates")
     if rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
         rates = F.broadcast(rates)
-    plain = docs.drop("_tokens", "_domain", "_rate", "_copies", "_traits")
-    out = plain.withColumn("_tokens", tokens).withColumn("_traits", traits_of(F.col(text_col), F.col("_tokens"))).join(rates, "_traits", "left")
+    plain = docs.drop("_tokens", "_domain", "_rate", "_copies", "_traits", "_text", "_words", "_function")
+    out = measured(plain, text_col, plain.columns).join(rates, "_traits", "left")
     chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_000)) / 1_000_000
     copies = (F.floor("_rate") + (chance < F.col("_rate") - F.floor("_rate")).cast("long")).cast("long")
     stages.drop("rows", "cells")
