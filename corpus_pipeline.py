@@ -1,7 +1,8 @@
 """A training-data pipeline: each stage reads what the one before it kept.
 
 toxicity            rows that score 0.5 or more go
-near_duplicates     one document of each group of linked documents stays: the smallest id
+near_duplicates     one document of each group of linked documents stays, the smallest id; two link if their
+                    five-word shingles have a Jaccard similarity of 0.8 or more
 decontamination     documents that hold a benchmark item go
 pii                 entities get surrogates, n_chars is counted anew
 mixing              every document gets its domain, rate and copies; rows with no copy go
@@ -33,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of the smallest id of each component; of repeated rows of an id, one stays. Rows without an id stay."""
-    found = ngram_join.ngram_jaccard_components(docs)
+    found = ngram_join.ngram_jaccard_components(docs, threshold=80, shingle=5)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     named = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("_id")).drop("_id")
     order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])

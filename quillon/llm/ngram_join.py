@@ -12,9 +12,11 @@ Steps
      collapse to one class; only classes go on.
   3. Classes of similar size that share such a member are candidates. They are partitioned into groups of
      similar sets: the smallest shingle hash names a family, and a family of more than
-     ``GROUP`` classes is split by hash into as many groups as it needs.
+     ``GROUP`` classes or ``GROUP_MEMBERS`` members is split by hash into as many groups
+     as it needs.
   4. Each group of several classes is opened once: exact links inside it. The centres of
-     the resulting parts of split families are grouped and linked again.
+     the resulting parts of split families are grouped and linked again, and then all
+     centres by the commonest of their rare members.
   5. The token-group matrix holds, for each rare member, the groups having it, and is
      needed only for members that occur in two or more components. A class outside a
      member's largest component queries the groups of that member. The union of a group's
@@ -44,7 +46,8 @@ from quillon.store import Stages
 
 FREQUENCY_BUCKETS = 1 << 22
 SLICES = 64
-GROUP = 384
+GROUP = 2560
+GROUP_MEMBERS = 500_000
 QUERIES = 512
 FETCH_BITS = 1 << 22
 THRESHOLD = 90  # per cent
@@ -353,11 +356,12 @@ def _fetched(source: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _grouped(nodes: DataFrame, group: int) -> DataFrame:
-    """nodes(c, family, ...) with the group g, the family's classes, and ``split``: whether it has more groups."""
-    sizes = nodes.groupBy("family").agg(F.count("*").alias("classes"))
-    parts = F.ceil(F.col("classes") / F.lit(float(group))).cast("long")
-    g = F.xxhash64("family", F.pmod(F.xxhash64("c"), parts))
-    return nodes.join(sizes, "family").select(g.alias("g"), nodes["*"], "classes", (F.col("classes") > group).alias("split"))
+    """nodes(c, n, family, ...) with the group g, the family's classes, and ``split``: whether it has more groups."""
+    sizes = nodes.groupBy("family").agg(F.count("*").alias("classes"), F.sum("n").alias("members"))
+    count = lambda c, most: F.ceil(F.col(c) / F.lit(float(most))).cast("long")
+    sizes = sizes.select("family", "classes", F.greatest(count("classes", group), count("members", GROUP_MEMBERS)).alias("parts"))
+    g = F.xxhash64("family", F.pmod(F.xxhash64("c"), F.col("parts")))
+    return nodes.join(sizes, "family").select(g.alias("g"), nodes["*"], "classes", (F.col("parts") > 1).alias("split"))
 
 
 def ngram_jaccard_components(
@@ -392,30 +396,29 @@ def ngram_jaccard_components(
     # sets that link differ in size by a band at most
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.0001 * math.log(threshold / 100))).cast("int")
     rare = classes.select("c", band.alias("band"), F.explode("rare").alias("token"))
-    shared = rare.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1").select("token")
+    shared = rare.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
     cells = stages.keep(rare.join(shared, "token"), "cells")
 
-    candidates = classes.select("c", "family").join(cells.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
+    common = cells.groupBy("c").agg(F.max(F.struct("classes", "token"))["token"].alias("common"))
+    candidates = classes.select("c", "n", "family").join(common, "c").dropDuplicates(["c"])
     nodes = stages.keep(_grouped(candidates, group), "nodes")
-    several = nodes.where("classes > 1")
-    texts = several.select("g", "c", "family", "split").join(_fetched(source, several), F.col("c") == F.col("doc_id")).drop("doc_id")
+    texts = nodes.join(_fetched(source, nodes), F.col("c") == F.col("doc_id")).drop("doc_id")
     texts = stages.keep(texts, "texts")
 
     def linked(rows: DataFrame) -> DataFrame:
         return rows.select("g", "c", "text").repartition("g").sortWithinPartitions("g").mapInArrow(_inner(shingle, threshold), "c long, root long")
 
-    parts = stages.keep(linked(texts).union(nodes.where("classes = 1").select("c", "c")), "parts")
-    for level in range(2):
-        centres = texts.where("split").select("c", "family", "text").join(parts.where("c = root").select("c"), "c", "left_semi")
-        centres = stages.keep(_grouped(centres, group), f"centres{level}")
+    parts = stages.keep(linked(texts.where("classes > 1")).union(nodes.where("classes = 1").select("c", "c")), "parts")
+    # centres meet again: those of split families, then all by the commonest of their rare members
+    for level, (some, family) in enumerate((("split", "family"), ("true", "common"))):
+        centres = texts.where(some).select("c", "n", F.col(family).alias("family"), "text").join(parts.where("c = root").select("c"), "c", "left_semi")
+        centres = stages.keep(_grouped(centres, group).where("classes > 1"), f"centres{level}")
         if centres.isEmpty():
-            break
+            continue
         again = linked(centres).select(F.col("c").alias("root"), F.col("root").alias("higher"))
         parts = stages.keep(
             parts.join(again, "root", "left").select("c", F.coalesce("higher", "root").alias("root")), f"parts{level}"
         )
-        if centres.where("split").isEmpty():
-            break
 
     # the token-group matrix, of members that occur in several components
     known = stages.keep(nodes.select("c", "g").join(parts, "c"), "known")
@@ -440,7 +443,7 @@ def ngram_jaccard_components(
     else:
         open_groups = known.join(near.select("g").distinct(), "g", "left_semi").select("c")
         wanted = open_groups.union(near.select("c")).distinct()
-        full = known.withColumnRenamed("root", "comp").join(wanted, "c", "left_semi").join(_fetched(source, wanted), F.col("c") == F.col("doc_id"))
+        full = known.withColumnRenamed("root", "comp").join(wanted, "c", "left_semi").join(texts.select("c", "text"), "c")
         full = stages.keep(full.select("c", "g", "comp", "text"), "full")
         edges = _dealt(near, full, ["text"]).sortWithinPartitions(*sorted_by).mapInArrow(_outer(shingle, threshold), "src long, dst long")
         joined = connected_components(stages.keep(edges.distinct(), "edges")).select(F.col("node").alias("root"), F.col("component").alias("higher"))

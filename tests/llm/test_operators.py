@@ -64,7 +64,7 @@ def corpus(seed, n=260):
     return out
 
 
-@pytest.mark.parametrize("group", [384, 6])
+@pytest.mark.parametrize("group", [2560, 6])
 def test_join_against_all_pairs(spark, group):
     texts = corpus(group)
     got = ngram_join.ngram_jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), group=group).collect()
