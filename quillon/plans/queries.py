@@ -378,7 +378,17 @@ def cooccurrence_pairs(c):
 k AS (SELECT a.doc AS src, b.doc AS dst, count(*) AS c FROM i a JOIN i b ON a.item = b.item AND a.doc < b.doc GROUP BY 1, 2) SELECT src, dst, c AS count, round(c / sqrt(x.n * y.n), 6) AS weight FROM k JOIN s x ON x.doc = src JOIN s y ON y.doc = dst""",
 )
 def coupling_pairs(c):
-    rows = c.keywords.join(c.docs.select("doc", "source"), "doc").where("source <= 150").select(F.col("source").alias("doc"), F.col("term").alias("item"))
+    """Sources up to 150, as its SQL has it; ``coupling_pairs_salton_whole`` takes all."""
+    return _coupling(c, "source <= 150")
+
+
+@query("coupling_pairs_salton_whole")
+def coupling_pairs_whole(c):
+    return _coupling(c)
+
+
+def _coupling(c, some="true"):
+    rows = c.keywords.join(c.docs.select("doc", "source"), "doc").where(some).select(F.col("source").alias("doc"), F.col("term").alias("item"))
     inc, _ = networks.incidence(rows)
     sizes = inc.groupBy(F.col("doc").alias("item")).agg(F.count("*").alias("freq"))
     return rounded(networks.network(networks.coupling(inc), sizes, "salton"))
@@ -437,7 +447,17 @@ def country_collaboration(c):
 r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a) SELECT node, min(seen) AS component FROM r GROUP BY 1""",
 )
 def network_components(c):
-    rows = c.table("lineitem").where("l_orderkey <= 400")
+    """Orders up to 400, as its SQL has it; ``network_components_whole`` takes all."""
+    return _components(c, "l_orderkey <= 400")
+
+
+@query("network_components_whole")
+def network_components_whole(c):
+    return _components(c)
+
+
+def _components(c, some="true"):
+    rows = c.table("lineitem").where(some)
     return connected_components(rows.select((F.col("l_suppkey") * 1000000).alias("src"), F.col("l_partkey").alias("dst")))
 
 
@@ -548,8 +568,18 @@ s AS (SELECT a.family, a.key, count(*) AS shared FROM mates a JOIN mates b ON b.
 SELECT family, key, n, coalesce(shared, 0) AS shared FROM j LEFT JOIN s USING (family, key)""",
 )
 def author_variants(c):
+    """Orders up to 2000, as its SQL has it; ``author_variants_whole`` takes all."""
+    return _variants(c, "doc <= 2000")
+
+
+@query("author_variants_whole")
+def author_variants_whole(c):
+    return _variants(c)
+
+
+def _variants(c, some="true"):
     k = F.concat(F.lit("n"), F.col("author") % 20, F.lit("|"), F.substring(F.lit("abcd"), (F.col("author") % 2 + 1).cast("int"), F.lit(1)), F.col("author") % 3)
-    return entities.author_variants(c.authors.where("doc <= 2000").select("doc", k.alias("key")))
+    return entities.author_variants(c.authors.where(some).select("doc", k.alias("key")))
 
 
 # multivariate ---------------------------------------------------------------------------
