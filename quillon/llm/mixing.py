@@ -1,14 +1,16 @@
 """Soft-membership mixing to target weights.
 
 A classifier learned from a labelled table gives each document a posterior over domains: a
-Bernoulli naive Bayes over ``TRAITS``, yes-or-no traits of the whole text. Document rates
-r >= 0 are then fitted by projected gradient so that the expected domain token totals
+naive Bayes over the hashed terms of the whole text, each counted once a document. Terms are
+words in lower case, single signs of scripts without blanks, and runs of other signs.
+Document rates r >= 0 are then fitted by projected gradient so that the expected domain token
+totals
   sum_i r_i tokens_i P(domain | i)
 match target weight x budget in least squares. The gradient of a document depends on its
-posterior only, and all rates start at 1; documents of equal traits therefore keep equal
-rates, and summing their tokens first loses nothing. Residuals are weighed by the inverse
-of sum tokens p p' (then a step of 1 is safe), which changes nothing if the targets can be
-met. Every step is one aggregation over the summed rows.
+posterior only, and all rates start at 1; copies of a text therefore keep equal rates, and
+summing their tokens first loses nothing. Residuals are weighed by the inverse of
+sum tokens p p' (then a step of 1 is safe), which changes nothing if the targets can be
+met. Every step is one aggregation over the table of distinct texts.
 
 A rate becomes whole copies: its floor, and one more with the probability of its fraction,
 decided by a hash of the id and text.
@@ -16,6 +18,7 @@ decided by a hash of the id and text.
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -24,78 +27,84 @@ from pyspark.sql import functions as F
 
 from quillon.store import Stages
 
-STEPS = 20
+STEPS = 100
 TOLERANCE = 1e-3
+#: A step that lessens the residual by a smaller share than this ends the descent.
+PROGRESS = 1e-4
 BROADCAST_CELLS = 100_000
+BUCKETS = 1 << 16
+SMOOTHING = 0.1
+TERM = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]+"
 
-# fixed values: function words by language; a trait is that two of them or more occur
-WORDS = ["the and that with", "der die und das", "les des est une", "que los las una"]
-# fixed values: traits as (pattern, least matches per 100 words)
-PATTERNS = [("[#*$%&|<>]", 30), ("!!", 30), (r"[.,;:?!](?:\s|$)", 5)]
-TRAITS = [*WORDS, *PATTERNS]
+log = logging.getLogger(__name__)
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+def text_keys(text: Column) -> list[Column]:
+    """Two hashes that name a text; a null one counts as empty."""
+    own = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(own).alias("_k1"), F.xxhash64(F.lit(1), own).alias("_k2")]
 
 
-def measured(docs: DataFrame, text: str, keep: list[Column | str]) -> DataFrame:
-    """``keep``, _tokens and _traits (as bits of a number), with the text cut into words once."""
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"), words_of(F.col(text)).alias("_words"))
-    every = F.array(*[F.lit(w) for ws in WORDS for w in ws.split()])
-    counts = [F.regexp_count("_text", F.lit(p)).alias(f"_c{i}") for i, (p, _) in enumerate(PATTERNS)]
-    own = [F.col(c) for c in rows.columns if c not in ("_text", "_words")]
-    rows = rows.select(*own, F.size("_words").cast("long").alias("_tokens"), F.array_intersect("_words", every).alias("_function"), *counts)
-    bits = [F.size(F.array_intersect("_function", F.array(*map(F.lit, ws.split())))) >= 2 for ws in WORDS]
-    bits += [100 * F.col(f"_c{i}") >= least * F.greatest("_tokens", F.lit(1)) for i, (_, least) in enumerate(PATTERNS)]
-    out = F.lit(0)
-    for i, b in enumerate(bits):
-        out = out + F.when(b, 1 << i).otherwise(0)
-    return rows.select(*own, "_tokens", out.alias("_traits"))
+def terms_of(text: Column) -> Column:
+    """The distinct buckets of a text's terms."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
 
 
 class DomainModel:
-    """log P(domain), and log-odds form of P(trait | domain)."""
-
-    def __init__(self, domains: list[str], n: np.ndarray, hits: np.ndarray):
-        self.domains = domains
-        p = (hits + 0.5) / (n[:, None] + 1.0)
-        self.base = np.log((n + 1.0) / (n.sum() + len(n))) + np.log(1 - p).sum(1) if len(n) else n
-        self.weight = np.log(p) - np.log(1 - p)
-
-    def posterior(self, traits: Column) -> Column:
-        """array<double> over the domains."""
-        logs = []
-        for d in range(len(self.domains)):
-            x = F.lit(float(self.base[d]))
-            for i in range(len(TRAITS)):
-                x = x + F.when(traits.bitwiseAND(F.lit(1 << i)) != 0, float(self.weight[d, i])).otherwise(0.0)
-            logs.append(x)
-        logs = F.array(*logs)
-        e = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-        total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(e, lambda x: x / total)
-
-
-def fit_domains(rows: DataFrame, labelled: DataFrame) -> DomainModel:
-    """rows has doc_id and traits; labelled has doc_id and domain (one of few). All labelled rows count.
+    """log P(domain), and a table (bucket, l0, l1, ..) of log P(term | domain), BUCKETS rows at most."""
+
+    def __init__(self, domains: list[str], prior: list[float], weights: DataFrame | None):
+        self.domains, self.prior, self.weights = domains, prior, weights
+
+    def cells(self, rows: DataFrame) -> DataFrame:
+        """(_k1, _k2, tokens, p) of rows(_k1, _k2, tokens, terms): one row a text, p the array of posteriors.
+
+        Terms without a labelled document say nothing.
+        """
+        keys, d = ["_k1", "_k2"], range(len(self.domains))
+        if not self.domains:
+            return rows.groupBy(*keys).agg(F.sum("tokens").alias("tokens")).withColumn("p", F.array().cast("array<double>"))
+        numbered = rows.withColumn("row", F.monotonically_increasing_id())  # before the terms are unfolded: one number a row
+        each = numbered.select("row", *keys, "tokens", F.explode_outer("terms").alias("bucket"))
+        sums = [F.coalesce(F.sum(f"l{i}"), F.lit(0.0)).alias(f"l{i}") for i in d]
+        of_row = each.join(F.broadcast(self.weights), "bucket", "left").groupBy("row", *keys, "tokens").agg(*sums)
+        of_text = of_row.groupBy(*keys).agg(F.sum("tokens").alias("tokens"), *[F.min(f"l{i}").alias(f"l{i}") for i in d])
+        logs = of_text.select(*keys, "tokens", F.array(*[F.col(f"l{i}") + self.prior[i] for i in d]).alias("l")).withColumn("m", F.array_max("l"))
+        e = logs.select(*keys, "tokens", F.transform("l", lambda x: F.exp(x - F.col("m"))).alias("e"))
+        e = e.withColumn("s", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
+        return e.select(*keys, "tokens", F.transform("e", lambda x: x / F.col("s")).alias("p"))
+
+
+def fit_domains(rows: DataFrame, labelled: DataFrame, stages: Stages) -> DomainModel:
+    """rows has doc_id and terms; labelled has doc_id and domain (one of few). All labelled rows count.
 
     Null ids and domains teach nothing; an id labelled twice counts as its first domain in order.
     """
     own = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    hits = [F.sum((F.col("traits").bitwiseAND(F.lit(1 << i)) != 0).cast("int")).alias(f"t{i}") for i in range(len(TRAITS))]
-    found = rows.select("doc_id", "traits").join(own, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), *hits).orderBy("domain").collect()
-    return DomainModel(
-        [r["domain"] for r in found], np.array([float(r["n"]) for r in found]),
-        np.array([[float(r[f"t{i}"]) for i in range(len(TRAITS))] for r in found]).reshape(len(found), len(TRAITS)),
+    taught = rows.select("doc_id", "terms").join(own, "doc_id")
+    found = taught.groupBy("domain").agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("all")).orderBy("domain").collect()
+    domains = [r["domain"] for r in found]
+    if not domains:
+        return DomainModel([], [], None)
+    counts = stages.keep(
+        taught.select("domain", F.explode("terms").alias("bucket")).groupBy("bucket")
+        .agg(*[F.count(F.when(F.col("domain") == x, 1)).alias(f"n{i}") for i, x in enumerate(domains)]), "counts",
     )
+    known = counts.count()
+    weights = [
+        (F.log(F.col(f"n{i}") + SMOOTHING) - math.log((r["all"] + SMOOTHING * known) or 1.0)).alias(f"l{i}") for i, r in enumerate(found)
+    ]
+    every = sum(r["n"] for r in found) + len(found)
+    return DomainModel(domains, [math.log((r["n"] + 1) / every) for r in found], counts.select("bucket", *weights))
 
 
 def fit_rates(cells: DataFrame, n_domains: int, weights: list[float], budget: float | None = None) -> tuple[Column, list[float]]:
     """The rate as an expression of column p, and the expected totals reached.
 
     cells has p (posterior) and tokens, one row for documents of equal p. budget defaults
-    to all tokens. Cells without tokens weigh nothing.
+    to all tokens. Cells without tokens weigh nothing. The residual and the number of steps
+    are logged, as a warning if the descent was cut at ``STEPS``.
     """
     d = range(n_domains)
     p = [F.col("p")[i] for i in d]
@@ -123,7 +132,9 @@ def fit_rates(cells: DataFrame, n_domains: int, weights: list[float], budget: fl
         reached = np.array([row[f"s{i}"] for i in d], float)
         miss = reached - goal
         error = float(np.sqrt(max(miss @ inverse @ miss, 0.0) / everything))
-        if error < TOLERANCE or last - error < 0.01 * error or len(moves) == STEPS:
+        settled = error < TOLERANCE or last - error < PROGRESS * error
+        if settled or len(moves) == STEPS:
+            log.log(logging.INFO if settled else logging.WARNING, "rates: residual %.6f after %d steps, settled: %s", error, len(moves), settled)
             break
         last = error
         moves.append([float(x) for x in inverse @ miss])
@@ -134,30 +145,30 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, target, id_col: str = "
     """``docs`` with _tokens, _domain, _rate and _copies.
 
     ``target`` gives a domain's weight, from its name. A null or empty text has no tokens
-    and the rate of its traits. Repeated rows and null ids keep their rows. If no row is
+    and the rate of the prior. Repeated rows and null ids keep their rows. If no row is
     labelled, all rates are 1 and the domain is null. A column of ``docs`` with one of the
     four names is replaced.
     """
-    spark = docs.sparkSession
-    stages = Stages(spark, "mixing")
-    rows = measured(docs, text_col, [F.col(id_col).cast("long").alias("doc_id")])
-    rows = stages.keep(rows.select("doc_id", F.col("_tokens").alias("tokens"), F.col("_traits").alias("traits")), "rows")
-    model = fit_domains(rows, labelled)
+    stages = Stages(docs.sparkSession, "mixing")
+    text = F.col(text_col)
+    n_tokens = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("long")
+    rows = stages.keep(docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_keys(text), n_tokens.alias("tokens"), terms_of(text).alias("terms")), "rows")
+    model = fit_domains(rows, labelled, stages)
     n = len(model.domains)
-    posterior = model.posterior(F.col("traits")) if n else F.array().cast("array<double>")
-    cells = stages.keep(rows.groupBy("traits").agg(F.sum("tokens").alias("tokens")).select("traits", "tokens", posterior.alias("p")), "cells")
+    cells = stages.keep(model.cells(rows), "cells")
     rate, _ = fit_rates(cells, n, [target(x) for x in model.domains], budget)
     names = F.array(*map(F.lit, model.domains)) if n else F.array().cast("array<string>")
     best = F.get(names, (F.array_position("p", F.array_max("p")) - 1).cast("int"))
-    rates = stages.keep(cells.select(F.col("traits").alias("_traits"), best.alias("_domain"), F.round(rate, 6).alias("_rate")), "rates")
+    rates = stages.keep(cells.select("_k1", "_k2", best.alias("_domain"), F.round(rate, 6).alias("_rate")), "rates")
     if rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
         rates = F.broadcast(rates)
-    plain = docs.drop("_tokens", "_domain", "_rate", "_copies", "_traits", "_text", "_words", "_function")
-    out = measured(plain, text_col, plain.columns).join(rates, "_traits", "left")
-    chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_000)) / 1_000_000
-    copies = (F.floor("_rate") + (chance < F.col("_rate") - F.floor("_rate")).cast("long")).cast("long")
-    stages.drop("rows", "cells")
-    return out.withColumn("_copies", copies).drop("_traits")
+    plain = docs.drop("_tokens", "_domain", "_rate", "_copies", "_k1", "_k2", "_chance")
+    chance = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1_000_000)) / 1_000_000
+    own = plain.select(*plain.columns, n_tokens.alias("_tokens"), *text_keys(text), chance.alias("_chance"))
+    out = own.join(rates, ["_k1", "_k2"], "left")
+    copies = (F.floor("_rate") + (F.col("_chance") < F.col("_rate") - F.floor("_rate")).cast("long")).cast("long")
+    stages.drop("rows", "counts", "cells")
+    return out.select(*plain.columns, "_tokens", "_domain", "_rate", copies.alias("_copies"))
 
 
 def domains_from(docs: DataFrame, labels: DataFrame) -> DataFrame:
