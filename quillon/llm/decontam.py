@@ -2,13 +2,20 @@
 
 Texts become sequences of canonical tokens: a number becomes NUM, a number with a unit
 QTY, a capitalised word (or run of them) inside a sentence NAME; other words stay, in
-lower case. Windows of ``WINDOW`` tokens with ``LITERAL`` plain words or more are hashed;
-windows of documents that a Bloom filter of the benchmark's windows (``BLOOM_BITS``, a
-fixed size) lets pass meet them in a hash join. Along one alignment of item and document
-the values behind the placeholders must agree: a value of the item stands for one value
-in the document throughout, up to ``MISFIT`` of the values. So a question with other
-numbers and names is found, while a text that merely shares the phrase is not joined
-into it. A document is contaminated if ``COVER`` of an item's windows are found in it.
+lower case. Windows of ``WINDOW`` tokens are hashed; windows of documents that a Bloom filter
+of the benchmark's windows (``BLOOM_BITS``, a fixed size) lets pass meet them in a hash join.
+Along one alignment of item and document the values behind the placeholders must agree: a
+value of the item stands for one value in the document throughout, up to ``MISFIT`` of the
+values. So a question with other numbers and names is found, while a text that merely shares
+the phrase is not joined into it. A document is contaminated if ``COVER`` of an item's windows
+are found in it.
+
+* A window of fewer than ``LITERAL`` plain words is hashed with its values and so matches its
+  exact copy only. It counts with the others, but an item's other windows also do by themselves.
+* A capitalised word that opens a sentence may be a name or not: windows with such words are
+  hashed in both forms.
+* An item of ``LITERAL`` to ``WINDOW`` - 1 tokens is one window of its own length. One of fewer
+  tokens is no question but a phrase, and matches a text that equals it.
 """
 
 from __future__ import annotations
@@ -20,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.textvec import NOT_WORD, Words, mix, pieces, windows
+from quillon.llm.textvec import _A, NOT_WORD, Words, mix, pieces
+from quillon.store import Stages
 
 WINDOW = 8
 LITERAL = 4
@@ -51,12 +59,15 @@ def _unit_hashes() -> np.ndarray:
     return _UNIT_HASH
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, canonical hash, value hash, kind) of each token; kind 0 word, 1 NUM, 2 QTY, 3 NAME."""
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, canonical hash, value hash, kind, opener) of each token; kind 0 word, 1 NUM, 2 QTY, 3 NAME.
+
+    An opener is a plain word with a capital at the head of a sentence.
+    """
     words = Words(data, offsets, NOT_WORD)
     s, e, row = words.starts, words.ends, words.row
     if not len(s):
-        return row, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        return row, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool)
     h = words.hashes
     digits = np.r_[0, np.cumsum(_DIGIT[data])]
     n_digits = digits[e] - digits[s]
@@ -69,6 +80,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     # capitals of two bytes in UTF-8: U+00C0 to U+00DE
     second = data[np.minimum(s + 1, len(data) - 1)]
     capital = _UPPER[data[s]] | ((data[s] == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+    opener = (kind == 0) & capital & after_stop
     kind[(kind == 0) & capital & ~after_stop] = 3
     same = ~first
     before = np.r_[0, kind[:-1]]
@@ -83,23 +95,53 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     k = kind[head]
     value = words.span_hash(s[head], e[last])
     marks = mix(np.arange(4, dtype=np.uint64), 41)
-    return row[head], np.where(k > 0, marks[k], h[head]), value, k
+    return row[head], np.where(k > 0, marks[k], h[head]), value, k, opener[head]
+
 
+def _spans(at: np.ndarray, end: np.ndarray, hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the token spans at..end, of k tokens at most; spans of k tokens as ``windows`` has them."""
+    total = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            live = at + i < end
+            step = total * _A + mix(hashes[np.minimum(at + i, max(len(hashes) - 1, 0))], i + 1)
+            total = np.where(live, step, total)
+        return mix(mix(total, k) ^ np.where(end - at < k, np.uint64(99), np.uint64(0)), 0) if len(at) else total
 
-def _windows(column: pa.Array) -> Iterator[tuple]:
-    """By piece: first row, rows of windows, places in the text, hashes, first tokens, value hashes, kinds."""
+
+def _windows(column: pa.Array, lengths: list[int] | None) -> Iterator[tuple]:
+    """By piece: first row, and of each window row, place in the text, hash, whether it is low in words,
+    size, first token, end; then value hashes, and two lists of kinds (one with openers as names) and which of them holds.
+
+    ``lengths`` are the sizes of short windows in documents; None takes each short text as an item.
+    """
     for first, _, data, offsets in pieces(column):
-        row, h, value, kind = canonical(data, offsets)
-        at, hashes = windows(row, h, WINDOW)
+        row, h, value, kind, opener = canonical(data, offsets)
+        named = np.where(opener, np.int8(3), kind)
+        other = np.where(opener, mix(np.arange(4, dtype=np.uint64), 41)[3], h)
         words = np.r_[0, np.cumsum(kind == 0)]
-        end = np.minimum(at + WINDOW, len(row))
-        size = np.searchsorted(row, row[at], "right") if len(at) else at
-        end = np.minimum(end, size)
-        plain = words[end] - words[at]
-        keep = (plain >= LITERAL) | (plain == end - at)
-        at, hashes, end = at[keep], hashes[keep], end[keep]
-        start = np.searchsorted(row, row[at]) if len(at) else at
-        yield first, row[at], at - start, hashes, at, end, value, kind
+        rest = np.r_[0, np.cumsum(named == 0)]
+        head = np.searchsorted(row, row)
+        size = np.searchsorted(row, row, "right") - head  # tokens of the text
+        start = np.arange(len(row))
+        out = []
+        short = range(LITERAL, WINDOW) if lengths is None else lengths
+        for k in [WINDOW, *short]:
+            if k == WINDOW:
+                whole = (size < LITERAL) if lengths is None else (size < WINDOW)
+                at = np.flatnonzero((start + k <= head + size) | (whole & (start == head)))
+            else:
+                at = np.flatnonzero((size == k) & (start == head) if lengths is None else start + k <= head + size)
+            end = np.minimum(at + k, head[at] + size[at])
+            plain, fixed = words[end] - words[at], rest[end] - rest[at]
+            low = (plain < LITERAL) & (plain < end - at)
+            hashes = np.where(low, np.uint64(0), _spans(at, end, h, k))
+            hashes[low] = mix(_spans(at[low], end[low], value, k), 7)
+            both = np.flatnonzero((fixed < plain) & (fixed >= LITERAL))
+            out.append((at, end, hashes, low, np.zeros(len(at), bool)))
+            out.append((at[both], end[both], _spans(at[both], end[both], other, k), low[both], np.ones(len(both), bool)))
+        at, end, hashes, low, form = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield first, row[at], at - head[at], hashes, low, size[at], at, end, value, (kind, named), form
 
 
 def _slots(at: int, end: int, value: np.ndarray, kind: np.ndarray) -> list[int]:
@@ -111,21 +153,22 @@ def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
 
 
-_ITEM = "item_id long, place long, h long, slots array<long>, bit1 int, bit2 int"
+_ITEM = "item_id long, place long, h long, low boolean, size int, slots array<long>, bit1 int, bit2 int"
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        for first, row, place, hashes, at, end, value, kind in _windows(batch.column(1)):
+        for first, row, place, hashes, low, size, at, end, value, kinds, form in _windows(batch.column(1), None):
             one, two = _bits(hashes)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[first + r] for r in row], pa.int64()), pa.array(place, pa.int64()), pa.array(hashes.view(np.int64)),
-                    pa.array([_slots(a, b, value, kind) for a, b in zip(at, end, strict=True)], pa.list_(pa.int64())),
+                    pa.array(low), pa.array(size, pa.int32()),
+                    pa.array([_slots(a, b, value, kinds[f]) for a, b, f in zip(at, end, form.astype(int), strict=True)], pa.list_(pa.int64())),
                     pa.array(one, pa.int32()), pa.array(two, pa.int32()),
                 ],
-                ["item_id", "place", "h", "slots", "bit1", "bit2"],
+                ["item_id", "place", "h", "low", "size", "slots", "bit1", "bit2"],
             )
 
 
@@ -134,11 +177,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A text is named by its id and xxhash64, so that null and repeated ids are told apart by
     their texts, and repeated rows give one row. Ties go to the smaller item_id. Items with a
-    null id or text, and empty texts, match nothing; an item of under WINDOW tokens matches
-    only a text that equals it in canonical form. Other columns are not read.
+    null id or text, and empty texts, match nothing; an item of under LITERAL tokens matches
+    only a text that equals it. Other columns are not read.
     """
     spark = docs.sparkSession
+    stages = Stages(spark, "decontam")
     items = benchmark.select(F.col(item_col).cast("long"), F.col(item_text)).dropna().mapInArrow(_item_windows, _ITEM)
+    items = stages.keep(items, "items")
+    lengths = sorted(r["size"] for r in items.where(F.col("size").between(LITERAL, WINDOW - 1)).select("size").distinct().collect())
     marks = items.select(F.explode(F.array("bit1", "bit2")).alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)  # BLOOM_BITS rows at most
     flags = np.zeros(BLOOM_BITS, bool)
     flags[marks] = True
@@ -148,7 +194,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         bloom = spread.value
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, row, place, hashes, at, end, value, kind in _windows(batch.column(2)):
+            for first, row, place, hashes, _, _, at, end, value, kinds, form in _windows(batch.column(2), lengths):
                 hit = np.ones(len(hashes), bool)
                 for b in _bits(hashes):
                     hit &= ((bloom[b >> 3] >> (b & 7)) & 1).astype(bool)
@@ -157,15 +203,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     [
                         pa.array([ids[first + r] for r in row[i]], pa.int64()), pa.array([keys[first + r] for r in row[i]], pa.int64()),
                         pa.array(place[i], pa.int64()), pa.array(hashes[i].view(np.int64)),
-                        pa.array([_slots(at[j], end[j], value, kind) for j in i], pa.list_(pa.int64())),
+                        pa.array([_slots(at[j], end[j], value, kinds[int(form[j])]) for j in i], pa.list_(pa.int64())),
                     ],
                     ["doc_id", "text_hash", "at", "h", "found"],
                 )
 
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     found = found.mapInArrow(look, "doc_id long, text_hash long, at long, h long, found array<long>")
-    total = items.groupBy("item_id").agg(F.countDistinct("h").alias("windows"))
-    met = found.join(items.drop("bit1", "bit2"), "h").withColumn("shift", F.col("at") - F.col("place"))
+    places = [F.countDistinct("place"), F.countDistinct(F.when(~F.col("low"), F.col("place")))]
+    total = items.groupBy("item_id").agg(places[0].alias("all"), places[1].alias("most"))
+    met = stages.keep(found.join(items.drop("bit1", "bit2", "size"), "h").withColumn("shift", F.col("at") - F.col("place")), "met")
     line = ["doc_id", "text_hash", "item_id", "shift"]
     pairs = met.select(*line, "h", F.explode_outer(F.arrays_zip("slots", "found")).alias("p"))
     # per value of the item: how many windows, and whether it stands for one value only
@@ -174,9 +221,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.count(F.when(F.col("low") != F.col("high"), 1)).alias("torn"), F.count("slots").alias("values")
     ).where(F.col("torn") <= MISFIT * F.col("values"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in line]
-    counted = met.select(*line, "h").distinct().alias("a").join(fits.alias("b"), same, "left_semi")
-    best = counted.groupBy("doc_id", "text_hash", "item_id").agg(F.countDistinct("h").alias("n")).join(total, "item_id")
-    best = best.withColumn("cover", F.col("n") / F.col("windows")).where(F.col("cover") >= cover)
+    counted = met.select(*line, "place", "low").distinct().alias("a").join(fits.alias("b"), same, "left_semi")
+    best = counted.groupBy("doc_id", "text_hash", "item_id").agg(places[0].alias("n"), places[1].alias("m")).join(total, "item_id")
+    part = F.when(F.col("most") > 0, F.col("m") / F.col("most")).otherwise(0.0)
+    best = best.withColumn("cover", F.greatest(F.col("n") / F.col("all"), part)).where(F.col("cover") >= cover)
     return best.groupBy("doc_id", "text_hash").agg(F.max(F.struct("cover", (-F.col("item_id")).alias("item"))).alias("b")).select(
         "doc_id", "text_hash", (-F.col("b.item")).alias("item_id"), F.col("b.cover").alias("cover")
     )
