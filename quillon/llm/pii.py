@@ -2,17 +2,19 @@
 
 Entities: e-mail addresses, phone, card, IBAN and social-security numbers, IPv4 addresses,
 secrets (assigned tokens, keys and passwords, long hexadecimal strings, well-known key
-formats) and names after a form of address. Each is replaced by a keyed permutation of the
+formats) and names after a form of address or with a listed given name. Each is replaced by a keyed permutation of the
 strings of its format: digits become digits, vowels vowels, consonants consonants, letters
 stay in their script and case, separators stay. Card numbers keep whether their check digit
 is right, addresses whether they are private. A given name of the lists becomes one of the
-same gender; another name keeps its last letter, which carries gender in many languages.
+other list of its gender; another name keeps its last letter, which carries gender in many
+languages.
 
 A permutation maps different originals of one format to different surrogates, in all
 documents alike, without any exchange between tasks: the same entity always receives the
-same surrogate (coreference), and two entities never share one. In each text a check
-looks for surrogates that equal their original, another surrogate, or an original of that
-text; on a collision the permutation is applied again until there is none.
+same surrogate (coreference), and two entities never share one. Permutations are single
+cycles, so that no string of two or more of a format is its own surrogate, and there is no
+second try that would depend on the text. A surrogate may spell like another original of the
+text (which is replaced as well); such cases are counted.
 """
 
 from __future__ import annotations
@@ -39,6 +41,15 @@ GIVEN = {
     "f": "Alice Amelia Ana Anna Barbara Beatriz Camille Carmen Caroline Chloe Clara Claire Elena Elisabeth Ella Emily Emma Eva Grace Hannah Helga Ingrid Isabel Jane Julia Karen Katharina Laura Léa Lena Linda Lucia Lucy Manon Margaret Maria Marie Marta Mary Monika Olivia Patricia Petra Rosa Sarah Sofia Sophie Susan Ursula".split(),
 }
 
+# fixed values: seldom given names; a name of GIVEN becomes one of these, and the reverse
+SPARE = {
+    "m": "Absalom Adelmar Alaric Ambrose Anselm Archibald Balduin Barnaby Bertrand Caspian Clodoaldo Cuthbert Cyprian Dagobert Demetrio Eberhard Eleazar Emeric Eustace Evaristo Fulgencio Gaspard Gerwin Godfrey Gottlieb Hadrian Hartmut Hildebert Horatio Ignatius Isidor Jasper Joachim Leander Leocadio Lothar Ludovic Marcellin Melchior Meinrad Mortimer Octavian Osbert Osvaldo Percival Quentin Raimund Rodolfo".split(),
+    "f": "Adelheid Agatha Albertina Althea Anastasia Apollonia Araminta Aurelia Balbina Bernadette Brunhilde Calliope Cassandra Celestina Clementine Clotilde Cordelia Cressida Delphine Demetria Dorothea Edeltraud Eleonora Ernestine Esmeralda Euphemia Eustacia Felicitas Fiorella Florentine Gertrude Gisela Griselda Guadalupe Gwendolen Hermione Hildegard Hortense Imogen Jacinta Josephine Leocadia Leopoldine Ludmilla Magdalena Mathilda Melisande Millicent Octavia".split(),
+}
+LISTS = {g: (names, SPARE[g]) for g, names in GIVEN.items()}
+GIVEN = {g: [*a, *b] for g, (a, b) in LISTS.items()}
+_GENDER = {name: g for g, names in GIVEN.items() for name in names}
+
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 _SETS = [
     "0123456789", _VOWELS, _CONSONANTS, _VOWELS.upper(), _CONSONANTS.upper(),
@@ -54,7 +65,11 @@ _CJK = (0x4E00, 0x9FA6)
 _ADDRESS = "|".join(sorted(MALE + FEMALE + OTHER, key=len, reverse=True))
 _NAME_WORD = r"[^\W\d_a-zß-öø-ÿ][\w'’\-]*"
 _NAME = re.compile(rf"\b({_ADDRESS})(\.?[  ])({_NAME_WORD}(?:[  ]{_NAME_WORD}){{0,2}})")
-_ADDRESSES = {a + b for a in MALE + FEMALE + OTHER for b in ("", ".")}
+_ADDRESSES = MALE + FEMALE + OTHER
+_CAPITAL = re.compile(r"[A-Z]\w+")
+_NO_BLANK = re.compile(r"[^ \xa0]+")
+_ANY_GIVEN = "|".join(sorted(_GENDER, key=len, reverse=True))
+_FULL_NAME = re.compile(rf"\b((?:{_ANY_GIVEN})(?:[ \xa0](?:{_ANY_GIVEN}))*)[ \xa0]({_NAME_WORD})")
 _EMAIL = re.compile(r"[\w.%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+")
 _SECRET = re.compile(
     r"""(?P<assigned>(?i:token|passwd|password|pwd|secret|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key)["']?\s*[:=]\s*["']?)(?P<value>[A-Za-z0-9_\-/+=.]{8,})"""
@@ -91,20 +106,25 @@ class Permuter:
         return int.from_bytes(out[:need], "big") & ((1 << size) - 1)
 
     def number(self, x: int, n: int, tag: str) -> int:
-        """The image of x under a permutation of 0..n-1."""
+        """The image of x under a permutation of 0..n-1 that is a single cycle: x itself only if n is 1."""
         if n < 2:
             return x
+        y = (self._walk(x, n, tag) + 1) % n
+        return self._walk(y, n, tag, back=True)
+
+    def _walk(self, x: int, n: int, tag: str, back: bool = False) -> int:
         half = max(1, ((n - 1).bit_length() + 1) // 2)
         mask = (1 << half) - 1
         while True:
             left, right = x >> half, x & mask
-            for r in range(8):
-                left, right = right, left ^ self._round(right, half, f"{tag}|{n}|{r}".encode())
+            for r in reversed(range(8)) if back else range(8):
+                f = self._round(left if back else right, half, f"{tag}|{n}|{r}".encode())
+                left, right = (right ^ f, left) if back else (right, left ^ f)
             x = left << half | right
             if x < n:
                 return x
 
-    def _word(self, text: str, tag: str, sets: str = "letters", again: int = 0) -> str:
+    def _word(self, text: str, tag: str, sets: str = "letters") -> str:
         """The image of a string; characters outside the sets, and their places, stay."""
         places = {"hex": _HEX, "alnum": _ALNUM, "letters": _PLACE}[sets]
         found, x, n = [], 0, 1
@@ -116,8 +136,7 @@ class Permuter:
             if p:
                 x, n = x * len(p[0]) + p[1], n * len(p[0])
         form = hashlib.sha256("".join("." if p is None else str(len(p[0])) for p in found).encode()).hexdigest()
-        for _ in range(again + 1):
-            x = self.number(x, n, f"{tag}|{form}")
+        x = self.number(x, n, f"{tag}|{form}")
         out = []
         for c, p in zip(reversed(text), reversed(found), strict=True):
             if p is None:
@@ -127,16 +146,15 @@ class Permuter:
                 out.append(chr(p[0][i]) if isinstance(p[0], range) else p[0][i])
         return "".join(reversed(out))
 
-    def digits(self, text: str, tag: str, keep: int, valid, again: int = 0) -> str:
+    def digits(self, text: str, tag: str, keep: int, valid) -> str:
         """Digits of ``text`` after the first ``keep``, permuted until ``valid(digits)``; the rest stays."""
         own = [i for i, c in enumerate(text) if c.isdigit() and c.isascii()]
         number = "".join(text[i] for i in own)
         head, tail = number[:keep], number[keep:]
-        for _ in range(again + 1):
-            while True:
-                tail = self._word(tail, f"{tag}|{head}")
-                if valid(head + tail):
-                    break
+        while True:
+            tail = self._word(tail, f"{tag}|{head}")
+            if valid(head + tail):
+                break
         out = list(text)
         for i, c in zip(own, head + tail, strict=True):
             out[i] = c
@@ -158,46 +176,53 @@ class Surrogates:
     def __init__(self, key: str = DEFAULT_KEY):
         self.permuter = Permuter(key)
 
-    def _of(self, kind: str, text: str, again: int) -> str:
+    def _of(self, kind: str, text: str) -> str:
+        own = self._image(kind, text)
+        if own != text:
+            return own
+        # a format of one string, such as letters of no set: a name made from the keyed digest
+        digest = hmac.new(self.permuter.key, f"{kind.split('_')[0]}|{text}".encode(), hashlib.sha256).hexdigest()[:16]
+        return "X" + digest.translate(str.maketrans("0123456789", "ghijklmnop"))
+
+    def _image(self, kind: str, text: str) -> str:
         p = self.permuter
         if kind == "email":
             local, _, domain = text.rpartition("@")
             name, _, top = domain.rpartition(".")
-            return p.word(local + "@" + name, "email", "letters", again) + "." + top
+            return p.word(local + "@" + name, "email", "letters") + "." + top
         if kind == "ip":
             octets = [int(x) for x in text.split(".")]
             x = int.from_bytes(bytes(octets), "big")
-            for _ in range(again + 1):
-                while True:
-                    x = p.number(x, 1 << 32, "ip")
-                    if _private(list(x.to_bytes(4, "big"))) == _private(octets) and x >> 24:
-                        break
+            while True:
+                x = p.number(x, 1 << 32, "ip")
+                if _private(list(x.to_bytes(4, "big"))) == _private(octets) and bool(x >> 24) == bool(octets[0]):
+                    break
             return ".".join(map(str, x.to_bytes(4, "big")))
         if kind == "card":
             good = luhn("".join(c for c in text if c.isdigit()))
-            return p.digits(text, "card", 1, lambda d: luhn(d) == good, again)
+            return p.digits(text, "card", 1, lambda d: luhn(d) == good)
         if kind == "ssn":
             plain = not re.match("000|666|9", text)
-            return p.digits(text, "ssn", 0, lambda d: bool(re.match("000|666|9", d)) != plain, again)
+            return p.digits(text, "ssn", 0, lambda d: bool(re.match("000|666|9", d)) != plain)
         if kind == "phone":
             country = len(m[1]) if (m := re.match(r"\+(\d{1,3})[ .\-(]", text)) else 2 if text.startswith("+") else 0
             digits = "".join(c for c in text if c.isdigit())
             zero = digits[country : country + 1] == "0"
-            return p.digits(text, "phone", country, lambda d: (d[country : country + 1] == "0") == zero, again)
+            return p.digits(text, "phone", country, lambda d: (d[country : country + 1] == "0") == zero)
         if kind == "iban":
-            return text[:2] + p.word(text[2:], "iban", "alnum", again)
+            return text[:2] + p.word(text[2:], "iban", "alnum")
         if kind == "secret":
-            return p.word(text, "secret", "hex" if re.fullmatch("[0-9a-f]+", text) else "alnum", again)
-        gender, word = kind[-1], text
-        for g, names in GIVEN.items():
-            if word in names:
-                i = names.index(word)
-                for _ in range(again + 1):
-                    i = p.number(i, len(names), f"given|{g}")
-                return names[i]
-        if len(word) < 4:
-            return p.word(word, f"name|{gender}", "letters", again)
-        return p.word(word[:-1], f"name|{word[-1]}", "letters", again) + word[-1]
+            return p.word(text, "secret", "hex" if re.fullmatch("[0-9a-f]+", text) else "alnum")
+        if text in _GENDER:
+            g = _GENDER[text]
+            for names, others in (LISTS[g], LISTS[g][::-1]):
+                if text in names:
+                    return others[p.number(names.index(text), len(names), f"given|{g}|{names[0]}")]
+        word = text
+        while True:  # past the given names, which are images of each other
+            word = p.word(word, "name", "letters") if len(word) < 4 else p.word(word[:-1], f"name|{word[-1]}", "letters") + word[-1]
+            if word not in _GENDER:
+                return word
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) of the entities, in order, without overlaps."""
@@ -221,12 +246,16 @@ class Surrogates:
                         continue
                     spans.append((*m.span(), kind))
             spans += [(*m.span(), "iban") for m in _IBAN.finditer(text) if not text[: m.start()][-1:].isalnum()]
-        if not _ADDRESSES.isdisjoint(text.split()):
+        if any(a in text for a in _ADDRESSES):
             for m in _NAME.finditer(text):
                 g = "m" if m[1] in MALE else "f" if m[1] in FEMALE else "o"
                 at = m.start(3)
                 words = re.split(r"[  ]", m[3])
                 spans += [(at + (o := sum(len(w) + 1 for w in words[:i])), at + o + len(w), f"name_{g}") for i, w in enumerate(words)]
+        if not _GENDER.keys().isdisjoint(_CAPITAL.findall(text)):
+            for m in _FULL_NAME.finditer(text):
+                g = _GENDER[re.split(r"[ \xa0]", m[1])[0]]
+                spans += [(w.start(), w.end(), f"name_{g}") for w in _NO_BLANK.finditer(text, m.start(), m.end())]
         spans.sort(key=lambda s: (s[0], -s[1]))
         out: list[tuple[int, int, str]] = []
         for s in spans:
@@ -246,32 +275,22 @@ class Surrogates:
         return out
 
     def replace(self, text: str) -> tuple[str, dict[str, int], int]:
-        """The text with surrogates, entities by type, and collisions that were resolved."""
+        """The text with surrogates, entities by type, and surrogates that spell like an original of the text."""
         spans = self.find(text)
         if not spans:
             return text, {}, 0
-        originals = {text[a:b] for a, b, _ in spans}
         given: dict[str, str] = {}
-        used: set[str] = set()
         counts: dict[str, int] = {}
-        collisions = 0
         pieces, last = [], 0
         for a, b, kind in spans:
             own = text[a:b]
             if own not in given:
-                again = 0
-                while (s := self._of(kind, own, again)) in originals or s in used:
-                    again, collisions = again + 1, collisions + 1
-                    if again > 50:  # a format with next to no strings, such as a one-letter name
-                        s = f"{s}{len(used)}"
-                        break
-                given[own] = s
-                used.add(s)
+                given[own] = self._of(kind, own)
             counts[kind.split("_")[0]] = counts.get(kind.split("_")[0], 0) + 1
             pieces += [text[last:a], given[own]]
             last = b
         pieces.append(text[last:])
-        return "".join(pieces), counts, collisions
+        return "".join(pieces), counts, sum(s in given for s in given.values())
 
 
 TYPES = ["email", "phone", "ip", "card", "ssn", "iban", "secret", "name"]
