@@ -2,9 +2,8 @@
 
 Words are the lower-cased (A-Z) runs of letters, digits and non-ASCII characters. Document
 frequencies of the templates' words are counted over all documents. Of each template the
-``RARE`` words of highest IDF are indexed with their positions. A file looks up the
-``LOOKUPS`` indexed words of highest IDF that it has, and every indexed key word; postings are
-intersected by relative position: (word's place in the file) - (its place in the template)
+``RARE`` words of highest IDF are indexed with their positions. A file with a key word looks up
+every indexed word that it has (the index is of fixed size); postings are intersected by relative position: (word's place in the file) - (its place in the template)
 agrees for all words of one occurrence. A template counts if the indexed words found at
 one offset hold ``COVER`` of its weight and its mandatory phrase is in the file.
 """
@@ -20,6 +19,7 @@ from quillon.llm.exprs import ascii_lower
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RARE = 6
+#: Of the SQL only, which looks up so many words a file; the method looks up all.
 LOOKUPS = 16
 COVER = 0.7
 
@@ -121,7 +121,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ends = F.filter(F.sequence(F.lit(0), F.size("words") - 1), _ends_with(p))
         some = F.array_contains("words", p[-1]) & F.array_contains("words", p[0])
         places.append(F.when(some, F.transform(ends, _minus(len(p) - 1))).otherwise(F.array().cast("array<int>")))
-    looked = F.array_union(F.slice(F.array_intersect(_strings(by_idf), F.col("words")), 1, LOOKUPS), F.array_intersect(_strings(keys), F.col("words")))
+    looked = F.array_intersect(_strings(by_idf), F.col("words"))
     spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     second = first.select(
         "row", "doc_id", "n_words", "words",
