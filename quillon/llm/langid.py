@@ -145,18 +145,13 @@ def identify(rows: DataFrame, model: TextModel, keep: list[str]) -> DataFrame:
     total = np.array([whole[f"s{i}"] or 0.0 for i in range(n)]) + 1.0
     base = total / total.sum()
 
-    def given(key: str) -> dict[str, list[float]]:
-        """log P(value | language) for the 1,000 commonest values; the rest share one value."""
-        some = table(read_rows, key).orderBy(F.desc(sum(F.col(f"s{i}") for i in range(n))), key).limit(1000).toPandas()
-        counts = some[[f"s{i}" for i in range(n)]].to_numpy(float) + 0.5
-        return {k: list(np.log(c / total)) for k, c in zip(some[key], counts, strict=True)}
-
-    def evidence(key: str):
-        found = given(key)
-        if not found:
-            return F.array(*[F.lit(0.0)] * n)
-        values = F.create_map(*[x for k, v in found.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-        return F.coalesce(F.try_element_at(values, F.col(key)), F.array(*[F.lit(0.0)] * n))
+    def evidence(key: str, to: str) -> DataFrame:
+        """(key, to): log P(value | language) of every value."""
+        some = table(read_rows, key).select(key, F.array(*[F.log((F.col(f"s{i}") + 0.5) / float(total[i])) for i in range(n)]).alias(to))
+        return small(stages.keep(some, to))
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else df
 
     # host -> parent domain -> suffix -> all rows
     parent = lambda c: F.when(F.instr(c, ".") > 0, F.regexp_extract(c, r"([^.]+\.[^.]+)$", 1)).otherwise(F.lit(""))
@@ -167,12 +162,11 @@ def identify(rows: DataFrame, model: TextModel, keep: list[str]) -> DataFrame:
     mass = lambda p: sum(F.col(f"{p}{i}") for i in range(n))
     blend = lambda p, i, up: (F.col(f"{p}{i}") + STRENGTH * up) / (mass(p) + STRENGTH)
     priors = [F.log(blend("s", i, blend("parent", i, blend("top", i, F.lit(float(base[i]))))) / float(model.prior[i])) for i in range(n)]
-    hosts = stages.keep(hosts.select("host", F.array(*priors).alias("host_prior")), "hosts")
-    if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        hosts = F.broadcast(hosts)
+    hosts = small(stages.keep(hosts.select("host", F.array(*priors).alias("host_prior")), "hosts"))
     zero = F.array(*[F.lit(0.0)] * n)
-    parts = read_rows.join(hosts, "host", "left").select(
-        *keep, "ll", "p", F.coalesce("host_prior", zero).alias("h"), evidence("declared").alias("d"), evidence("suffix").alias("x")
+    known = read_rows.join(hosts, "host", "left").join(evidence("declared", "of_declared"), "declared", "left").join(evidence("suffix", "of_suffix"), "suffix", "left")
+    parts = known.select(
+        *keep, "ll", "p", F.coalesce("host_prior", zero).alias("h"), F.coalesce("of_declared", zero).alias("d"), F.coalesce("of_suffix", zero).alias("x")
     )
     logs = [F.col("ll")[i] + F.col("h")[i] + F.col("d")[i] + F.col("x")[i] + float(np.log(model.prior[i])) for i in range(n)]
     scored = parts.select(*keep, "p", F.array(*logs).alias("l")).withColumn("m", F.array_max("l"))
