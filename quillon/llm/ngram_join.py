@@ -5,24 +5,25 @@ split at ASCII white space, A-Z lower-cased); with one or two words the whole se
 is the one member. Two sets link when 100 * |A n B| >= 90 * |A u B|.
 
 Steps
-  1. One pass counts shingles in a table of ``FREQUENCY_BUCKETS`` counters (a fixed
-     size whatever the input), which gives one global order from rare to common.
-  2. A second pass writes per document: set size, a 128-bit key of the set and the
-     n - ceil(0.9 n) + 1 rarest members (two linked sets share one of these). Equal sets
-     collapse to one class; only classes go on.
-  3. Classes of similar size that share such a member are candidates. They are partitioned into groups of
-     similar sets: the smallest shingle hash names a family, and a family of more than
-     ``GROUP`` classes or ``GROUP_MEMBERS`` members is split by hash into as many groups
-     as it needs.
-  4. Each group of several classes is opened once: exact links inside it. The centres of
-     the resulting parts of split families are grouped and linked again, and then all
-     centres by the commonest of their rare members.
-  5. The token-group matrix holds, for each rare member, the groups having it, and is
-     needed only for members that occur in two or more components. A class outside a
-     member's largest component queries the groups of that member. The union of a group's
-     sets is kept as a bitmap of two bits or more a member; members of the query that fall
-     on an empty bit are in no set of the group, which bounds the overlap from above. Only
-     groups that reach ceil(0.9 n) are opened, that is read and compared exactly.
+  1. One pass counts shingles in a table of counters (16 a document, ``MOST_BUCKETS`` at most), which gives one
+     global order from rare to common.
+  2. A second pass writes per document: set size, a 128-bit key of the set, the n - ceil(0.9 n) + 1 rarest members
+     (two linked sets share one of these, named by 48 of their 64 bits) and a bitmap of the set with four bits or more
+     a member. Equal sets are one class.
+  3. Members that occur in one class only are dropped, by one shuffle of the rare members. A member whose counter
+     says that it may be frequent is kept without this test, so that no task holds the rows of a frequent member.
+     Classes that share a rare member are candidates. They are partitioned into groups of similar sets: the smallest
+     shingle hash names a family, and a family of more than ``GROUP`` classes or ``GROUP_MEMBERS`` members is split by
+     hash into as many groups as it needs.
+  4. Bitmaps bound the overlap of two sets from above: a member on a bit that is empty in the other set is not in it.
+     Inside a group, and inside groups by the commonest rare member, sets without any set within reach are put aside.
+     Texts of the rest are read; the groups are opened: exact links inside them. The centres of the resulting parts of
+     split families are grouped and linked again, and then all centres by the commonest of their rare members.
+  5. The token-group matrix holds, for each rare member, the groups having it, and is needed only for members that
+     occur in two or more components. A class outside a member's largest component queries the groups of that member.
+     The union of a group's sets is kept as a bitmap, which bounds the overlap of the query with any of them; in a group
+     that may reach ceil(0.9 n), the bitmaps of its sets are asked too. What still may link is opened, that is read and
+     compared exactly.
   6. Connected components over the links.
 
 A pair of different components has at least one side outside the member's largest
@@ -37,19 +38,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.textvec import SPACES, Words, distinct_by_row, mix, pieces, windows
 from quillon.operators.components import connected_components
 from quillon.store import Stages
 
-FREQUENCY_BUCKETS = 1 << 22
+MOST_BUCKETS = 1 << 24
 SLICES = 64
-GROUP = 2560
+#: A rare member that may have more rows than this, and than ``HOT_SHARE`` times the mean counter, is kept without a count.
+HOT_ROWS = 100_000
+HOT_SHARE = 20
+GROUP = 1024
 GROUP_MEMBERS = 500_000
 QUERIES = 512
-FETCH_BITS = 1 << 22
+BITS = 4
+MOST_FETCH_BITS = 1 << 28
 THRESHOLD = 90  # per cent
 
 
@@ -66,25 +71,28 @@ def _least(n: np.ndarray | int, threshold: int) -> np.ndarray | int:
     return (threshold * n + 99) // 100
 
 
-def _counter(shingle: int):
+def _slot(members: np.ndarray, buckets: int) -> np.ndarray:
+    return (members >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64)
+
+
+def _counter(shingle: int, buckets: int):
     """Counters of a task, as SLICES compressed runs."""
-    shift = np.uint64(64 - (FREQUENCY_BUCKETS.bit_length() - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(FREQUENCY_BUCKETS, np.uint32)
+        total = np.zeros(buckets, np.uint32)
         waiting, n = [], 0
 
         def add() -> None:
             nonlocal waiting, n
             if waiting:
-                total[:] += np.bincount(np.concatenate(waiting), minlength=FREQUENCY_BUCKETS).astype(np.uint32)
+                total[:] += np.bincount(np.concatenate(waiting), minlength=buckets).astype(np.uint32)
             waiting, n = [], 0
 
         for batch in batches:
             for _, _, _, members in _sets(batch.column(0), shingle):
-                waiting.append((members >> shift).astype(np.int32))
+                waiting.append(_slot(members, buckets).astype(np.int32))
                 n += len(members)
-                if n > FREQUENCY_BUCKETS:
+                if n > buckets:
                     add()
         add()
         yield _packed(dict(enumerate(total.reshape(SLICES, -1))))
@@ -97,27 +105,27 @@ def _packed(runs: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(runs), pa.int32()), pa.array(data, pa.binary())], ["slice", "counts"])
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    size = FREQUENCY_BUCKETS // SLICES * 4
-    return np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True), np.uint32)
+def _unpacked(data: bytes, buckets: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=buckets // SLICES * 4, codec="zstd", asbytes=True), np.uint32)
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            run = _unpacked(data)
-            total[i] = total[i] + run if i in total else run
-    yield _packed(total)
+def _frequencies(source: DataFrame, shingle: int) -> np.ndarray:
+    """Occurrences by bucket, over all documents: 16 buckets a document, ``MOST_BUCKETS`` at most."""
+    buckets = min(MOST_BUCKETS, max(1 << 16, 1 << (16 * source.count()).bit_length()))
 
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                run = _unpacked(data, buckets)
+                total[i] = total[i] + run if i in total else run
+        yield _packed(total)
 
-def _frequencies(source: DataFrame, shingle: int) -> np.ndarray:
-    """Occurrences by bucket, over all documents (FREQUENCY_BUCKETS counters, whatever the input)."""
     form = "slice int, counts binary"
-    rows = source.select("text").mapInArrow(_counter(shingle), form).repartition(SLICES, "slice").mapInArrow(_add_up, form).collect()
-    table = np.zeros((SLICES, FREQUENCY_BUCKETS // SLICES), np.uint32)
+    rows = source.select("text").mapInArrow(_counter(shingle, buckets), form).repartition(SLICES, "slice").mapInArrow(add_up, form).collect()
+    table = np.zeros((SLICES, buckets // SLICES), np.uint32)
     for r in rows:
-        table[r["slice"]] += _unpacked(r["counts"])
+        table[r["slice"]] += _unpacked(r["counts"], buckets)
     return table.ravel()
 
 
@@ -131,12 +139,12 @@ def _key(members: np.ndarray, starts: np.ndarray) -> list[bytes]:
     return [raw[16 * i : 16 * i + 16] for i in range(len(starts))]
 
 
-_SIGNATURE = "doc_id long, n long, k binary, family long, rare array<long>, bits binary"
+_SIGNATURE = "doc_id long, n long, k binary, family long, rare array<long>, hot array<long>, bits binary"
 
 
 def _bit_lengths(n: np.ndarray) -> np.ndarray:
-    """Bits of the bitmap of a set of n: a power of two, 2 n at least."""
-    return np.where(n > 0, 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * n, 1)))).astype(np.int64), 0)
+    """Bits of the bitmap of a set of n: a power of two, BITS n at least."""
+    return np.where(n > 0, 1 << np.maximum(6, np.ceil(np.log2(np.maximum(BITS * n, 1)))).astype(np.int64), 0)
 
 
 def _bitmaps(row: np.ndarray, members: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -148,11 +156,10 @@ def _bitmaps(row: np.ndarray, members: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((offsets // 8).astype(np.int32)), pa.py_buffer(packed)])
 
 
-def _signer(shingle: int, threshold: int, frequency):
-    shift = np.uint64(64 - (FREQUENCY_BUCKETS.bit_length() - 1))
-
+def _signer(shingle: int, threshold: int, frequency, hot_rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = frequency.value
+        hot_from = max(hot_rows, int(HOT_SHARE * common.mean()))
         for batch in batches:
             ids = batch.column(0)
             for first, end, row, members in _sets(batch.column(1), shingle):
@@ -165,19 +172,86 @@ def _signer(shingle: int, threshold: int, frequency):
                 family = np.zeros(end - first, np.uint64)
                 if len(full):
                     family[full] = np.minimum.reduceat(mix(members, 13), starts)
-                order = np.lexsort((members, common[(members >> shift).astype(np.int64)], row))
+                count = common[_slot(members, len(common))]
+                order = np.lexsort((members, count, row))
                 take = np.where(n > 0, n - _least(n, threshold) + 1, 0)
                 rank = np.arange(len(row)) - np.repeat(starts, n[full])
-                rare = members[order][rank < take[row]]
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)].astype(np.int32)), pa.array(rare.view(np.int64)))
+                chosen = order[rank < take[row]]
+                token, of, hot = (members[chosen] >> np.uint64(16)).view(np.int64), row[chosen], count[chosen] >= hot_from
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, end - first), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(family.view(np.int64)), lists, _bitmaps(row, members, n)],
-                    ["doc_id", "n", "k", "family", "rare", "bits"],
+                    [
+                        ids.slice(first, end - first), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(family.view(np.int64)),
+                        _lists(of[~hot], token[~hot], end - first), _lists(of[hot], token[hot], end - first), _bitmaps(row, members, n),
+                    ],
+                    ["doc_id", "n", "k", "family", "rare", "hot", "bits"],
                 )
 
     return sign
 
 
+def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(values))
+
+
+def _fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps in rows, of ``size`` bytes."""
+    return bits if bits.shape[1] == size else np.bitwise_or.reduce(bits.reshape(len(bits), -1, size), axis=1)
+
+
+def _ones(bits: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits).sum(1, dtype=np.int64)
+
+
+class _Bitmaps:
+    """Bitmaps of the sets of a group, by length."""
+
+    def __init__(self, n: list[int], bits: list[bytes]):
+        self.n = np.array(n, np.int64)
+        self.bits = bits
+        size = np.array([len(b) for b in bits], np.int64)
+        self.by = []
+        for length in np.unique(size).tolist():
+            at = np.flatnonzero(size == length)
+            self.by.append((at, np.frombuffer(b"".join(bits[i] for i in at), np.uint8).reshape(len(at), length)))
+
+    def near(self, n: int, bits: bytes, threshold: int, live: np.ndarray) -> np.ndarray:
+        """The sets among ``live`` that a set of n with this bitmap may link to."""
+        own, out = np.frombuffer(bits, np.uint8)[None], []
+        for at, table in self.by:
+            keep = live[at] & (100 * self.n[at] >= threshold * n) & (threshold * self.n[at] <= 100 * n)
+            if keep.any():
+                at, size = at[keep], min(own.shape[1], table.shape[1])
+                mine, theirs = _fold(own, size), _fold(table[keep], size)
+                most = np.minimum(n - _ones(mine & ~theirs), self.n[at] - _ones(theirs & ~mine))
+                out.append(at[(most > 0) & (100 * most >= threshold * (n + self.n[at] - most))])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _screen(threshold: int):
+    """Columns g, h, n, bits sorted by g: the h that may link to another of their group."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, 1):
+            h, n, bits = (table.column(i).to_pylist() for i in (1, 2, 3))
+            group = _Bitmaps(n, bits)
+            free, kept = np.ones(len(h), bool), []
+            for i in range(len(h)):
+                if not free[i]:
+                    continue
+                free[i], waiting, part = False, [i], [i]
+                while waiting:  # all that hang together by sets within reach
+                    j = waiting.pop()
+                    near = group.near(n[j], bits[j], threshold, free)
+                    free[near] = False
+                    waiting.extend(near.tolist())
+                    part.extend(near.tolist())
+                if len(part) > 1:
+                    kept.extend(part)
+            yield pa.RecordBatch.from_arrays([pa.array([h[i] for i in kept], pa.int64())], ["h"])
+
+    return check
+
+
 class _Open:
     """Sets of a group, held as one array sorted by member."""
 
@@ -239,7 +313,7 @@ def _root(parent: list[int], i: int) -> int:
 
 
 def _inner(shingle: int, threshold: int):
-    """Columns g, c, text sorted by g: each c with the centre of its part of the group."""
+    """Columns g, h, text sorted by g: each h with the centre of its part of the group."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, 1):
@@ -262,51 +336,50 @@ def _inner(shingle: int, threshold: int):
                 if r not in best or (degree[i], group.names[i]) > (degree[best[r]], group.names[best[r]]):
                     best[r] = i
             roots = [group.names[best[_root(parent, i)]] for i in first.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.int64()), pa.array(roots, pa.int64())], ["c", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.int64()), pa.array(roots, pa.int64())], ["h", "root"])
 
     return link
 
 
-def _fold(bits: np.ndarray, size: int) -> np.ndarray:
-    return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0) if len(bits) > size else bits
-
-
 def _bound(threshold: int):
-    """Columns g, part, query, c, comp, n, bits sorted by the first three: (g, c) that may link."""
+    """Columns g, part, query, h, root, n, bits sorted by the first three: (g, h, query) that may link."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current = None
-        unions: dict[int, list] = {}
-        for batch in batches:
-            keep_g, keep_c = [], []
-            for g, part, query, c, comp, n, bits in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if (g, part) != current:
-                    current, unions = (g, part), {}
-                own = np.frombuffer(bits, np.uint8)
-                if not query:
-                    u = unions.setdefault(len(own), [np.zeros(len(own), np.uint8), n, n, comp])
-                    u[0] = u[0] | own
-                    u[1], u[2] = min(u[1], n), max(u[2], n)
-                    u[3] = comp if u[3] == comp else None
+        for table in _runs(batches, 2):
+            g, query, h, root, n, bits = (table.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6))
+            members = query.index(1) if 1 in query else len(query)
+            group, of = _Bitmaps(n[:members], bits[:members]), np.array(root[:members])
+            unions = [(np.bitwise_or.reduce(table, axis=0)[None], group.n[at]) for at, table in group.by]
+            asked, found = np.zeros(members, bool), []
+            for i in range(members, len(h)):
+                if not _reaches(n[i], bits[i], unions, threshold):
                     continue
-                least = _least(n, threshold)
-                for size in (len(own) // 2, len(own), 2 * len(own)):
-                    u = unions.get(size)
-                    if u is None or u[3] == comp or 100 * u[2] < threshold * n or threshold * u[1] > 100 * n:
-                        continue
-                    small = min(size, len(own))
-                    missing = int(np.bitwise_count(_fold(own, small) & ~_fold(u[0], small)).sum())
-                    if n - missing >= least:
-                        keep_g.append(g)
-                        keep_c.append(c)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(keep_g, pa.int64()), pa.array(keep_c, pa.int64())], ["g", "c"])
+                near = group.near(n[i], bits[i], threshold, of != root[i])
+                if len(near):
+                    asked[near] = True
+                    found.append(h[i])
+            own = [h[i] for i in np.flatnonzero(asked).tolist()]
+            kinds = [0] * len(own) + [1] * len(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g[0]] * len(kinds), pa.int64()), pa.array(own + found, pa.int64()), pa.array(kinds, pa.int32())], ["g", "h", "query"]
+            )
 
     return check
 
 
+def _reaches(n: int, bits: bytes, unions: list, threshold: int) -> bool:
+    """Whether a set of n may share enough with one of the unions (bitmap, sizes of its sets)."""
+    own = np.frombuffer(bits, np.uint8)[None]
+    for union, sizes in unions:
+        if 100 * sizes.max() >= threshold * n and threshold * sizes.min() <= 100 * n:
+            size = min(own.shape[1], union.shape[1])
+            if n - _ones(_fold(own, size) & ~_fold(union, size))[0] >= _least(n, threshold):
+                return True
+    return False
+
+
 def _outer(shingle: int, threshold: int):
-    """Columns g, part, query, c, comp, text sorted by the first three: links of queries to members."""
+    """Columns g, part, query, h, root, text sorted by the first three: links of queries to members."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, 2):
@@ -332,16 +405,19 @@ def _outer(shingle: int, threshold: int):
 
 
 def _fetched(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (doc_id, text) of the ids in ``wanted`` (column c), and some more.
+    """Rows (h, text) for ``wanted`` (h, c): the texts of the documents c, each once.
 
-    A bitmap of FETCH_BITS over hashed ids (a fixed size) spares the shuffle most other
-    rows; the exact join follows.
+    A bitmap over hashed ids, eight bits an id and ``MOST_FETCH_BITS`` at most, spares the shuffle most other rows;
+    the exact join follows.
     """
-    slot = F.pmod(F.xxhash64(F.col("c")), F.lit(FETCH_BITS)).cast("int")
-    at = wanted.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)  # FETCH_BITS rows at most
-    flags = np.zeros(FETCH_BITS, bool)
-    flags[at] = True
-    spread = source.sparkSession.sparkContext.broadcast(np.packbits(flags, bitorder="little"))
+    bits = min(MOST_FETCH_BITS, max(1 << 16, 1 << (8 * wanted.count()).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(bits))
+    at = slot("c") + 1  # buckets of 32768 bits count from 1, as do their values
+    packed = wanted.groupBy(F.bitmap_bucket_number(at).alias("i")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("b")).collect()
+    flags = np.zeros((bits >> 15, 4096), np.uint8)
+    for r in packed:
+        flags[r["i"] - 1] = np.frombuffer(r["b"], np.uint8)
+    spread = source.sparkSession.sparkContext.broadcast(flags.ravel())
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,17 +427,18 @@ def _fetched(source: DataFrame, wanted: DataFrame) -> DataFrame:
                 kept = batch.filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(2)], ["doc_id", "text"])
 
-    slot = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(FETCH_BITS)).cast("int")
-    return source.where("doc_id is not null").select(slot.alias("slot"), "doc_id", "text").mapInArrow(some, "doc_id long, text string")
+    found = source.where("doc_id is not null").select(slot("doc_id").alias("slot"), "doc_id", "text").mapInArrow(some, "doc_id long, text string")
+    named = wanted.join(found, F.col("c") == F.col("doc_id")).select("h", "text", F.xxhash64("text").alias("same"))
+    return named.groupBy("h", "same").agg(F.first("text").alias("text")).drop("same")
 
 
 def _grouped(nodes: DataFrame, group: int) -> DataFrame:
-    """nodes(c, n, family, ...) with the group g, the family's classes, and ``split``: whether it has more groups."""
+    """nodes(h, n, family, ...) with the group g, the family's classes, and ``split``: whether it has more groups."""
     sizes = nodes.groupBy("family").agg(F.count("*").alias("classes"), F.sum("n").alias("members"))
     count = lambda c, most: F.ceil(F.col(c) / F.lit(float(most))).cast("long")
     sizes = sizes.select("family", "classes", F.greatest(count("classes", group), count("members", GROUP_MEMBERS)).alias("parts"))
-    g = F.xxhash64("family", F.pmod(F.xxhash64("c"), F.col("parts")))
-    return nodes.join(sizes, "family").select(g.alias("g"), nodes["*"], "classes", (F.col("parts") > 1).alias("split"))
+    g = F.xxhash64("family", F.pmod(F.xxhash64("h"), F.col("parts")))
+    return nodes.join(sizes, "family").select(g.alias("g"), *nodes.columns, "classes", (F.col("parts") > 1).alias("split"))
 
 
 def ngram_jaccard_components(
@@ -371,6 +448,7 @@ def ngram_jaccard_components(
     threshold: int = THRESHOLD,
     shingle: int = 3,
     group: int = GROUP,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row (doc_id, n_shingles, component_id) per row of ``docs``.
 
@@ -378,110 +456,112 @@ def ngram_jaccard_components(
     set and its own id. A row with a null id gets the component of its class, or null if
     no row of it has an id. Rows repeated with the same id count as equal sets; an id that
     comes with several texts is one document that links by each of them. Other columns are
-    not read, so their names may clash with ours. An empty table gives no rows.
+    not read, so their names may clash with ours. An empty table gives no rows. A very long
+    text is held whole by the task that reads it, and counts as a group of its own.
     """
     spark = docs.sparkSession
     stages = Stages(spark, "ngram-join")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     frequency = spark.sparkContext.broadcast(_frequencies(source, shingle))
 
-    signed = stages.keep(source.mapInArrow(_signer(shingle, threshold, frequency), _SIGNATURE), "signed")
-    classes = (
-        signed.where("n > 0")
-        .groupBy("k")
-        .agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("family").alias("family"), F.first("rare").alias("rare"), F.first("bits").alias("bits"))
-        .where("c is not null")
+    signed = stages.keep(source.mapInArrow(_signer(shingle, threshold, frequency, hot_rows), _SIGNATURE), "signed")
+    ids = stages.keep(signed.select("doc_id", "n", F.xxhash64("k").alias("h")), "ids")
+    classes = ids.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("c")).where("c is not null")
+
+    # rare members of two classes or more; counters bound the rows of each that is not hot
+    of_token = Window.partitionBy("token")
+    every = signed.where("n > 0").withColumn("h", F.xxhash64("k"))
+    rare = every.select("h", F.explode("rare").alias("token")).select(
+        "token", "h", F.min("h").over(of_token).alias("low"), F.max("h").over(of_token).alias("high"), F.count("*").over(of_token).alias("rows")
     )
-    classes = stages.keep(classes, "classes")
-    # sets that link differ in size by a band at most
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.0001 * math.log(threshold / 100))).cast("int")
-    rare = classes.select("c", band.alias("band"), F.explode("rare").alias("token"))
-    shared = rare.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
-    cells = stages.keep(rare.join(shared, "token"), "cells")
+    rare = rare.where("low != high").select("token", "h", "rows").distinct()
+    hot = every.select(F.explode("hot").alias("token"), "h", F.lit(hot_rows).cast("long").alias("rows")).distinct()
+    cells = stages.keep(rare.unionByName(hot), "cells")
 
-    common = cells.groupBy("c").agg(F.max(F.struct("classes", "token"))["token"].alias("common"))
-    candidates = classes.select("c", "n", "family").join(common, "c").dropDuplicates(["c"])
-    nodes = stages.keep(_grouped(candidates, group), "nodes")
-    texts = nodes.join(_fetched(source, nodes), F.col("c") == F.col("doc_id")).drop("doc_id")
-    texts = stages.keep(texts, "texts")
+    common = cells.groupBy("h").agg(F.max(F.struct("rows", "token"))["token"].alias("common"))
+    candidates = common.join(classes, "h")
+    shapes = signed.select(F.col("doc_id").alias("c"), F.xxhash64("k").alias("h"), "n", "family", "bits").join(candidates, ["c", "h"])
+    shapes = shapes.groupBy("h", "c", "common").agg(*[F.first(x).alias(x) for x in ("n", "family", "bits")])
+    nodes = stages.keep(_grouped(shapes, group), "nodes")
+    stages.drop("signed")
+
+    def screened(rows: DataFrame) -> DataFrame:
+        rows = rows.where("classes > 1").select("g", "h", "n", "bits")
+        return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_screen(threshold), "h long")
+
+    by_common = _grouped(nodes.select("h", "n", "bits", F.col("common").alias("family")), group)
+    maybe = stages.keep(screened(nodes).union(screened(by_common)).distinct(), "maybe")
+    texts = stages.keep(_fetched(source, nodes.select("h", "c").join(maybe, "h", "left_semi")), "texts")
 
     def linked(rows: DataFrame) -> DataFrame:
-        return rows.select("g", "c", "text").repartition("g").sortWithinPartitions("g").mapInArrow(_inner(shingle, threshold), "c long, root long")
+        return rows.select("g", "h", "text").repartition("g").sortWithinPartitions("g").mapInArrow(_inner(shingle, threshold), "h long, root long")
 
-    parts = stages.keep(linked(texts.where("classes > 1")).union(nodes.where("classes = 1").select("c", "c")), "parts")
+    plain = nodes.drop("bits")
+    near = linked(plain.where("classes > 1").select("g", "h").join(texts, "h"))
+    parts = stages.keep(plain.select("h").join(near, "h", "left").select("h", F.coalesce("root", "h").alias("root")), "parts")
     # centres meet again: those of split families, then all by the commonest of their rare members
     for level, (some, family) in enumerate((("split", "family"), ("true", "common"))):
-        centres = texts.where(some).select("c", "n", F.col(family).alias("family"), "text").join(parts.where("c = root").select("c"), "c", "left_semi")
+        centres = plain.where(some).select("h", "n", F.col(family).alias("family")).join(parts.where("h = root").select("h"), "h", "left_semi")
+        centres = centres.join(maybe, "h", "left_semi")
         centres = stages.keep(_grouped(centres, group).where("classes > 1"), f"centres{level}")
         if centres.isEmpty():
             continue
-        again = linked(centres).select(F.col("c").alias("root"), F.col("root").alias("higher"))
-        parts = stages.keep(
-            parts.join(again, "root", "left").select("c", F.coalesce("higher", "root").alias("root")), f"parts{level}"
-        )
-
-    # the token-group matrix, of members that occur in several components
-    known = stages.keep(nodes.select("c", "g").join(parts, "c"), "known")
-    cell = stages.keep(cells.join(known, "c"), "matrix")
+        again = linked(centres.join(texts, "h")).select(F.col("h").alias("root"), F.col("root").alias("higher"))
+        parts = stages.keep(parts.join(again, "root", "left").select("h", F.coalesce("higher", "root").alias("root")), f"parts{level}")
+    stages.drop("texts", "maybe")
+
+    # the token-group matrix, of members that occur in several components; sets that link differ in size by a band at most
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.0001 * math.log(threshold / 100))).cast("int")
+    known = stages.keep(plain.select("h", "g", band.alias("band")).join(parts, "h"), "known")
+    cell = stages.keep(cells.select("token", "h").join(known, "h"), "matrix")
+    stages.drop("cells")
     per_root = cell.groupBy("token", "root").agg(F.count("*").alias("n"))
     mixed = (
         per_root.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("major")).where("roots > 1")
         .select("token", F.col("major.root").alias("major"))
     )
-    cell = cell.join(mixed, "token")
+    cell = stages.keep(cell.join(mixed, "token"), "mixed")
+    stages.drop("matrix")
     near_bands = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
-    asking = cell.where("root != major").select("token", near_bands, "c", F.col("root").alias("of"))
+    asking = cell.where("root != major").select("token", near_bands, "h", F.col("root").alias("of"))
     columns = cell.groupBy("token", "band", "g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    pairs = asking.join(columns, ["token", "band"]).where("not (low = of and high = of)").select("g", "c").distinct()
+    pairs = asking.join(columns, ["token", "band"]).where("not (low = of and high = of)").select("g", "h").distinct()
     pairs = stages.keep(pairs, "pairs")
-    sized = known.join(classes.select("c", "n", "bits"), "c").withColumnRenamed("root", "comp")
-    sorted_by = ["g", "part", "query"]
-    near = _dealt(pairs, sized, ["n", "bits"]).sortWithinPartitions(*sorted_by).mapInArrow(_bound(threshold), "g long, c long")
+    sized = known.select("h", "g", "root").join(nodes.select("h", "n", "bits"), "h")
+    held = sized.join(pairs.select("g").distinct(), "g", "left_semi")
+    asked = pairs.join(sized.drop("g"), "h")
+    near = _dealt(held, asked, ["n", "bits"]).mapInArrow(_bound(threshold), "g long, h long, query int")
     near = stages.keep(near.distinct(), "near")
+    stages.drop("mixed", "pairs")
     if near.isEmpty():
         final = parts
     else:
-        open_groups = known.join(near.select("g").distinct(), "g", "left_semi").select("c")
-        wanted = open_groups.union(near.select("c")).distinct()
-        full = known.withColumnRenamed("root", "comp").join(wanted, "c", "left_semi").join(texts.select("c", "text"), "c")
-        full = stages.keep(full.select("c", "g", "comp", "text"), "full")
-        edges = _dealt(near, full, ["text"]).sortWithinPartitions(*sorted_by).mapInArrow(_outer(shingle, threshold), "src long, dst long")
+        wanted = nodes.select("h", "c").join(near.select("h").distinct(), "h", "left_semi")
+        full = stages.keep(near.join(known.select("h", "root"), "h").join(_fetched(source, wanted), "h"), "full")
+        edges = _dealt(full.where("query = 0"), full.where("query = 1"), ["text"]).mapInArrow(_outer(shingle, threshold), "src long, dst long")
         joined = connected_components(stages.keep(edges.distinct(), "edges")).select(F.col("node").alias("root"), F.col("component").alias("higher"))
-        final = parts.join(joined, "root", "left").select("c", F.coalesce("higher", "root").alias("root"))
+        final = parts.join(joined, "root", "left").select("h", F.coalesce("higher", "root").alias("root"))
 
-    least = final.groupBy("root").agg(F.min("c").alias("component"))
-    of_class = (
-        classes.select("k", "c")
-        .join(final.join(least, "root").select("c", "component"), "c", "left")
-        .select("k", F.coalesce("component", "c").alias("component"))
-    )
-    of_class = stages.keep(of_class, "of_class")
+    own = final.join(nodes.select("h", "c"), "h")
+    least = own.groupBy("root").agg(F.min("c").alias("component"))
+    of_class = classes.join(own.join(least, "root").select("h", "component"), "h", "left").select("h", F.coalesce("component", "c").alias("component"))
     out = (
-        signed.select("doc_id", F.col("n").alias("n_shingles"), "k")
-        .join(of_class, "k", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        ids.join(of_class, "h", "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
     out = stages.keep(out, "result")
     out = _one_per_id(out, stages)
-    stages.drop("signed", "classes", "cells", "nodes", "texts", "parts", "parts0", "parts1", "centres0", "centres1", "known", "matrix", "pairs", "near", "full", "edges", "of_class")
+    stages.drop("ids", "nodes", "parts", "parts0", "parts1", "centres0", "centres1", "known", "near", "full", "edges")
     return out
 
 
-def _dealt(pairs: DataFrame, rows: DataFrame, more: list[str]) -> DataFrame:
-    """Members and queries of each group, in parts of about QUERIES queries.
-
-    pairs has (g, c of a query); rows has each class once with its own g, comp and ``more``.
-    """
-    parts = pairs.groupBy("g").agg(F.ceil(F.count("*") / F.lit(float(QUERIES))).cast("long").alias("parts"))
+def _dealt(held: DataFrame, asked: DataFrame, more: list[str]) -> DataFrame:
+    """Members and queries (g, h, root and ``more``) of each group, in parts of about QUERIES queries, sorted."""
+    parts = asked.groupBy("g").agg(F.ceil(F.count("*") / F.lit(float(QUERIES))).cast("long").alias("parts"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
-    held = rows.join(parts, "g").select("g", every, F.lit(0).alias("query"), "c", "comp", *more)
-    asked = (
-        pairs.join(parts, "g")
-        .select("g", F.pmod(F.xxhash64("c"), F.col("parts")).alias("part"), "c")
-        .join(rows.drop("g"), "c")
-        .select("g", "part", F.lit(1).alias("query"), "c", "comp", *more)
-    )
-    return held.unionByName(asked).repartition("g", "part")
+    members = held.join(parts, "g").select("g", every, F.lit(0).alias("query"), "h", "root", *more)
+    queries = asked.join(parts, "g").select("g", F.pmod(F.xxhash64("h"), F.col("parts")).alias("part"), F.lit(1).alias("query"), "h", "root", *more)
+    return members.unionByName(queries).repartition("g", "part").sortWithinPartitions("g", "part", "query")
 
 
 def _one_per_id(out: DataFrame, stages: Stages) -> DataFrame:
