@@ -1,26 +1,27 @@
 """License scan by a positional rare-token index.
 
-Words are the lower-cased (A-Z) runs of letters, digits and non-ASCII characters. Document
-frequencies of the templates' words are counted over all documents. Of each template the
-``RARE`` words of highest IDF are indexed with their positions. A file with a key word looks up
-every indexed word that it has (the index is of fixed size); postings are intersected by relative position: (word's place in the file) - (its place in the template)
-agrees for all words of one occurrence. A template counts if the indexed words found at
-one offset hold ``COVER`` of its weight and its mandatory phrase is in the file.
+Words are the lower-cased (A-Z) runs of letters, digits and non-ASCII characters. One pass over the texts counts
+words and notes which words of the templates a file has; files that have all words of a mandatory phrase also keep
+the places of these words. Document frequencies are counted over all files. Of each template the ``RARE`` words of
+highest IDF are indexed with their positions. Every indexed word of such a file is looked up (the index is of fixed
+size) and postings are intersected by relative position: (word's place in the file) - (its place in the template)
+agrees for all words of one occurrence. A template counts if the indexed words found at one offset hold ``COVER`` of
+its weight and its mandatory phrase is in the file. After the first pass all work is inside a row, without a shuffle.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.exprs import ascii_lower
+from quillon.store import Stages
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Runs of the characters outside [\x00-\x2F\x3A-\x60\x7B-\x7F], of a text without A-Z.
+WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 RARE = 6
-#: Of the SQL only, which looks up so many words a file; the method looks up all.
-LOOKUPS = 16
 COVER = 0.7
 
 # fixed values: phrases and labels of the base
@@ -41,131 +42,123 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
     ("proprietary", "all rights reserved", "all rights reserved"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "without warranty of any kind express or implied"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "distributed on an as is basis"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "endorse or promote products"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "retain the above copyright notice"),
+    ("agpl", "under the terms of the gnu affero general public license as published", "affero general public license"),
+    ("epl", "made available under the terms of the eclipse public license v 2 0", "eclipse public license"),
+    ("bsl", "distributed under the boost software license version 1 0", "boost software license"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "without any express or implied warranty"),
+    ("cc0", "dedicated to the public domain under cc0 1 0 universal", "cc0 1 0 universal"),
+    ("cc-by", "licensed under cc by 4 0", "cc by 4"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one", "copy of the mpl"),
 ]
 
 
-def _strings(values) -> object:
+def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def _ends_with(phrase: list[str]):
-    """Whether the phrase ends at word i of ``words``."""
-
-    def ends(i):
-        ok = F.get("words", i) == phrase[-1]
-        for k in range(1, len(phrase)):
-            ok = ok & (F.get("words", i - k) == phrase[-1 - k])
-        return ok
-
-    return ends
-
-
-def _minus(n: int):
-    return lambda i: i - n
-
-
-def document_frequencies(docs: DataFrame, words: list[str], text_col: str = "text") -> tuple[int, dict[str, int]]:
-    """How many documents there are, and how many have each of ``words`` (a bounded list)."""
-    found = F.array_intersect(_strings(words), F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(0)))
-    rows = docs.select(F.explode(F.concat(F.array(F.lit("")), found)).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
+def document_frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
+    """How many files there are, and how many have each word of the templates (a bounded list)."""
+    rows = files.select(F.explode(F.concat(F.array(F.lit("")), "present")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
     counts = {r["w"]: r["n"] for r in rows}
     return counts.pop("", 0), counts
 
 
-def rare_index(n: int, counts: dict[str, int], templates=TEMPLATES) -> tuple[list[tuple[int, str, int, float]], dict[str, float]]:
-    """Postings (template, word, place, weight in the template) and the IDF of each indexed word."""
+def rare_index(n: int, counts: dict[str, int], templates=TEMPLATES) -> list[tuple[int, str, int, float]]:
+    """Postings (template, word, place, weight in the template)."""
     idf = lambda w: math.log((n + 1) / (counts.get(w, 0) + 1)) + 1
-    postings, known = [], {}
+    postings = []
     for i, (_, opening, _) in enumerate(templates):
         words = opening.split()
         rare = sorted(set(words), key=lambda w: (-idf(w), w))[:RARE]
         total = sum(idf(w) for w in words if w in rare)
-        for place, w in enumerate(words):
-            if w in rare:
-                postings.append((i, w, place, idf(w) / total))
-                known[w] = idf(w)
-    return postings, known
+        postings += [(i, w, place, idf(w) / total) for place, w in enumerate(words) if w in rare]
+    return postings
+
+
+def words_of(docs: DataFrame, vocabulary: list[str], phrases: list[str], id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_words, the words of ``vocabulary`` present, and their places (null if no phrase has all its words)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # lower() agrees with A-Z lower-casing in the places of words; only the Kelvin sign becomes an ASCII letter
+    t = F.when(F.contains(text, F.lit("\u212a")), ascii_lower(text)).otherwise(F.lower(text))
+    first = docs.select(F.col(id_col).alias("doc_id"), F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("words"))
+    second = first.select("doc_id", "words", F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary))).alias("present"))
+    likely = F.lit(False)
+    for phrase in phrases:
+        all_words = F.lit(True)
+        for w in sorted(set(phrase.split()), key=lambda w: (-len(w), w)):
+            all_words = all_words & F.array_contains("present", w)
+        likely = likely | all_words
+    placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(vocabulary))
+    return second.select("doc_id", F.size("words").cast("long").alias("n_words"), "present", F.when(likely, placed).alias("hits"))
+
+
+def _starts(phrase: list[str]) -> Column:
+    """Places where the phrase stands."""
+
+    def here(x, k):
+        ok = x["w"] == phrase[0]
+        for j in range(1, len(phrase)):
+            following = F.get("hits", k + j)
+            ok = ok & (following["w"] == phrase[j]) & (following["i"] == x["i"] + j)
+        return ok
+
+    return F.transform(F.filter("hits", here), lambda x: x["i"])
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """One row per row of ``docs``: words, base places and labels, and the method's labels.
 
-    A null text has no words, no labels and score 0. Repeated rows and null ids are scanned
-    row by row. Other columns are not read. An empty table gives no rows. The index is made
-    from the templates, so that what is broadcast does not grow with the documents.
+    A null or empty text has no words, no labels and score 0; a very long one is scanned whole.
+    Repeated rows and null ids are scanned row by row; of equal covers the score takes either.
+    Other columns are not read, so their names may clash with ours. An empty table gives no
+    rows. The index is made from the templates, so it does not grow with the documents.
     """
-    spark = docs.sparkSession
-    vocabulary = sorted({w for _, opening, _ in templates for w in opening.split()})
-    postings, known = rare_index(*document_frequencies(docs, vocabulary, text_col), templates)
-    by_idf = sorted(known, key=lambda w: (-known[w], w))
-    # a key word is the rarest indexed word of a mandatory phrase: a file without any has no template
-    keys = []
-    for i, (_, _, phrase) in enumerate(templates):
-        own = {w for t, w, _, _ in postings if t == i}
-        keys.append(min((w for w in phrase.split() if w in own), key=lambda w: (-known[w], w), default=min(own)))
-    keys = sorted(set(keys))
-    index = spark.range(1).select(
-        F.inline(F.array(*[F.struct(F.lit(t).alias("template"), F.lit(w).alias("w"), F.lit(q).alias("q"), F.lit(x).alias("weight")) for t, w, q, x in postings]))
-    )
-
-    t = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    likely = F.col("t").rlike("|".join(keys) + "|license")
-    empty = F.array().cast("array<string>")
-    first = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), t.alias("t")).select(
-        "row", "doc_id", F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"),
-        F.when(likely, F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).otherwise(empty).alias("words"),
-    )
-    places = []
-    for phrase, _ in BASE:
-        p = phrase.split()
-        ends = F.filter(F.sequence(F.lit(0), F.size("words") - 1), _ends_with(p))
-        some = F.array_contains("words", p[-1]) & F.array_contains("words", p[0])
-        places.append(F.when(some, F.transform(ends, _minus(len(p) - 1))).otherwise(F.array().cast("array<int>")))
-    looked = F.array_intersect(_strings(by_idf), F.col("words"))
-    spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    second = first.select(
-        "row", "doc_id", "n_words", "words",
-        *[x.alias(f"at{i}") for i, x in enumerate(places)],
-        F.when(F.arrays_overlap("words", _strings(keys)), looked).otherwise(empty).alias("looked"),
-        F.when(F.size("words") > 0, spaced).otherwise("").alias("spaced"),
-    )
-    third = second.select(
-        "row", "doc_id", "n_words",
-        *[f"at{i}" for i in range(len(BASE))],
-        F.filter(
-            _strings(sorted({p for _, _, p in templates})), lambda p: F.contains(F.col("spaced"), F.concat(F.lit(" "), p, F.lit(" ")))
-        ).alias("phrases"),
-        F.when(
-            F.size("looked") > 0,
-            F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("p"))), lambda x: F.array_contains("looked", x["w"])),
-        ).alias("hits"),
+    phrases = sorted({p for _, _, p in templates} | {p for p, _ in BASE})
+    vocabulary = sorted({w for _, opening, _ in templates for w in opening.split()} | {w for p in phrases for w in p.split()})
+    stages = Stages(docs.sparkSession, "licenses")
+    files = stages.keep(words_of(docs, vocabulary, phrases, id_col, text_col), "files")
+    postings = rare_index(*document_frequencies(files), templates)
+
+    by_word: dict[str, list[Column]] = {}
+    for t, w, q, x in postings:
+        by_word.setdefault(w, []).append(F.struct(F.lit(t).alias("t"), F.lit(q).alias("q"), F.lit(x).alias("x")))
+    index = F.create_map(*[y for w, found in by_word.items() for y in (F.lit(w), F.array(*found))])
+    known = F.filter("hits", lambda h: h["w"].isin(list(by_word)))
+    votes = F.flatten(F.transform(known, lambda h: F.transform(F.element_at(index, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["q"]).alias("o"), p["x"].alias("x")))))
+    joined = F.transform("hits", lambda h, k: F.concat(F.when(h["i"] == F.get("hits", k - 1)["i"] + 1, "").otherwise("| "), h["w"]))
+    first = files.select(
+        "doc_id", "n_words", "hits", *[_starts(p.split()).alias(f"at{i}") for i, (p, _) in enumerate(BASE)],
+        F.sort_array(votes).alias("votes"), F.concat(F.lit(" "), F.array_join(joined, " "), F.lit(" ")).alias("spaced"),
     )
+    # votes are in order of template and offset: one pass closes a sum where either changes
+    kind = "struct<t:int,o:int,sum:double,done:array<struct<t:int,cover:double>>>"
+    closed = lambda a: F.when(a["sum"] >= COVER - 1e-9, F.array_append(a["done"], F.struct(a["t"].alias("t"), a["sum"].alias("cover")))).otherwise(a["done"])
+    add = lambda a, v: F.when(
+        (a["t"] == v["t"]) & (a["o"] == v["o"]), F.struct(a["t"].alias("t"), a["o"].alias("o"), (a["sum"] + v["x"]).alias("sum"), a["done"].alias("done"))
+    ).otherwise(F.struct(v["t"].alias("t"), v["o"].alias("o"), v["x"].alias("sum"), closed(a).alias("done"))).cast(kind)
+    start = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("o"), F.lit(0.0).alias("sum"), F.array().cast("array<struct<t:int,cover:double>>").alias("done")).cast(kind)
+    needs = _strings([p for _, _, p in templates])
+    labels = _strings([label for label, _, _ in templates])
     every = F.concat(*[F.col(f"at{i}") for i in range(len(BASE))])
     base = F.array_compact(F.array(*[F.when(F.size(f"at{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(BASE)]))
-    fourth = third.select(
-        "row", "doc_id", "n_words", F.size(every).cast("long").alias("n_base"),
-        F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
-        F.array_sort(F.array_distinct(base)).alias("base"), "phrases", F.explode_outer("hits").alias("hit"),
-    )
-    own = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base", "phrases"]
-    labels = F.create_map(*[F.lit(x) for i, (label, _, _) in enumerate(templates) for x in (i, label)])
-    needs = F.create_map(*[F.lit(x) for i, (_, _, phrase) in enumerate(templates) for x in (i, phrase)])
-    aligned = (
-        fourth.join(F.broadcast(index), F.col("hit.w") == F.col("w"), "left")
-        .select(*own, "template", (F.col("hit.p") - F.col("q")).alias("offset"), "weight")
-        .repartition("row")
-        .groupBy(*own, "template", "offset")
-        .agg(F.sum("weight").alias("cover"))
-    )
-    holds = (F.col("cover") >= COVER - 1e-9) & F.array_contains("phrases", F.element_at(needs, F.col("template")))
-    done = aligned.groupBy(*own).agg(
-        F.collect_set(F.when(holds, F.element_at(labels, F.col("template")))).alias("found"), F.max(F.when(holds, F.col("cover"))).alias("cover")
+    second = first.select(
+        "doc_id", "n_words", F.coalesce(every, F.array().cast("array<int>")).alias("at"), F.array_sort(F.array_distinct(base)).alias("base"),
+        F.coalesce(
+            F.filter(F.aggregate("votes", start, add, closed), lambda x: F.contains(F.col("spaced"), F.concat(F.lit(" "), F.get(needs, x["t"]), F.lit(" ")))),
+            F.array().cast("array<struct<t:int,cover:double>>"),
+        ).alias("found"),
     )
-    score = F.greatest(F.coalesce("cover", F.lit(0.0)), F.when(F.col("n_base") > 0, 0.5).otherwise(0.0))
-    return done.select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word",
+    n_base = F.size("at").cast("long")
+    score = F.greatest(F.coalesce(F.array_max(F.transform("found", lambda x: x["cover"])), F.lit(0.0)), F.when(n_base > 0, 0.5).otherwise(0.0))
+    return second.select(
+        "doc_id", "n_words", n_base.alias("n_base"),
+        F.array_min("at").cast("long").alias("first_word"), F.array_max("at").cast("long").alias("last_word"),
         F.array_join("base", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base", "found")), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_union("base", F.transform("found", lambda x: F.get(labels, x["t"])))), ",").alias("labels"),
         F.least(F.round(score, 6), F.lit(1.0)).alias("score"),
     )
 
@@ -186,13 +179,7 @@ v AS (SELECT DISTINCT w FROM tw),
 idf AS (SELECT v.w, ln(((SELECT count(*) FROM d) + 1.0::DOUBLE) / (count(DISTINCT e.r) + 1.0::DOUBLE)) + 1 AS idf FROM v LEFT JOIN e USING (w) GROUP BY v.w),
 rare AS (SELECT t, w, idf FROM (SELECT DISTINCT t, w FROM tw) JOIN idf USING (w) QUALIFY row_number() OVER (PARTITION BY t ORDER BY idf DESC, w) <= {RARE}),
 post AS (SELECT tw.t, tw.w, q, idf / sum(idf) OVER (PARTITION BY tw.t) AS weight FROM tw JOIN rare USING (t, w)),
-keyed AS (SELECT t, coalesce(
-    (SELECT w FROM rare WHERE rare.t = th.t AND list_contains(string_split(phrase, ' '), w) ORDER BY idf DESC, w LIMIT 1),
-    (SELECT min(w) FROM rare WHERE rare.t = th.t)) AS w FROM th),
-own AS (SELECT DISTINCT e.r, e.w, idf FROM e JOIN (SELECT DISTINCT w, idf FROM rare) USING (w)),
-cand AS (SELECT DISTINCT r FROM own WHERE w IN (SELECT w FROM keyed)),
-looked AS (SELECT r, w FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY idf DESC, w) AS k FROM own JOIN cand USING (r)) WHERE k <= {LOOKUPS} OR w IN (SELECT w FROM keyed)),
-al AS (SELECT e.r, post.t, e.p - post.q AS o, sum(weight) AS cover FROM e JOIN looked USING (r, w) JOIN post ON post.w = e.w GROUP BY ALL),
+al AS (SELECT e.r, post.t, e.p - post.q AS o, sum(weight) AS cover FROM e JOIN post ON post.w = e.w GROUP BY ALL HAVING cover >= {COVER} - 1e-9),
 sp AS (SELECT r, ' ' || array_to_string(words, ' ') || ' ' AS s FROM w),
 ok AS (SELECT r, label, cover FROM al JOIN th ON th.t = al.t JOIN sp USING (r) WHERE cover >= {COVER} - 1e-9 AND contains(s, ' ' || phrase || ' ')),
 hit AS (SELECT e.r, e.p, bp.label FROM e JOIN w USING (r) JOIN bp ON e.w = string_split(bp.phrase, ' ')[1]
