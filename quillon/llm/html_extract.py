@@ -1,40 +1,49 @@
-"""Main text of pages: structure first, nearest-URL page differencing for the rest.
-
-A page is cut into blocks. Where the markup names the article (``article``, ``main`` or
-role=main), its blocks are the main text, without menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments inside it. A page without such a container
-has candidate blocks only, and these are differenced: the pages of a host are put in order
-of their URL path, each is paired with the neighbour that shares the longer path prefix,
-the blocks of both are aligned by longest common subsequence, and shared blocks are
-deleted. (Deleting shared blocks inside a marked article would lose article text, since
-copies and quoted passages are shared too; see the README.)
-
-A host with more than ``BUCKET`` pages is split by a hash of the path into buckets of
-about that size; neighbours are sought within a bucket, so that no task gathers a host.
+"""Main text of pages: nearest-URL page differencing, with markup as guard.
+
+A page is cut into lines (its blocks). Each line is chrome by its markup (menus, headers, footers, sidebars, notices,
+adverts, forms, reader comments), or plain, or in the article (``article``, ``main`` or role=main). The pages of a
+host are put in order of their URL path; each is paired with the neighbours before and after it that have other lines,
+and lines of both are aligned by longest common subsequence. Of a plain line it is enough that the neighbour with the
+longer path prefix shares it: it is deleted. The markup guards the article: a line in it is deleted only if both
+neighbours share it, it has ``SHORT`` words at most and no end of a sentence; copies and quoted passages so stay.
+Chrome is never output. The text is the article's lines if the page has any, else the plain lines.
+
+Only hashes of lines are put in order and aligned: pages of equal lines and path are one, ranges of (host, path) are
+sorted, and the page before and after a range is carried over its border. Texts are not shuffled; the numbers of deleted
+lines are joined to the pages, which are parsed again.
 """
 
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.exprs import ascii_lower
+from quillon.store import Stages
 
-BUCKET = 1000
-BROADCAST_HOSTS = 10_000
+#: A line of the article that has more words is never deleted.
+SHORT = 12
+#: Deletions of up to so many pages (a few numbers each) are broadcast; more are joined by shuffle.
+BROADCAST_PAGES = 100_000
+#: Lines times lines that are aligned at once; longer pages are halved until they fit.
+CELLS = 1 << 24
+CHROME_LINE, PLAIN, ARTICLE = 0, 1, 2
 
 # fixed values: HTML elements by role
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hr html li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split()
 )
-CELLS = {"td", "th"}
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select"}
+CELL_TAGS = {"td", "th"}
+RAW = {"script", "style", "title", "textarea", "template", "iframe", "select"}
 DROP = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 # fixed values: words of class and id names that mark what is not main text
@@ -45,6 +54,9 @@ CHROME = set(
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar"}
 COMMENTS = {"comment", "comments", "replies", "respond"}
+# fixed values: with one of the first, one of the second names the head of an article
+CONTENT = {"article", "content", "entry", "post", "story"}
+HEADS = {"header", "masthead", "banner"}
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)(?:>|\Z)", re.S
@@ -63,8 +75,10 @@ def _is_chrome(tag: str, raw: str, in_article: bool) -> tuple[bool, bool]:
     if not raw.strip():
         return False, False
     a = _attributes(raw)
-    words = set(re.split(r"[\s_]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
-    words |= {p for w in words for p in w.split("-")}
+    words: set[str] = set()
+    for w in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
+        parts = set(re.split(r"[-_]+", w))
+        words |= (parts | {w}) - (HEADS if parts & CONTENT else set())
     role = a.get("role", "").lower()
     hidden = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "").lower())
     if tag in ("body", "html", "article", "main") and not words & COMMENTS:
@@ -72,13 +86,13 @@ def _is_chrome(tag: str, raw: str, in_article: bool) -> tuple[bool, bool]:
     return bool(words & CHROME or role in ROLES or hidden), bool(words & COMMENTS)
 
 
-def blocks(page: str) -> tuple[list[str], bool]:
-    """The blocks of the article, or all candidates if none is marked; and whether one is marked."""
-    inside: list[str] = []
-    outside: list[str] = []
+def lines_of(page: str) -> tuple[list[str], list[int]]:
+    """The lines of a page and the kind of each."""
+    lines: list[str] = []
+    kinds: list[int] = []
     now: list[str] = []
     article = 0  # open article or main elements
-    marked = False
+    role_main = False
     skip, depth, comments = "", 0, False
     at, end, low = 0, len(page), None
 
@@ -87,15 +101,15 @@ def blocks(page: str) -> tuple[list[str], bool]:
             s = " ".join(entities.unescape("".join(now)).split())
             now.clear()
             if s:
-                (inside if article else outside).append(s)
+                lines.append(s)
+                kinds.append(CHROME_LINE if skip else ARTICLE if article or role_main else PLAIN)
 
     while at < end:
         m = _TAG.search(page, at)
         if m is None:
-            if not skip:
-                now.append(page[at:])
+            now.append(page[at:])
             break
-        if not skip and m.start() > at:
+        if m.start() > at:
             now.append(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
@@ -114,21 +128,24 @@ def blocks(page: str) -> tuple[list[str], bool]:
                     found = low.find(f"</{tag}", at)
                     at = end if found < 0 else found
             continue
+        if tag in BLOCK:
+            flush()
+        elif tag in CELL_TAGS or tag == "br":
+            now.append(" ")
         if skip:
+            over = False
             if tag == skip:
                 depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
+                over = not depth
             elif tag in ("article", "main") and not closing and not comments:
-                skip = ""  # an element that was never closed
+                over = True  # an element that was never closed
             elif closing and tag in ("article", "main", "body", "html"):
+                over = True
+            if over:
+                flush()
                 skip = ""
             if skip or tag not in ("article", "main"):
                 continue
-        if tag in BLOCK:
-            flush()
-        elif tag in CELLS or tag == "br":
-            now.append(" ")
         if closing:
             if tag in ("article", "main") and article:
                 article -= 1
@@ -137,19 +154,55 @@ def blocks(page: str) -> tuple[list[str], bool]:
         if chrome and tag not in VOID:
             flush()
             skip, depth, comments = tag, 1, talk
-        elif tag in ("article", "main") or ("role" in (m[3] or "") and tag in BLOCK and _attributes(m[3]).get("role") == "main"):
-            if tag in ("article", "main"):
-                article += 1
-            marked = True
+        elif tag in ("article", "main"):
+            article += 1
+        elif "role" in (m[3] or "") and tag in BLOCK and _attributes(m[3]).get("role") == "main":
+            role_main = True
     flush()
-    if marked and inside:
-        return inside, True
-    return inside + outside, False
+    return lines, kinds
+
 
+def main_lines(lines: list[str], kinds: list[int], deleted: set[int] | frozenset[int] = frozenset()) -> list[str]:
+    """The article's lines, or the plain ones of a page without any, less the deleted ones."""
+    kind = ARTICLE if ARTICLE in kinds else PLAIN
+    return [x for i, x in enumerate(lines) if kinds[i] == kind and i not in deleted]
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence of both (bit-parallel)."""
-    masks: dict[str, int] = {}
+
+def _row(a: list, b: list) -> np.ndarray:
+    """Lengths of longest common subsequences of ``a`` and each prefix of ``b`` (bit-parallel)."""
+    masks: dict = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        u = v & masks.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    raised = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)] == 0
+    return np.r_[0, np.cumsum(raised)]
+
+
+def _aligned(a: list, b: list, out: list[tuple[int, int]], i0: int, j0: int) -> None:
+    """Adds pairs of places of a longest common subsequence, in memory that is linear in the lines."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        out.append((i0 + head, j0 + head))
+        head += 1
+    a, b, i0, j0 = a[head:], b[head:], i0 + head, j0 + head
+    if not a or not b:
+        return
+    if len(a) == 1:
+        if a[0] in b:
+            out.append((i0, j0 + b.index(a[0])))
+        return
+    if len(a) * len(b) > CELLS:
+        mid = len(a) // 2
+        total = _row(a[:mid], b) + _row(a[mid:][::-1], b[::-1])[::-1]
+        cut = int(np.argmax(total))
+        _aligned(a[:mid], b[:cut], out, i0, j0)
+        _aligned(a[mid:], b[cut:], out, i0 + mid, j0 + cut)
+        return
+    masks: dict = {}
     for j, x in enumerate(b):
         masks[x] = masks.get(x, 0) | 1 << j
     full = (1 << len(b)) - 1
@@ -159,16 +212,24 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
         v = ((v + u) | (v - u)) & full
         rows.append(v)
     length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
-    i, j, out = len(a), len(b), set()
+    i, j = len(a), len(b)
     while i and j:
         if a[i - 1] == b[j - 1]:
-            out.add(i - 1)
             i, j = i - 1, j - 1
+            out.append((i0 + i, j0 + j))
         elif length(i - 1, j) == length(i, j):
             i -= 1
         else:
             j -= 1
-    return out
+
+
+def shared_lines(a: list, b: list) -> set[int]:
+    """Places in ``a`` of a longest common subsequence of both."""
+    in_a, in_b = set(a), set(b)
+    own = [i for i, x in enumerate(a) if x in in_b]  # other lines are in no common subsequence
+    out: list[tuple[int, int]] = []
+    _aligned([a[i] for i in own], [x for x in b if x in in_a], out, 0, 0)
+    return {own[i] for i, _ in out}
 
 
 def _common(a: str, b: str) -> int:
@@ -180,79 +241,166 @@ def _common(a: str, b: str) -> int:
     return n
 
 
-def _difference(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows (host, bucket, path, id, url, blocks, marked) in order -> (id, url, text, removed)."""
+#: Of a line in the article: whether it is short and ends no sentence.
+_ENDS = re.compile(r"[.!?…:;。！？][\"'»”’)\]]*$")
 
-    def finish(before, row, after):
-        host, bucket, path, pid, url, own, marked = row
-        if marked or not own:
-            return pid, url, "\n\n".join(own), 0
-        near = [x for x in (before, after) if x and x[:2] == (host, bucket) and x[5] != own]
-        near.sort(key=lambda x: -_common(path, x[2]))
-        gone = shared_lines(own, near[0][5]) if near else set()
-        return pid, url, "\n\n".join(x for i, x in enumerate(own) if i not in gone), len(gone)
 
-    before = row = None
-    for after in rows:
-        if row is not None:
-            yield finish(before, row, after)
-            if after[5] != row[5] or after[:2] != row[:2]:  # the last page before a run of equal ones serves all of them
-                before = row
-        row = after
-    if row is not None:
-        yield finish(before, row, None)
+def _weak(line: str) -> bool:
+    return len(line.split()) <= SHORT and not _ENDS.search(line)
+
+
+def deleted_lines(path: str, hashes: list, kinds: list[int], near: list[tuple[str, list]]) -> list[int]:
+    """Numbers of the lines to delete; kinds are 1 for a plain line and 2 for a weak one of the article.
+
+    ``near`` has the path and lines of the page before and of that after, as far as there are any.
+    """
+    if not near or not any(kinds):
+        return []
+    common = [_common(path, x[0]) for x in near]
+    shared = [shared_lines(hashes, x[1]) for x in near]
+    best = shared[int(len(near) == 2 and common[1] > common[0])]
+    both = shared[0] & shared[1] if len(near) == 2 else set()
+    return [i for i, k in enumerate(kinds) if (k == 1 and i in best) or (k == 2 and i in both)]
+
+
+def _differences(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Rows (part, host, path, d1, d2, hashes, kinds, visitor) in order -> (host, path, d1, d2, deleted)."""
+    before: tuple | None = None  # the last page of other lines
+    run: list[tuple] = []  # pages of equal lines that wait for the page after them
+
+    def close(after: tuple | None) -> Iterator[tuple]:
+        for row in run:
+            near = [(x[2], x[5]) for x in (before, after) if x is not None and x[:2] == row[:2]]
+            if not row[7]:
+                yield (*row[1:5], deleted_lines(row[2], row[5], row[6], near))
+
+    for row in rows:
+        if run and (row[:2] != run[0][:2] or row[3:5] != run[0][3:5]):
+            yield from close(row)
+            before, run = run[-1], []
+        run.append(row if not run else (*row[:5], run[0][5], run[0][6], row[7]))  # lines of a run are held once
+    yield from close(None)
+
+
+def _borders(spans: list[tuple]) -> list[tuple]:
+    """(part, page that goes before or after it) for parts given in order as their outermost pages.
+
+    A span is (part, first pages, last pages): of each end the next page of other lines and the outermost page.
+    """
+    out = []
+    for turn in (spans, spans[::-1]):
+        carried: list[tuple] = []  # up to two pages of other lines, the nearest last
+        for part, first, last in turn:
+            out += [(part, page) for page in carried]
+            for page in last if turn is spans else first:
+                carried = [*[x for x in carried if x[2:] != page[2:] and x[0] == page[0]], page][-2:]
+    return out
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row (page_id, url, text, n_chars, n_shared) per row of ``pages``; n_shared counts deleted blocks.
+    """One row (page_id, url, text, n_chars, n_shared) per row of ``pages``; n_shared counts deleted lines.
 
-    A null page is empty and has an empty text. Null or malformed URLs share the host ''.
-    A page is never differenced with one of the same blocks, so that repeated rows and copies
-    keep their text. Null ids are kept. Other columns are not read.
+    A null or empty page has an empty text. Null or malformed URLs share the host '' and the path '', and are ordered
+    by their lines. Pages of equal lines are never differenced with each other, so that repeated rows and copies keep
+    their text and get the same one; of neighbours with equally long path prefixes the page before counts. Very long
+    pages are parsed whole and aligned in memory that is linear in their lines. Null ids are kept. Other columns are
+    not read, so their names may clash with ours. An empty table gives no rows.
     """
-    host = ascii_lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
-    path = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
-    large = pages.groupBy(host.alias("host")).agg(F.count("*").alias("n")).where(F.col("n") > BUCKET)
-    if large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        large = F.broadcast(large)
-    rows = pages.select(host.alias("host"), path.alias("path"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = rows.join(large, "host", "left").select(
-        "host",
-        F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("path"), F.ceil(F.col("n") / BUCKET).cast("long"))).otherwise(0).alias("bucket"),
-        "path", "page_id", "url", "html",
+    spark = pages.sparkSession
+    stages = Stages(spark, "pages")
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    host = ascii_lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1))
+    path = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    rows = pages.select(host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
+    kept = "host string, path string, d1 long, d2 long, hashes array<long>, kinds array<tinyint>"
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                found = [lines_of(x or "") for x in part.column(2).to_pylist()]
+                digests = [_digest(x, k) for x, k in found]
+                kinds = [[1 if k == PLAIN else 2 if k == ARTICLE and _weak(x) else 0 for x, k in zip(*f, strict=True)] for f in found]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), part.column(1), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
+                        pa.array([[_hash(x) for x in f[0]] for f in found], pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int8())),
+                    ],
+                    ["host", "path", "d1", "d2", "hashes", "kinds"],
+                )
+
+    key = ["host", "path", "d1", "d2"]  # also the order
+    each = rows.mapInArrow(hashed, kept).dropDuplicates(key)
+    each = stages.keep(each.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id()), "lines")
+    # the outermost pages of each part (keys only: four a part)
+    page = F.struct(*key)
+    ends = each.groupBy("part").agg(F.min(page).alias("first"), F.max(page).alias("last"))
+    other = each.join(ends, "part").groupBy("part", "first", "last").agg(
+        F.min(F.when((F.col("d1") != F.col("first.d1")) | (F.col("d2") != F.col("first.d2")), page)).alias("second"),
+        F.max(F.when((F.col("d1") != F.col("last.d1")) | (F.col("d2") != F.col("last.d2")), page)).alias("late"),
     )
-    names = ["host", "bucket", "path", "page_id", "url", "blocks", "marked"]
+    spans = [
+        (r["part"], [tuple(x) for x in (r["second"], r["first"]) if x], [tuple(x) for x in (r["late"], r["last"]) if x])
+        for r in other.orderBy("part").collect()
+    ]
+    borders = [(part, *p) for part, p in _borders(spans)]
+    visitors = spark.createDataFrame(borders, "to int, host string, path string, d1 long, d2 long").distinct()  # four a part at most
+    carried = each.join(F.broadcast(visitors), key).select(F.col("to").alias("part"), *key, "hashes", "kinds", F.lit(True).alias("visitor"))
+    flow = each.select("part", *key, "hashes", "kinds", F.lit(False).alias("visitor")).unionByName(carried)
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch_of in _chunks(x for x in _differences(_rows(batches)) if x[4]):
+            columns = list(zip(*batch_of, strict=True))
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, [*key, "deleted"])
+
+    flow = flow.repartition("part").sortWithinPartitions("part", *key)
+    gone = stages.keep(flow.mapInArrow(align, "host string, path string, d1 long, d2 long, deleted array<int>"), "gone")
+
+    parsed = "page_id long, url string, host string, path string, d1 long, d2 long, lines array<string>, at array<int>"
+    whole = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                found = [blocks(x or "") for x in part.column(5).to_pylist()]
+                found = [lines_of(x or "") for x in part.column(4).to_pylist()]
+                digests = [_digest(x, k) for x, k in found]
+                chosen = [[i for i, k in enumerate(kinds) if k == (ARTICLE if ARTICLE in kinds else PLAIN)] for _, kinds in found]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(5)), pa.array([x for x, _ in found], pa.list_(pa.string())), pa.array([x for _, x in found], pa.bool_())], names
+                    [
+                        *(part.column(i) for i in range(4)), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
+                        pa.array([[f[0][i] for i in c] for f, c in zip(found, chosen, strict=True)], pa.list_(pa.string())),
+                        pa.array(chosen, pa.list_(pa.int32())),
+                    ],
+                    ["page_id", "url", "host", "path", "d1", "d2", "lines", "at"],
                 )
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flow = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        out: list[tuple] = []
-        for row in _difference(flow):
-            out.append(row)
-            if len(out) == 500:
-                yield _batch(out)
-                out = []
-        yield _batch(out)
-
-    def _batch(out: list[tuple]) -> pa.RecordBatch:
-        ids, urls, texts, gone = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(gone, pa.int64())],
-            ["page_id", "url", "text", "n_chars", "n_shared"],
-        )
-
-    parsed = rows.mapInArrow(parse, "host string, bucket long, path string, page_id long, url string, blocks array<string>, marked boolean")
-    order = ["host", "bucket", "path", "url", "page_id"]
-    return (
-        parsed.repartition("host", "bucket")
-        .sortWithinPartitions(*order)
-        .mapInArrow(pair, "page_id long, url string, text string, n_chars long, n_shared long")
-    )
+    if gone.limit(BROADCAST_PAGES + 1).count() <= BROADCAST_PAGES:
+        gone = F.broadcast(gone)
+    found = whole.mapInArrow(parse, parsed).join(gone, key, "left")
+    left = F.filter("lines", lambda x, i: F.col("deleted").isNull() | ~F.array_contains("deleted", F.get("at", i)))
+    text = F.array_join(left, "\n\n")
+    out = found.select("page_id", "url", text.alias("text"), (F.size("lines") - F.size(left)).cast("long").alias("n_shared"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _chunks(rows: Iterator[tuple], size: int = 1000) -> Iterator[list[tuple]]:
+    while chunk := list(itertools.islice(rows, size)):
+        yield chunk
+
+
+def _hash(line: str) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(line.encode("utf-8", "surrogatepass")), "big", signed=True)
+
+
+def _digest(lines: list[str], kinds: list[int]) -> tuple[int, int]:
+    """Two hashes that name the lines of a page and their kinds."""
+    whole = "\n".join(f"{k}{x}" for x, k in zip(lines, kinds, strict=True)).encode("utf-8", "surrogatepass")
+    raw = xxhash.xxh3_128_digest(whole)
+    return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)

@@ -259,9 +259,11 @@ def test_main_text():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a>Home</a></nav><div class="ad">Buy</div>
     <main><article><h1>Head &amp; more</h1><p>One<br>two <b>bo</b>ld &eacute;<p>Three<script>var x = "</p>";</script></p><aside>side</aside><form><p>mail</p></form><ul><li>item</li></ul>
     <section id="comments"><article><p>first!</p></article></section></article></main><footer>&copy; x</footer></body></html>"""
-    assert html_extract.blocks(page) == (["Head & more", "One two bold é", "Three", "item"], True)
-    assert html_extract.blocks("")[0] == [] and html_extract.blocks("<p>a<div class='cookie notice'>c</div><p hidden>h</p>b<")[0] == ["a", "b<"]
-    assert html_extract.blocks("<article><p>cut off &am")[0] == ["cut off &am"]
+    text = lambda x: html_extract.main_lines(*html_extract.lines_of(x))
+    assert text(page) == ["Head & more", "One two bold é", "Three", "item"]
+    assert text("") == [] and text("<p>a<div class='cookie notice'>c</div><p hidden>h</p>b<") == ["a", "b<"]
+    assert text("<article><p>cut off &am") == ["cut off &am"]
+    assert text("<article><div class='article-header'><h1>T</h1></div><p>x <math>y</math></p><div class='site-header'>no</div></article>") == ["T", "x y"]
 
 
 def brute_lcs(a, b):
