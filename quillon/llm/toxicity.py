@@ -8,9 +8,12 @@ linear weights cannot express.
 
 Fitting takes ``SAMPLE`` labelled rows at most, chosen by a hash of the id; rows whose
 crc32(id as text) mod 5 is 0 are held out. Over that sample, buckets are counted by a
-distributed aggregation, and the ``FEATURES`` buckets with the highest log-likelihood
-ratio (over ``EVIDENCE``) are the ones the machine knows. Labels, language, source and id
-never enter a score.
+distributed aggregation. The machine knows the ``FEATURES`` buckets with the highest
+log-likelihood ratio (over ``EVIDENCE``), and the terms of pairs that tell more than either of
+them: pairs of the ``PAIRED`` buckets in most texts (those in over half of them set aside) are
+counted over the sample, and a pair whose ratio is ``PAIR_EVIDENCE`` over that of its better
+term brings both in, up to ``PAIR_FEATURES``. So a term that says nothing by itself, such as
+a group mention, can enter an interaction. Labels, language, source and id never enter a score.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ from quillon.store import Stages
 BUCKETS = 1 << 22
 SAMPLE = 30_000
 FEATURES = 8192
+PAIRED = 2048
+PAIR_EVIDENCE = 30.0
+PAIR_FEATURES = 512
 EVIDENCE = 15.0
 FACTORS = 8
 EPOCHS = 60
@@ -127,7 +133,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """The machine fitted on ``sample`` labelled rows that are not held out.
 
     Rows with a null id or label teach nothing; an id labelled twice counts as its highest
-    label. Without labels of both kinds the machine knows no term and scores the base rate.
+    label, an id with several texts teaches by one of them. Without labels of both kinds the machine knows no term and scores the base rate.
     """
     stages = Stages(docs.sparkSession, "toxicity")
     chosen = (
@@ -139,8 +145,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         .limit(sample)
     )
     # ``sample`` rows of two numbers: bounded, so that it may be broadcast
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
-    terms = stages.keep(texts.mapInArrow(_featurize, "label double, terms array<int>"), "terms")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # an id on many rows teaches by one of them, so that no more than ``sample`` rows go on
+    first = texts.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text")))["text"].alias("text"))
+    terms = stages.keep(first.select("label", "text").mapInArrow(_featurize, "label double, terms array<int>"), "terms")
     total = terms.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("p")).first()
     n, p = float(total["n"]), float(total["p"])
     if n == 0 or p == 0 or p == n:
@@ -151,21 +159,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     a, b = F.col("pos"), F.col("n") - F.col("pos")
     c, e = F.lit(p) - a, F.lit(n - p) - b
     ratio = 2 * (d(a) + d(b) + d(c) + d(e) - d(a + b) - d(c + e) - d(a + c) - d(b + e) + d(a + b + c + e))
-    best = (
-        terms.select("label", F.explode("terms").alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.count("*").cast("double").alias("n"), F.sum("label").alias("pos"))
-        .where("n >= 3")
-        .withColumn("ratio", ratio)
-        .where(F.col("ratio") >= EVIDENCE)
-        .orderBy(F.desc("ratio"), "bucket")
-        .limit(FEATURES)
-        .select("bucket")
-        .toPandas()["bucket"]
-        .to_numpy(np.int64)
-    )  # FEATURES rows at most
-    machine = FactorizationMachine(best)
-    spread = docs.sparkSession.sparkContext.broadcast(machine.known)
+    counted = stages.keep(
+        terms.select("label", F.explode("terms").alias("bucket")).groupBy("bucket")
+        .agg(F.count("*").cast("double").alias("n"), F.sum("label").alias("pos")).where("n >= 3").withColumn("ratio", ratio), "counted",
+    )
+    telling = counted.where(F.col("ratio") >= EVIDENCE).orderBy(F.desc("ratio"), "bucket").limit(FEATURES)
+    frequent = counted.where(F.col("n") <= n / 2).orderBy(F.desc("n"), "bucket").limit(PAIRED)
+    best, often = (np.sort(x.select("bucket").toPandas()["bucket"].to_numpy(np.int64)) for x in (telling, frequent))  # FEATURES and PAIRED rows at most
+    wanted = np.union1d(best, often)
+    spread = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = spread.value
@@ -176,14 +178,49 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             keep = np.isin(flat, known)
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(rows[keep], flat[keep], len(lists))], ["label", "terms"])
 
-    # at most ``sample`` rows, sorted so that the fit does not depend on the order of tasks
+    # at most ``sample`` rows; sorted, so that the fit does not depend on the order of tasks
     data = terms.mapInArrow(reduce, "label double, terms array<int>").toPandas()
-    data = data.assign(key=[(y, tuple(t)) for y, t in zip(data["label"], data["terms"], strict=True)]).sort_values("key", ignore_index=True)
     sets = [np.asarray(t, np.int64) for t in data["terms"]]
-    rows = np.repeat(np.arange(len(sets)), [len(t) for t in sets])
-    flat = np.concatenate(sets) if len(rows) else np.zeros(0, np.int64)
-    stages.drop("terms")
-    return machine.fit(rows, np.searchsorted(machine.known, flat), data["label"].to_numpy())
+    order = sorted(range(len(sets)), key=lambda i: (data["label"][i], sets[i].tobytes()))
+    y = data["label"].to_numpy()[order]
+    sets = [sets[i] for i in order]
+    stages.drop("terms", "counted")
+    rows, flat = np.repeat(np.arange(len(sets)), [len(t) for t in sets]), np.concatenate(sets)
+    machine = FactorizationMachine(np.union1d(best, paired_terms(rows, flat, y, often)))
+    keep = np.isin(flat, machine.known)
+    return machine.fit(rows[keep], np.searchsorted(machine.known, flat[keep]), y)
+
+
+def _ratio(pos: np.ndarray, n: np.ndarray, all_pos: float, every: float) -> np.ndarray:
+    """Log-likelihood ratios of presence and label: pos of n texts with it are toxic, all_pos of every text."""
+    d = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+    neg, p0, n0 = n - pos, all_pos - pos, every - all_pos - (n - pos)
+    return 2 * (d(pos) + d(neg) + d(p0) + d(n0) - d(n) - d(every - n) + d(every) - d(np.float64(all_pos)) - d(np.float64(every - all_pos)))
+
+
+def paired_terms(rows: np.ndarray, buckets: np.ndarray, y: np.ndarray, often: np.ndarray, chunk: int = 2000) -> np.ndarray:
+    """The terms among ``often`` (sorted) whose pairs tell ``PAIR_EVIDENCE`` more than either of them."""
+    k = len(often)
+    if not k:
+        return often
+    keep = np.isin(buckets, often)
+    rows, at = rows[keep], np.searchsorted(often, buckets[keep])
+    both, toxic = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
+    for start in range(0, len(y), chunk):
+        lo, hi = np.searchsorted(rows, [start, start + chunk])
+        x = np.zeros((min(chunk, len(y) - start), k), np.float32)
+        x[rows[lo:hi] - start, at[lo:hi]] = 1
+        both += x.T @ x
+        bad = x[y[start : start + chunk] > 0]
+        toxic += bad.T @ bad
+    gain = np.zeros((k, k), np.float32)
+    own = _ratio(np.diag(toxic).astype(float), np.diag(both).astype(float), y.sum(), len(y))
+    for i in range(k):  # by rows, so that no other table of all pairs is held
+        gain[i] = np.where(both[i] >= 5, _ratio(toxic[i].astype(float), both[i].astype(float), y.sum(), len(y)) - np.maximum(own[i], own), 0)
+    first, second = np.nonzero(np.triu(gain, 1) >= PAIR_EVIDENCE)
+    order = np.lexsort((second, first, -gain[first, second]))
+    terms = list(dict.fromkeys(x for i in order.tolist() for x in (int(first[i]), int(second[i]))))
+    return np.sort(often[terms[:PAIR_FEATURES]])
 
 
 def score_toxicity(docs: DataFrame, machine: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
