@@ -4,9 +4,9 @@ Texts become sequences of canonical tokens: a number becomes NUM, a number with
 QTY, a capitalised word (or run of them) inside a sentence NAME; other words stay, in
 lower case. Windows of ``WINDOW`` tokens are hashed; windows of documents that a Bloom filter
 of the benchmark's windows (``BLOOM_BITS``, a fixed size) lets pass meet them in a hash join.
-Along one alignment of item and document the values behind the placeholders must agree: a
-value of the item stands for one value in the document throughout, up to ``MISFIT`` of the
-values. So a question with other numbers and names is found, while a text that merely shares
+Along one alignment of item and document the values behind the placeholders must agree both
+ways: a value of the item stands for one value in the document throughout, and a value of the
+document for one of the item, up to ``MISFIT`` of the values. So a question with other numbers and names is found, while a text that merely shares
 the phrase is not joined into it. A document is contaminated if ``COVER`` of an item's windows
 are found in it.
 
@@ -215,11 +215,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     met = stages.keep(found.join(items.drop("bit1", "bit2", "size"), "h").withColumn("shift", F.col("at") - F.col("place")), "met")
     line = ["doc_id", "text_hash", "item_id", "shift"]
     pairs = met.select(*line, "h", F.explode_outer(F.arrays_zip("slots", "found")).alias("p"))
-    # per value of the item: how many windows, and whether it stands for one value only
-    fits = pairs.groupBy(*line, "p.slots").agg(F.min("p.found").alias("low"), F.max("p.found").alias("high"))
-    fits = fits.groupBy(*line).agg(
-        F.count(F.when(F.col("low") != F.col("high"), 1)).alias("torn"), F.count("slots").alias("values")
-    ).where(F.col("torn") <= MISFIT * F.col("values"))
+    # per value of the item (and of the document): whether it stands for one value only
+    pairs = pairs.select(*line, "p.slots", "p.found").distinct()
+    fits = None
+    for own, other in (("slots", "found"), ("found", "slots")):
+        one = pairs.groupBy(*line, own).agg(F.min(other).alias("low"), F.max(other).alias("high"))
+        one = one.groupBy(*line).agg(F.count(F.when(F.col("low") != F.col("high"), 1)).alias("torn"), F.count(own).alias("values"))
+        one = one.where(F.col("torn") <= MISFIT * F.col("values")).select(*line)
+        fits = one if fits is None else fits.intersect(one)
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in line]
     counted = met.select(*line, "place", "low").distinct().alias("a").join(fits.alias("b"), same, "left_semi")
     best = counted.groupBy("doc_id", "text_hash", "item_id").agg(places[0].alias("n"), places[1].alias("m")).join(total, "item_id")
@@ -239,7 +242,10 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the contaminated rows."""
+    """``docs`` without the contaminated rows; null and empty texts stay, and all columns whatever their names.
+
+    Repeated rows go or stay together; an empty ``benchmark`` takes nothing.
+    """
     hits = contaminated(docs, benchmark, id_col, text_col).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}).select("_id", "_hash")
     same = docs[id_col].cast("long").eqNullSafe(hits["_id"]) & (F.xxhash64(docs[text_col]) == hits["_hash"])
     return docs.join(hits, same, "left_anti")

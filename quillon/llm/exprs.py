@@ -24,3 +24,15 @@ def count_of(column: Column, characters: str) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to differ from all columns in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -25,6 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.exprs import fresh
 from quillon.store import Stages
 
 STEPS = 100
@@ -146,8 +147,9 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, target, id_col: str = "
 
     ``target`` gives a domain's weight, from its name. A null or empty text has no tokens
     and the rate of the prior. Repeated rows and null ids keep their rows. If no row is
-    labelled, all rates are 1 and the domain is null. A column of ``docs`` with one of the
-    four names is replaced.
+    labelled, all rates are 1 and the domain is null. Columns of ``docs`` called _tokens, _domain,
+    _rate or _copies are replaced; all others stay, whatever their names. Very long texts count
+    whole. Empty tables give no rows.
     """
     stages = Stages(docs.sparkSession, "mixing")
     text = F.col(text_col)
@@ -160,15 +162,17 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, target, id_col: str = "
     names = F.array(*map(F.lit, model.domains)) if n else F.array().cast("array<string>")
     best = F.get(names, (F.array_position("p", F.array_max("p")) - 1).cast("int"))
     rates = stages.keep(cells.select("_k1", "_k2", best.alias("_domain"), F.round(rate, 6).alias("_rate")), "rates")
-    if rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
-        rates = F.broadcast(rates)
-    plain = docs.drop("_tokens", "_domain", "_rate", "_copies", "_k1", "_k2", "_chance")
+    plain = docs.drop("_tokens", "_domain", "_rate", "_copies")
+    k1, k2, lot = fresh([*docs.columns, "_tokens", "_domain", "_rate", "_copies"], "_k1", "_k2", "_lot")
+    few = rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
+    rates = rates.withColumnsRenamed({"_k1": k1, "_k2": k2})
+    rates = F.broadcast(rates) if few else rates
     chance = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1_000_000)) / 1_000_000
-    own = plain.select(*plain.columns, n_tokens.alias("_tokens"), *text_keys(text), chance.alias("_chance"))
-    out = own.join(rates, ["_k1", "_k2"], "left")
-    copies = (F.floor("_rate") + (F.col("_chance") < F.col("_rate") - F.floor("_rate")).cast("long")).cast("long")
+    keys = [key.alias(name) for key, name in zip(text_keys(text), (k1, k2), strict=True)]
+    out = plain.select("*", n_tokens.alias("_tokens"), *keys, chance.alias(lot)).join(rates, [k1, k2], "left")
+    copies = (F.floor("_rate") + (F.col(lot) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("long")
     stages.drop("rows", "counts", "cells")
-    return out.select(*plain.columns, "_tokens", "_domain", "_rate", copies.alias("_copies"))
+    return out.select(*[F.col(f"`{c}`") for c in plain.columns], "_tokens", "_domain", "_rate", copies.alias("_copies"))
 
 
 def domains_from(docs: DataFrame, labels: DataFrame) -> DataFrame:

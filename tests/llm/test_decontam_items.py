@@ -35,3 +35,9 @@ def test_template_windows_still_count_by_themselves(spark):
     item = "Sum of the red and the blue marbles in a jar: 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18."
     other = item.replace("3, 4, 5", "30, 41, 52").replace("17, 18", "70, 80").replace("10, 11", "26, 27")
     assert marked(spark, [item], [other]) == [(True, 1)]
+
+
+def test_two_values_that_become_one_are_another_question(spark):
+    item = "A shop sells 4 red pens and 9 blue pens in a box, and 4 boxes make 9 crates for the school."
+    docs = [item, item.replace("4", "7").replace("9", "7"), item.replace("4", "31").replace("9", "7"), item.replace("9", "4")]
+    assert marked(spark, [item], docs) == [(True, 1), (False, None), (True, 1), (False, None)]
