@@ -11,7 +11,8 @@ languages.
 
 A permutation maps different originals of one format to different surrogates, in all
 documents alike, without any exchange between tasks: the same entity always receives the
-same surrogate (coreference), and two entities never share one. Permutations are single
+same surrogate (coreference), and two entities never share one. Names and addresses agree in any
+case, numbers whatever separates their digits. Permutations are single
 cycles, so that no string of two or more of a format is its own surrogate, and there is no
 second try that would depend on the text. A surrogate may spell like another original of the
 text (which is replaced as well); such cases are counted.
@@ -89,6 +90,21 @@ _NUMBER = re.compile(
 )
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _DIGITS = re.compile(r"\d")
+# fixed values: international dialling codes of one and of two digits; all others have three
+_ONE = {"1", "7"}
+_TWO = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def _dialling(digits: str) -> int:
+    """Digits of the dialling code at the head of an international number."""
+    return 1 if digits[:1] in _ONE else 2 if digits[:2] in _TWO else 3
+
+
+def _like(text: str, model: str) -> str:
+    """``text`` (in lower case) in the case of ``model``: letter by letter if both are as long."""
+    if len(text) == len(model):
+        return "".join(c.upper() if m.isupper() and len(c.upper()) == 1 else c for c, m in zip(text, model, strict=True))
+    return text.upper() if model.isupper() and len(model) > 1 else text if model.islower() else text[:1].upper() + text[1:]
 
 
 class Permuter:
@@ -187,9 +203,10 @@ class Surrogates:
     def _image(self, kind: str, text: str) -> str:
         p = self.permuter
         if kind == "email":
-            local, _, domain = text.rpartition("@")
+            low = text.lower() if len(text.lower()) == len(text) else text
+            local, _, domain = low.rpartition("@")
             name, _, top = domain.rpartition(".")
-            return p.word(local + "@" + name, "email", "letters") + "." + top
+            return _like(p.word(local + "@" + name, "email", "letters") + "." + top, text)
         if kind == "ip":
             octets = [int(x) for x in text.split(".")]
             x = int.from_bytes(bytes(octets), "big")
@@ -205,24 +222,28 @@ class Surrogates:
             plain = not re.match("000|666|9", text)
             return p.digits(text, "ssn", 0, lambda d: bool(re.match("000|666|9", d)) != plain)
         if kind == "phone":
-            country = len(m[1]) if (m := re.match(r"\+(\d{1,3})[ .\-(]", text)) else 2 if text.startswith("+") else 0
+            if text.startswith("00"):
+                return "00" + self._image(kind, "+" + text[2:])[1:]
             digits = "".join(c for c in text if c.isdigit())
+            country = _dialling(digits) if text.startswith("+") else 0
             zero = digits[country : country + 1] == "0"
             return p.digits(text, "phone", country, lambda d: (d[country : country + 1] == "0") == zero)
         if kind == "iban":
             return text[:2] + p.word(text[2:], "iban", "alnum")
         if kind == "secret":
             return p.word(text, "secret", "hex" if re.fullmatch("[0-9a-f]+", text) else "alnum")
-        if text in _GENDER:
-            g = _GENDER[text]
+        # names agree in any case
+        title = text[:1].upper() + text[1:].lower()
+        if title in _GENDER:
+            g = _GENDER[title]
             for names, others in (LISTS[g], LISTS[g][::-1]):
-                if text in names:
-                    return others[p.number(names.index(text), len(names), f"given|{g}|{names[0]}")]
-        word = text
+                if title in names:
+                    return _like(others[p.number(names.index(title), len(names), f"given|{g}|{names[0]}")].lower(), text)
+        word = text.lower() if len(text.lower()) == len(text) else text
         while True:  # past the given names, which are images of each other
             word = p.word(word, "name", "letters") if len(word) < 4 else p.word(word[:-1], f"name|{word[-1]}", "letters") + word[-1]
-            if word not in _GENDER:
-                return word
+            if word[:1].upper() + word[1:] not in _GENDER:
+                return _like(word, text)
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) of the entities, in order, without overlaps."""
