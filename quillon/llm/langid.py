@@ -13,12 +13,13 @@ Missing evidence adds nothing. Below ``DOUBT`` the language is ``und``.
 
 from __future__ import annotations
 
+import html as entities
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.textvec import NOT_LETTER, Words, mix, pieces
@@ -110,7 +111,9 @@ def identify(rows: DataFrame, model: TextModel, keep: list[str]) -> DataFrame:
     """``keep`` columns, lang, score and text_lang per row of ``rows``.
 
     rows has text, declared, suffix and host beside the ``keep`` columns; any may be null
-    (declared is lower-cased and cut at the first hyphen). Rows are judged one by one, repeated ones
+    (declared is lower-cased and cut at the first hyphen). Character references are decoded
+    where a column markup is true. Very long texts count whole; of equally likely languages the
+    first in order holds. Columns other than these are not read. Rows are judged one by one, repeated ones
     too. Without letters and other evidence the score is the prior's and the language und;
     the same holds if the model knows no language. Empty tables give no rows.
     """
@@ -120,9 +123,9 @@ def identify(rows: DataFrame, model: TextModel, keep: list[str]) -> DataFrame:
     stages = Stages(spark, "langid")
     spread = spark.sparkContext.broadcast(model)
     clean = rows.select(
-        *keep, F.split(F.lower("declared"), "[-_]")[0].alias("declared"), F.lower("suffix").alias("suffix"), F.lower("host").alias("host"), "text"
+        *keep, F.split(F.lower("declared"), "[-_]")[0].alias("declared"), F.lower("suffix").alias("suffix"), F.lower("host").alias("host"), (F.col("markup") if "markup" in rows.columns else F.lit(False)).alias("markup"), "text"
     )
-    names = clean.columns[:-1]
+    names = clean.columns[:-2]
     at = len(names)
     kinds = {f.name: f for f in clean.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c].dataType.simpleString()}" for c in names) + ", ll array<double>, p array<double>"
@@ -130,7 +133,14 @@ def identify(rows: DataFrame, model: TextModel, keep: list[str]) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = spread.value
         for batch in batches:
-            ll = own.likelihood(batch.column(at))
+            texts = batch.column(at + 1)
+            coded = np.flatnonzero(np.asarray(pc.and_(batch.column(at).fill_null(False), pc.fill_null(pc.match_substring(texts, "&"), False)).to_numpy(zero_copy_only=False)))
+            if len(coded):
+                plain = texts.to_pylist()
+                for i in coded.tolist():
+                    plain[i] = entities.unescape(plain[i])
+                texts = pa.array(plain, pa.string())
+            ll = own.likelihood(texts)
             p = _softmax(ll + np.log(own.prior))
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, n), pa.int32()), pa.array(x.ravel())) for x in (ll, p)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *lists], [*names, "ll", "p"])
@@ -146,9 +156,8 @@ def identify(rows: DataFrame, model: TextModel, keep: list[str]) -> DataFrame:
     base = total / total.sum()
 
     def evidence(key: str, to: str) -> DataFrame:
-        """(key, to): log P(value | language) of every value."""
-        some = table(read_rows, key).select(key, F.array(*[F.log((F.col(f"s{i}") + 0.5) / float(total[i])) for i in range(n)]).alias(to))
-        return small(stages.keep(some, to))
+        """(key, to): the sums of every value."""
+        return small(stages.keep(table(read_rows, key).select(key, F.array(*[F.col(f"s{i}") for i in range(n)]).alias(to)), to))
 
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else df
@@ -159,17 +168,29 @@ def identify(rows: DataFrame, model: TextModel, keep: list[str]) -> DataFrame:
     hosts = table(read_rows, "host").withColumn("parent", parent(F.col("host"))).withColumn("top", top(F.col("host")))
     level = lambda key: hosts.groupBy(key).agg(*[F.sum(f"s{i}").alias(f"{key}{i}") for i in range(n)])
     hosts = hosts.join(level("parent"), "parent").join(level("top"), "top")
-    mass = lambda p: sum(F.col(f"{p}{i}") for i in range(n))
-    blend = lambda p, i, up: (F.col(f"{p}{i}") + STRENGTH * up) / (mass(p) + STRENGTH)
-    priors = [F.log(blend("s", i, blend("parent", i, blend("top", i, F.lit(float(base[i]))))) / float(model.prior[i])) for i in range(n)]
-    hosts = small(stages.keep(hosts.select("host", F.array(*priors).alias("host_prior")), "hosts"))
-    zero = F.array(*[F.lit(0.0)] * n)
+    levels = ("s", "parent", "top")
+    hosts = hosts.select("host", *[F.array(*[F.col(f"{x}{i}") for i in range(n)]).alias(f"of_{x}") for x in levels])
+    hosts = small(stages.keep(hosts, "hosts"))
     known = read_rows.join(hosts, "host", "left").join(evidence("declared", "of_declared"), "declared", "left").join(evidence("suffix", "of_suffix"), "suffix", "left")
-    parts = known.select(
-        *keep, "ll", "p", F.coalesce("host_prior", zero).alias("h"), F.coalesce("of_declared", zero).alias("d"), F.coalesce("of_suffix", zero).alias("x")
-    )
-    logs = [F.col("ll")[i] + F.col("h")[i] + F.col("d")[i] + F.col("x")[i] + float(np.log(model.prior[i])) for i in range(n)]
-    scored = parts.select(*keep, "p", F.array(*logs).alias("l")).withColumn("m", F.array_max("l"))
+    p = [F.col("p")[i] for i in range(n)]
+    # what other rows say: less the row's own posterior (a sum may fall under 0 by rounding)
+    rest = lambda c, i: F.greatest(F.col(c)[i] - p[i], F.lit(0.0))
+
+    def blend(level: str, i: int, up: Column) -> Column:
+        mass = rest(f"of_{level}", 0)
+        for j in range(1, n):
+            mass = mass + rest(f"of_{level}", j)
+        return (rest(f"of_{level}", i) + STRENGTH * up) / (mass + STRENGTH)
+
+    def says(c: str, i: int) -> Column:
+        return F.when(F.col(c).isNotNull(), F.log((rest(c, i) + 0.5) / (F.lit(float(total[i])) - p[i]))).otherwise(0.0)
+
+    host = [
+        F.when(F.col("of_s").isNotNull(), F.log(blend("s", i, blend("parent", i, blend("top", i, F.lit(float(base[i]))))) / float(model.prior[i]))).otherwise(0.0)
+        for i in range(n)
+    ]
+    logs = [F.col("ll")[i] + host[i] + says("of_declared", i) + says("of_suffix", i) + float(np.log(model.prior[i])) for i in range(n)]
+    scored = known.select(*keep, "p", F.array(*logs).alias("l")).withColumn("m", F.array_max("l"))
     scored = scored.withColumn("e", F.transform("l", lambda x: F.exp(x - F.col("m"))))
     score = 1 / F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     every = F.array(*map(F.lit, langs))
@@ -189,7 +210,7 @@ def rows_of(pages: DataFrame, docs: DataFrame) -> DataFrame:
     of_pages = pages.select(
         F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"),
         F.nullif(F.regexp_extract(F.col("html"), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1), F.lit("")).alias("declared"),
-        F.nullif(F.regexp_extract(host, r"\.([^.]+)$", 1), F.lit("")).alias("suffix"), F.nullif(host, F.lit("")).alias("host"), text.alias("text"),
+        F.nullif(F.regexp_extract(host, r"\.([^.]+)$", 1), F.lit("")).alias("suffix"), F.nullif(host, F.lit("")).alias("host"), F.lit(True).alias("markup"), text.alias("text"),
     )
-    of_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), null.alias("declared"), null.alias("suffix"), F.col("source").alias("host"), F.col("text").alias("text"))
+    of_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), null.alias("declared"), null.alias("suffix"), F.col("source").alias("host"), F.lit(False).alias("markup"), F.col("text").alias("text"))
     return of_pages.unionByName(of_docs)
