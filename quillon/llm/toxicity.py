@@ -166,29 +166,52 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     telling = counted.where(F.col("ratio") >= EVIDENCE).orderBy(F.desc("ratio"), "bucket").limit(FEATURES)
     frequent = counted.where(F.col("n") <= n / 2).orderBy(F.desc("n"), "bucket").limit(PAIRED)
     best, often = (np.sort(x.select("bucket").toPandas()["bucket"].to_numpy(np.int64)) for x in (telling, frequent))  # FEATURES and PAIRED rows at most
-    wanted = np.union1d(best, often)
-    spread = docs.sparkSession.sparkContext.broadcast(wanted)
+    # all of the sample's pairs are counted by one task: ``sample`` rows of PAIRED terms at most
+    pairs = _only(terms, often).repartition(1).mapInArrow(_pair_finder(often, p, n), "bucket long")
+    machine = FactorizationMachine(np.union1d(best, pairs.toPandas()["bucket"].to_numpy(np.int64)))  # PAIR_FEATURES rows more at most
+    # at most ``sample`` rows; sorted, so that the fit does not depend on the order of tasks
+    data = _only(terms, machine.known).toPandas()
+    data = data.assign(key=[(y, tuple(t)) for y, t in zip(data["label"], data["terms"], strict=True)]).sort_values("key", ignore_index=True)
+    stages.drop("terms", "counted")
+    sets = [np.asarray(t, np.int64) for t in data["terms"]]
+    rows = np.repeat(np.arange(len(sets)), [len(t) for t in sets])
+    flat = np.concatenate(sets) if len(rows) else np.zeros(0, np.int64)
+    return machine.fit(rows, np.searchsorted(machine.known, flat), data["label"].to_numpy())
+
+
+def _only(terms: DataFrame, known: np.ndarray) -> DataFrame:
+    """(label, terms) with the terms among ``known`` (sorted) only."""
+    spread = terms.sparkSession.sparkContext.broadcast(known)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = spread.value
         for batch in batches:
             lists = batch.column(1)
             flat = np.asarray(lists.flatten()).astype(np.int64)
             rows = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
-            keep = np.isin(flat, known)
+            keep = np.isin(flat, spread.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(rows[keep], flat[keep], len(lists))], ["label", "terms"])
 
-    # at most ``sample`` rows; sorted, so that the fit does not depend on the order of tasks
-    data = terms.mapInArrow(reduce, "label double, terms array<int>").toPandas()
-    sets = [np.asarray(t, np.int64) for t in data["terms"]]
-    order = sorted(range(len(sets)), key=lambda i: (data["label"][i], sets[i].tobytes()))
-    y = data["label"].to_numpy()[order]
-    sets = [sets[i] for i in order]
-    stages.drop("terms", "counted")
-    rows, flat = np.repeat(np.arange(len(sets)), [len(t) for t in sets]), np.concatenate(sets)
-    machine = FactorizationMachine(np.union1d(best, paired_terms(rows, flat, y, often)))
-    keep = np.isin(flat, machine.known)
-    return machine.fit(rows[keep], np.searchsorted(machine.known, flat[keep]), y)
+    return terms.mapInArrow(reduce, "label double, terms array<int>")
+
+
+def _pair_finder(often: np.ndarray, all_pos: float, every: float):
+    """Columns label, terms -> the terms among ``often`` (sorted) whose pairs tell PAIR_EVIDENCE more than either of them."""
+    k = len(often)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, toxic = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                lists = part.column(1)
+                x = np.zeros((len(lists), k), np.float32)
+                x[np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets))), np.searchsorted(often, np.asarray(lists.flatten()))] = 1
+                both += x.T @ x
+                bad = x[np.asarray(part.column(0)) > 0]
+                toxic += bad.T @ bad
+        yield pa.RecordBatch.from_arrays([pa.array(often[paired(both, toxic, all_pos, every)], pa.int64())], ["bucket"])
+
+    return find
 
 
 def _ratio(pos: np.ndarray, n: np.ndarray, all_pos: float, every: float) -> np.ndarray:
@@ -198,29 +221,14 @@ def _ratio(pos: np.ndarray, n: np.ndarray, all_pos: float, every: float) -> np.n
     return 2 * (d(pos) + d(neg) + d(p0) + d(n0) - d(n) - d(every - n) + d(every) - d(np.float64(all_pos)) - d(np.float64(every - all_pos)))
 
 
-def paired_terms(rows: np.ndarray, buckets: np.ndarray, y: np.ndarray, often: np.ndarray, chunk: int = 2000) -> np.ndarray:
-    """The terms among ``often`` (sorted) whose pairs tell ``PAIR_EVIDENCE`` more than either of them."""
-    k = len(often)
-    if not k:
-        return often
-    keep = np.isin(buckets, often)
-    rows, at = rows[keep], np.searchsorted(often, buckets[keep])
-    both, toxic = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
-    for start in range(0, len(y), chunk):
-        lo, hi = np.searchsorted(rows, [start, start + chunk])
-        x = np.zeros((min(chunk, len(y) - start), k), np.float32)
-        x[rows[lo:hi] - start, at[lo:hi]] = 1
-        both += x.T @ x
-        bad = x[y[start : start + chunk] > 0]
-        toxic += bad.T @ bad
-    gain = np.zeros((k, k), np.float32)
-    own = _ratio(np.diag(toxic).astype(float), np.diag(both).astype(float), y.sum(), len(y))
-    for i in range(k):  # by rows, so that no other table of all pairs is held
-        gain[i] = np.where(both[i] >= 5, _ratio(toxic[i].astype(float), both[i].astype(float), y.sum(), len(y)) - np.maximum(own[i], own), 0)
-    first, second = np.nonzero(np.triu(gain, 1) >= PAIR_EVIDENCE)
-    order = np.lexsort((second, first, -gain[first, second]))
-    terms = list(dict.fromkeys(x for i in order.tolist() for x in (int(first[i]), int(second[i]))))
-    return np.sort(often[terms[:PAIR_FEATURES]])
+def paired(both: np.ndarray, toxic: np.ndarray, all_pos: float, every: float) -> list[int]:
+    """Places of terms in telling pairs, the best pairs first; the tables count texts, and toxic ones, with two terms each."""
+    own = _ratio(np.diag(toxic).astype(float), np.diag(both).astype(float), all_pos, every)
+    found = []
+    for i in range(len(both)):  # by rows, so that no other table of all pairs is held
+        gain = _ratio(toxic[i, i + 1 :].astype(float), both[i, i + 1 :].astype(float), all_pos, every) - np.maximum(own[i], own[i + 1 :])
+        found += [(-gain[j], i, i + 1 + j) for j in np.flatnonzero((both[i, i + 1 :] >= 5) & (gain >= PAIR_EVIDENCE)).tolist()]
+    return list(dict.fromkeys(x for _, i, j in sorted(found) for x in (i, j)))[:PAIR_FEATURES]
 
 
 def score_toxicity(docs: DataFrame, machine: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
