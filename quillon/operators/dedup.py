@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import numbers_of, surname_compatible, title_similarity
 from quillon.operators.components import connected_components
+from quillon.store import Stages
 
 WINDOW = 4
-BLOCK = 6
 
 
 def _conflict() -> Column:
@@ -36,24 +36,56 @@ def doi_links(items: DataFrame) -> DataFrame:
 
 
 def title_links(items: DataFrame) -> DataFrame:
-    """Rule 2. Equal records (doi, surname) collapse first; only their classes are paired."""
-    some = items.where(F.length("title") >= 10).withColumn("year", F.coalesce(F.col("year").cast("string"), F.lit("")))
-    same = _chain(some, ["title", "year", "doi", "surname"])
-    classes = some.groupBy("title", "year", "doi", "surname").agg(F.min("rec").alias("rec"))
-    a, b = classes.alias("a"), classes.alias("b")
-    on = (F.col("a.title") == F.col("b.title")) & (F.col("a.year") == F.col("b.year")) & (F.col("a.rec") < F.col("b.rec"))
-    ok = ~_conflict() & surname_compatible(F.col("a.surname"), F.col("b.surname"))
-    pairs = a.join(b, on).where(ok).select(F.col("a.rec").alias("src"), F.col("b.rec").alias("dst"))
-    return same.union(pairs).withColumns({"reason": F.lit("title"), "similarity": F.lit(1.0)})
-
+    """Rule 2. Titles are compared by a 128-bit digest, and equal records (doi, surname) collapse first.
 
-def neighbour_links(items: DataFrame, threshold: float = 0.95, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """Rule 3. The sorted lists are cut by the first ``block`` characters, so that no task sorts all titles."""
+    Of a title and year only classes of different surname or DOI are paired; a class without both is compatible with
+    every other and serves as the centre of a star.
+    """
+    some = items.where(F.length("title") >= 10).select(
+        "rec", F.xxhash64("title").alias("t1"), F.xxhash64(F.lit(1), "title").alias("t2"), F.coalesce(F.col("year").cast("string"), F.lit("")).alias("year"), "doi", "surname"
+    )
+    key = ["t1", "t2", "year"]
+    classes = some.groupBy(*key, "doi", "surname").agg(F.min("rec").alias("src"))
+    same = some.join(classes, [*key, "doi", "surname"]).where("rec != src").select("src", F.col("rec").alias("dst"))
+    free = classes.where("doi = '' and surname = ''").select(*key, F.col("src").alias("centre"))
+    star = classes.join(free, key).where("src != centre").select(F.least("src", "centre").alias("src"), F.greatest("src", "centre").alias("dst"))
+    rest = classes.join(free, key, "left_anti")
+    a, b = rest.alias("a"), rest.alias("b")
+    on = (F.col("a.t1") == F.col("b.t1")) & (F.col("a.t2") == F.col("b.t2")) & (F.col("a.year") == F.col("b.year")) & (F.col("a.src") < F.col("b.src"))
+    ok = ~_conflict() & surname_compatible(F.col("a.surname"), F.col("b.surname"))
+    pairs = a.join(b, on).where(ok).select(F.col("a.src").alias("src"), F.col("b.src").alias("dst"))
+    return same.union(star).union(pairs).withColumns({"reason": F.lit("title"), "similarity": F.lit(1.0)})
+
+
+def _ranges(rows: DataFrame, key: Column, window: int, stages: Stages, name: str) -> DataFrame:
+    """rows with part and own: ranges of the order by key and rec, each followed by the ``window`` rows after it (not own)."""
+    order = [F.col("_key"), F.col("rec")]
+    rows = rows.withColumn("_key", key).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    rows = stages.keep(rows, name)  # written once, so that a row keeps its part
+    w = Window.partitionBy("part").orderBy(*order)
+    head = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= window)
+    counts = [(r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()]
+    carried = []
+    for i, (part, _) in enumerate(counts):
+        room, j = window, i - 1
+        while room > 0 and j >= 0:
+            carried.append((part, counts[j][0], room))
+            room, j = room - counts[j][1], j - 1
+    to = rows.sparkSession.createDataFrame(carried, "part int, to int, room int")  # ``window`` rows a part at most
+    guests = head.join(F.broadcast(to), "part").where("_n <= room").drop("_n", "room", "part").withColumnRenamed("to", "part")
+    return rows.withColumn("own", F.lit(True)).unionByName(guests.withColumn("own", F.lit(False)))
+
+
+def neighbour_links(items: DataFrame, threshold: float = 0.95, window: int = WINDOW) -> DataFrame:
+    """Rule 3. The sorted lists are cut into ranges, and the next rows are carried over each border: no link is lost."""
     some = items.where(F.length("title") >= 10)
+    stages = Stages(items.sparkSession, "neighbours")
     out = None
-    for key in (F.col("title"), F.reverse("title")):
-        w = Window.partitionBy(F.substring(key, 1, block)).orderBy(key, "rec")
-        rows = some.select("*", *[F.lead(F.struct(*[F.col(c) for c in ("rec", "doi", "title", "year", "surname", "file")]), k).over(w).alias(f"n{k}") for k in range(1, window + 1)])
+    for name, key in (("forwards", F.col("title")), ("backwards", F.reverse("title"))):
+        w = Window.partitionBy("part").orderBy("_key", "rec")
+        rows = _ranges(some.select("rec", "doi", "title", "year", "surname", "file"), key, window, stages, name)
+        rows = rows.select("*", *[F.lead(F.struct(*[F.col(c) for c in ("rec", "doi", "title", "year", "surname", "file")]), k).over(w).alias(f"n{k}") for k in range(1, window + 1)])
+        rows = rows.where("own")
         pairs = rows.select(F.struct("rec", "doi", "title", "year", "surname", "file").alias("a"), F.explode(F.array(*[f"n{k}" for k in range(1, window + 1)])).alias("b")).where("b is not null")
         sim = title_similarity(F.col("a.title"), F.col("b.title"), threshold)
         years = (

@@ -110,10 +110,44 @@ def screening_view(docs: DataFrame, decisions: DataFrame, view: str = "all", key
     return rows.where(F.col("decision") == view)
 
 
+def one_decision(decisions: DataFrame, key: str = "key") -> DataFrame:
+    """(key, decision, reason): of a key decided twice the first in order of both, so that every run agrees."""
+    reason = F.col("reason") if "reason" in decisions.columns else F.lit(None).cast("string")
+    rows = decisions.where("decision is not null").select(key, F.struct("decision", reason.alias("reason")).alias("d"))
+    return rows.groupBy(key).agg(F.min("d").alias("d")).select(key, "d.decision", "d.reason")
+
+
+NOT_RETRIEVED = "notRetrieved"
+
+
+def prisma_numbers(documents: DataFrame, decisions: DataFrame, databases: Column, registers: int = 0, duplicates: int = 0, automation: int = 0, filtered: int = 0, other: int = 0, key: str = "key") -> DataFrame:
+    """One row with every number of the flow diagram. ``databases`` may use the column documents (keys to screen).
+
+    Exclusions without a reason count at screening, with the reason notRetrieved at retrieval, with another at
+    assessment. balanced: what was assessed and not excluded is included or pending, and all screened have a key.
+    """
+    rows = documents.select(key).distinct().join(one_decision(decisions, key), key, "left")
+    is_ = lambda *values: F.coalesce(F.col("decision").isin(*values), F.lit(False))
+    out, reason = is_("exclude"), F.coalesce("reason", F.lit(""))
+    counted = rows.agg(
+        F.count("*").alias("documents"), F.count_if(is_("include")).alias("included"), F.count_if(is_("maybe")).alias("maybe"), F.count_if(out & (reason == "")).alias("excluded"),
+        F.count_if(out & (reason == NOT_RETRIEVED)).alias("not_retrieved"), F.count_if(out & ~reason.isin("", NOT_RETRIEVED)).alias("reports_excluded"),
+        F.count_if(~is_("include", "maybe", "exclude")).alias("undecided"),
+    )
+    removed = max(0, duplicates) + max(0, automation) + max(0, filtered) + max(0, other)
+    steps = counted.withColumn("identified", databases.cast("long") + max(0, registers)).withColumn("removed", F.lit(removed).cast("long"))
+    least = lambda c: F.greatest(F.lit(0).cast("long"), c)
+    steps = steps.withColumn("screened", least(F.col("identified") - F.col("removed"))).withColumn("sought", least(F.col("screened") - F.col("excluded")))
+    steps = steps.withColumn("assessed", least(F.col("sought") - F.col("not_retrieved"))).withColumn("pending", F.col("maybe") + F.col("undecided"))
+    return steps.withColumn("decided", F.col("documents") - F.col("undecided")).withColumn(
+        "balanced", (F.col("assessed") - F.col("reports_excluded") == F.col("included") + F.col("pending")) & (F.col("screened") == F.col("documents"))
+    )
+
+
 def prisma_flow(identified: DataFrame, decisions: DataFrame, removed_duplicates: int = 0, removed_other: int = 0, key: str = "key") -> DataFrame:
     """One row of counts: identified, removed, screened, included, excluded, maybe, pending, balanced."""
     keys = identified.select(key).distinct()
-    rows = keys.join(decisions.select(key, "decision").dropDuplicates([key]), key, "left")
+    rows = keys.join(one_decision(decisions, key), key, "left")
     total = identified.agg(F.count("*").alias("identified"))
     counted = rows.agg(
         F.count("*").alias("unique"), F.count_if(F.col("decision") == "include").alias("included"), F.count_if(F.col("decision") == "exclude").alias("excluded"),

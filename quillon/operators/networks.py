@@ -120,8 +120,10 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-10,
         change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
         rank = new.select("node", "rank")
         if change < tolerance:
-            break
-    return rank
+            return rank
+    if n == 0:
+        return rank
+    raise RuntimeError(f"ranks did not settle in {rounds} rounds")
 
 
 def country_collaboration(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -342,6 +342,20 @@ def prisma_flow(c):
     return filters.prisma_flow(c.texts.select(F.col("doc").alias("key")), _decisions(c), removed_duplicates=7)
 
 
+@query(
+    "prisma_numbers",
+    """WITH d AS (SELECT doc_id AS key, min(CASE WHEN toxic = 1 THEN 'exclude' WHEN quality = 1 THEN 'include' ELSE 'maybe' END) AS decision, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'notRetrieved' ELSE 'topic' END AS reason FROM labels GROUP BY 1, 3),
+x AS (SELECT count(*) AS documents, count(*) FILTER (decision = 'include') AS included, count(*) FILTER (decision = 'maybe') AS maybe, count(*) FILTER (decision = 'exclude' AND reason IS NULL) AS excluded,
+  count(*) FILTER (decision = 'exclude' AND reason = 'notRetrieved') AS not_retrieved, count(*) FILTER (decision = 'exclude' AND reason = 'topic') AS reports_excluded, count(*) FILTER (decision IS NULL) AS undecided
+  FROM (SELECT DISTINCT doc_id AS key FROM documents) LEFT JOIN d USING (key))
+SELECT *, documents + 7 AS identified, CAST(7 AS BIGINT) AS removed, documents AS screened, documents - excluded AS sought, documents - excluded - not_retrieved AS assessed, maybe + undecided AS pending,
+  documents - undecided AS decided, documents - excluded - not_retrieved - reports_excluded = included + maybe + undecided AS balanced FROM x""",
+)
+def prisma_numbers(c):
+    reason = F.when(F.col("key") % 3 == 1, filters.NOT_RETRIEVED).when(F.col("key") % 3 == 2, "topic")
+    return filters.prisma_numbers(c.texts.select(F.col("doc").alias("key")), _decisions(c).withColumn("reason", reason), F.col("documents") + 7, duplicates=7)
+
+
 @query("prisma_included", f"WITH {DECISIONS} SELECT doc_id AS key, lang FROM documents WHERE doc_id IN (SELECT key FROM dec WHERE decision = 'include')")
 def prisma_included(c):
     return filters.included(c.texts.select(F.col("doc").alias("key"), "lang"), _decisions(c))
@@ -374,21 +388,11 @@ def cooccurrence_pairs(c):
 
 @query(
     "coupling_pairs_salton",
-    """WITH i AS (SELECT DISTINCT o_custkey AS doc, l_partkey AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <= 150), s AS (SELECT doc, count(*) AS n FROM i GROUP BY 1),
+    """WITH i AS (SELECT DISTINCT o_custkey AS doc, l_partkey AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey), s AS (SELECT doc, count(*) AS n FROM i GROUP BY 1),
 k AS (SELECT a.doc AS src, b.doc AS dst, count(*) AS c FROM i a JOIN i b ON a.item = b.item AND a.doc < b.doc GROUP BY 1, 2) SELECT src, dst, c AS count, round(c / sqrt(x.n * y.n), 6) AS weight FROM k JOIN s x ON x.doc = src JOIN s y ON y.doc = dst""",
 )
 def coupling_pairs(c):
-    """Sources up to 150, as its SQL has it; ``coupling_pairs_salton_whole`` takes all."""
-    return _coupling(c, "source <= 150")
-
-
-@query("coupling_pairs_salton_whole")
-def coupling_pairs_whole(c):
-    return _coupling(c)
-
-
-def _coupling(c, some="true"):
-    rows = c.keywords.join(c.docs.select("doc", "source"), "doc").where(some).select(F.col("source").alias("doc"), F.col("term").alias("item"))
+    rows = c.keywords.join(c.docs.select("doc", "source"), "doc").select(F.col("source").alias("doc"), F.col("term").alias("item"))
     inc, _ = networks.incidence(rows)
     sizes = inc.groupBy(F.col("doc").alias("item")).agg(F.count("*").alias("freq"))
     return rounded(networks.network(networks.coupling(inc), sizes, "salton"))
@@ -441,24 +445,10 @@ def country_collaboration(c):
     return rounded(networks.country_collaboration(c.countries.withColumn("country", F.col("country").cast("bigint")))[0])
 
 
-@query(
-    "network_components",
-    """WITH RECURSIVE e AS (SELECT l_suppkey * 1000000 AS a, l_partkey AS b FROM lineitem WHERE l_orderkey <= 400), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a) SELECT node, min(seen) AS component FROM r GROUP BY 1""",
-)
+@query("network_components")
 def network_components(c):
-    """Orders up to 400, as its SQL has it; ``network_components_whole`` takes all."""
-    return _components(c, "l_orderkey <= 400")
-
-
-@query("network_components_whole")
-def network_components_whole(c):
-    return _components(c)
-
-
-def _components(c, some="true"):
-    rows = c.table("lineitem").where(some)
-    return connected_components(rows.select((F.col("l_suppkey") * 1000000).alias("src"), F.col("l_partkey").alias("dst")))
+    """All lines; SQL (a recursive query) is too slow for that, so a test holds it against brute force."""
+    return connected_components(c.table("lineitem").select((F.col("l_suppkey") * 1000000).alias("src"), F.col("l_partkey").alias("dst")))
 
 
 @query("pagerank")
@@ -527,8 +517,12 @@ def dedup_exact_title(c):
 
 @query("dedup_groups")
 def dedup_groups(c):
-    """The first line serves as the title."""
-    return rounded(dedup.duplicate_groups(_items(c, F.substring_index("text", "\n", 1)))[1])
+    """Part names are titles, sizes years, brands files; a test holds the rules against brute force."""
+    p = c.table("part")
+    items = p.select(
+        F.col("p_partkey").alias("rec"), F.lit("").alias("doi"), tx.norm_title(F.col("p_name")).alias("title"), F.col("p_size").cast("int").alias("year"), F.lit("").alias("surname"), F.col("p_brand").alias("file")
+    )
+    return rounded(dedup.duplicate_groups(items)[1])
 
 
 @query(
@@ -538,8 +532,9 @@ SELECT g AS "group", arg_max(rec, (n_chars, -rec)) AS base, max(merged) AS merge
 )
 def merge_survivors(c):
     items = _items(c)
-    star = items.where(F.length("title") >= 10).groupBy("title").agg(F.min("rec").alias("group"), F.count("*").alias("k")).where("k > 1")
-    members = items.join(star, "title").select("group", "rec")
+    named = items.where(F.length("title") >= 10).select("rec", F.xxhash64("title").alias("t1"), F.xxhash64(F.lit(1), "title").alias("t2"))
+    star = named.groupBy("t1", "t2").agg(F.min("rec").alias("group"), F.count("*").alias("k")).where("k > 1")
+    members = named.join(star, ["t1", "t2"]).select("group", "rec")
     records = c.table("documents").select(F.col("doc_id").alias("rec"), "text", "n_chars")
     out = dedup.survivors(records, members, F.col("n_chars"), ["text"], [], [], ["n_chars"])
     return out.withColumn("text", F.md5(F.col("text").cast("binary")))
@@ -561,25 +556,15 @@ def source_groups(c):
 
 @query(
     "author_variants",
-    """WITH r AS (SELECT DISTINCT l_orderkey AS doc, 'n' || (l_suppkey % 20) || '|' || substr('abcd', CAST(l_suppkey % 2 + 1 AS BIGINT), 1) || (l_suppkey % 3) AS key FROM lineitem WHERE l_orderkey <= 2000),
+    """WITH r AS (SELECT DISTINCT l_orderkey AS doc, 'n' || (l_suppkey % 20) || '|' || substr('abcd', CAST(l_suppkey % 2 + 1 AS BIGINT), 1) || (l_suppkey % 3) AS key FROM lineitem),
 k AS (SELECT key, split_part(key, '|', 1) || '|' || substr(split_part(key, '|', 2), 1, 1) AS family, count(*) AS n FROM r GROUP BY 1), m AS (SELECT family, arg_max(key, (n, key)) AS main, count(*) AS c FROM k GROUP BY 1 HAVING count(*) > 1),
 j AS (SELECT k.*, main FROM k JOIN m USING (family)), mates AS (SELECT DISTINCT j.family, main, j.key, o.key AS mate FROM j JOIN r x ON x.key = j.key JOIN r o ON o.doc = x.doc AND o.key <> j.key),
 s AS (SELECT a.family, a.key, count(*) AS shared FROM mates a JOIN mates b ON b.family = a.family AND b.key = b.main AND b.mate = a.mate WHERE a.key <> a.main GROUP BY 1, 2)
 SELECT family, key, n, coalesce(shared, 0) AS shared FROM j LEFT JOIN s USING (family, key)""",
 )
 def author_variants(c):
-    """Orders up to 2000, as its SQL has it; ``author_variants_whole`` takes all."""
-    return _variants(c, "doc <= 2000")
-
-
-@query("author_variants_whole")
-def author_variants_whole(c):
-    return _variants(c)
-
-
-def _variants(c, some="true"):
     k = F.concat(F.lit("n"), F.col("author") % 20, F.lit("|"), F.substring(F.lit("abcd"), (F.col("author") % 2 + 1).cast("int"), F.lit(1)), F.col("author") % 3)
-    return entities.author_variants(c.authors.where(some).select("doc", k.alias("key")))
+    return entities.author_variants(c.authors.select("doc", k.alias("key")))
 
 
 # multivariate ---------------------------------------------------------------------------

@@ -21,13 +21,13 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 text, encoding = decode(bytes(content))
                 form, rows, dropped = parse_text(file, text)
                 for i, r in enumerate(rows):
-                    r.update(file=file, position=i, format=form, warning="")
+                    r.update(path=path, file=file, position=i, format=form, warning="")
                 if dropped:
-                    rows.append(blank(file=file, format=form, warning=f"dropped:{dropped}"))
+                    rows.append(blank(path=path, file=file, format=form, warning=f"dropped:{dropped}"))
                 if not rows:
-                    rows = [blank(file=file, format=form, warning="empty")]
+                    rows = [blank(path=path, file=file, format=form, warning="empty")]
             except Exception as e:  # a bad file is a row of its own, it does not stop the job
-                rows = [blank(file=file, warning=f"readError:{type(e).__name__}")]
+                rows = [blank(path=path, file=file, warning=f"readError:{type(e).__name__}")]
             yield pd.DataFrame([[r[n] for n in names] for r in rows], columns=names)
 
 
@@ -49,8 +49,8 @@ def file_catalogue(rows: DataFrame) -> DataFrame:
 
 
 def with_ids(rows: DataFrame) -> DataFrame:
-    """rec = file and place in it: the same on every run."""
-    return rows.withColumn("rec", F.concat_ws("-", "file", F.col("position")))
+    """rec = a hash of the file's whole path and the place in it: the same on every run."""
+    return rows.withColumn("rec", F.xxhash64("path", "position"))
 
 
 FIELDS = ["title", "abstract", "authors", "year", "source", "doi", "authorKeywords", "affiliations", "references", "timesCited", "languages"]
