@@ -1,7 +1,7 @@
 """URL filter: host-suffix and path-prefix expressions against hashed rules.
 
 Each URL is expanded into every (host suffix, path prefix) expression that a rule could
-name. Expressions and rules meet in an equi-join on the first ``PREFIX`` hex digits of
+name: suffixes and prefixes as deep as the deepest rule. Expressions and rules meet in an equi-join on the first ``PREFIX`` hex digits of
 their SHA-256; full digests confirm. Of the rules that fit, the longest wins (host and
 path together; then the longer host; then block over allow).
 
@@ -46,7 +46,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, terms: list[str], id_col: str
     A null URL or one without ``://`` has an empty host and path, no rule, and is blocked.
     Repeated rows and null ids are judged row by row. Other columns are not read.
     ``rules`` has rule_host, rule_path, rule_verdict; rows with a null are ignored, and of
-    two that differ in the verdict only, block holds. Empty tables give no rows.
+    two that differ in the verdict only, block holds. A very long URL makes no more expressions
+    than the deepest rule has suffixes and prefixes, and one for each of its host's words.
+    Empty tables give no rows.
     """
     spark = pages.sparkSession
     rules = rules.dropna().dropDuplicates()
@@ -65,6 +67,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, terms: list[str], id_col: str
         r[0] for r in rules.where("rule_path != '' and not endswith(rule_path, '/')").select(F.length("rule_path")).distinct().collect()
     )
 
+    # no rule has more labels or steps than these, so a url is expanded no further
+    slashes = F.length("rule_path") - F.length(F.replace("rule_path", F.lit("/"), F.lit("")))
+    deepest = rules.agg(F.max(F.size(F.split("rule_host", r"\."))).alias("labels"), F.max(slashes).alias("steps")).first()
+    most_labels, most_steps = deepest["labels"] or 0, deepest["steps"] or 0
+
     url = F.coalesce(F.col(url_col), F.lit(""))
     parts = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     split = pages.select(
@@ -75,11 +82,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, terms: list[str], id_col: str
     )
     labels = split.withColumn("labels", F.split("host", r"\.", -1)).withColumn("steps", F.split("path", "/", -1))
     hosts = F.transform(
-        F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), ".")
+        F.sequence(F.greatest(F.lit(1), F.size("labels") - max(most_labels, 1) + 1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), ".")
     )
     whole_steps = F.when(
-        F.size("steps") > 1,
-        F.transform(F.sequence(F.lit(1), F.size("steps") - 1), lambda i: F.concat(F.array_join(F.slice("steps", F.lit(1), i), "/"), F.lit("/"))),
+        (F.size("steps") > 1) & (F.lit(most_steps) > 0),
+        F.transform(F.sequence(F.lit(1), F.least(F.size("steps") - 1, F.lit(max(most_steps, 1)))), lambda i: F.concat(F.array_join(F.slice("steps", F.lit(1), i), "/"), F.lit("/"))),
     ).otherwise(F.array().cast("array<string>"))
     inner = F.array(*[F.substring("path", 1, n) for n in lengths]) if lengths else F.array().cast("array<string>")
     paths = F.array_distinct(F.concat(F.array(F.lit(""), F.col("path")), whole_steps, inner))
