@@ -100,6 +100,25 @@ def document_label(author: Column, year: Column, source: Column) -> Column:
     return F.concat_ws(", ", F.nullif(author, F.lit("")), year.cast("string"), F.nullif(source, F.lit("")))
 
 
+def reference_short(rows: DataFrame, limit: int = 90) -> DataFrame:
+    """rows(first_author, year, source, volume, page, doi, label) with short: "Smith J, 2001, Nature", at most ``limit`` long.
+
+    Works of equal author, year and source get volume and first page (or the DOI). With under two of the three the label serves.
+    """
+    parts = F.array_compact(F.array(F.nullif("first_author", F.lit("")), F.col("year").cast("string"), F.nullif("source", F.lit(""))))
+    plain = F.when(F.size(parts) >= 2, F.array_join(parts, ", ")).otherwise(F.coalesce("label", F.lit("")))
+    place = F.coalesce(F.nullif(F.concat_ws(":", F.nullif("volume", F.lit("")), F.nullif("page", F.lit(""))), F.lit("")), F.nullif("doi", F.lit("")))
+    same = F.count("*").over(Window.partitionBy(plain))
+    full = F.when((F.size(parts) >= 2) & (same > 1) & place.isNotNull(), F.concat(plain, F.lit(", "), place)).otherwise(plain)
+    return rows.withColumn("short", full).withColumn("short", F.when(F.length("short") > limit, F.concat(F.rtrim(F.substring("short", 1, limit - 1)), F.lit("…"))).otherwise(F.col("short")))
+
+
+def reference_analysis(docs: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Local citations, and clusters of cited works that take the matched documents into account."""
+    matched = citations.local_citations(docs, refs)
+    return matched, citations.reference_clusters(refs, citations.matched_references(docs, refs))
+
+
 def run_all(collection, reference_year: int) -> dict[str, DataFrame]:
     """Every table of a collection by name, lazily: nothing runs until one is written."""
     d, a = collection.docs, collection.authors

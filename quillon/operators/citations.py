@@ -37,7 +37,12 @@ def sources_match(a: Column, b: Column) -> Column:
 
 
 def local_citations(docs: DataFrame, refs: DataFrame) -> DataFrame:
-    """(doc, cited, how): distinct links from a document to a document of the collection.
+    """(doc, cited, how): distinct links from a document to a document of the collection."""
+    return matched_references(docs, refs).groupBy("doc", "cited").agg(F.min("how").alias("how"))
+
+
+def matched_references(docs: DataFrame, refs: DataFrame) -> DataFrame:
+    """(occ, doc, cited, how): the references that are documents of the collection.
 
     DOI and catalogue id decide first. Otherwise candidates share surname and year, or year, three letters
     and all but one letter of a surname of six or more; a different DOI or volume vetoes. Accepted are a title that
@@ -73,8 +78,7 @@ def local_citations(docs: DataFrame, refs: DataFrame) -> DataFrame:
     ).where("doc != cited")
     best = scored.groupBy("occ").agg(F.max("rank").alias("rank"))
     left = scored.join(best, ["occ", "rank"]).groupBy("occ", "doc").agg(F.countDistinct("cited").alias("n"), F.min("cited").alias("cited")).where("n = 1")
-    links = sure.where("doc != cited").unionByName(left.select("occ", "doc", "cited", F.lit("reference").alias("how")))
-    return links.groupBy("doc", "cited").agg(F.min("how").alias("how"))
+    return sure.where("doc != cited").unionByName(left.select("occ", "doc", "cited", F.lit("reference").alias("how")))
 
 
 def local_citation_table(docs: DataFrame, links: DataFrame) -> DataFrame:

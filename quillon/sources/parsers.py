@@ -114,11 +114,25 @@ def read_csv(text: str) -> list[dict]:
     head = [fold_text(x.strip().lstrip("﻿")) for x in rows[at]]
     if len({"pt", "au", "ti", "so", "py"} & set(head)) >= 4:
         return [_tagged2_record({k.upper(): v for k, v in zip(head, r, strict=False)}, tabbed=True) for r in rows[at + 1 :]]
+    if {"pmid", "citation"} <= set(head):
+        return [_summary_record(dict(zip(head, r, strict=False))) for r in rows[at + 1 :]]
     names = [_HEADERS.get(h, "") for h in head]
     index_a = "eid" in head and "source title" in head
     return [_table_record(dict(zip(names, r, strict=False)), index_a) for r in rows[at + 1 :]]
 
 
+def _summary_record(c: dict) -> dict:
+    """A row of a biomedical summary table: volume, issue and pages stand in its citation, as ';12(3):4-5'."""
+    get = lambda k: " ".join(c.get(k, "").split())
+    cited = get("citation")
+    where = re.search(r";(?P<volume>\d+[A-Za-z]?)(?:\((?P<issue>[^)]+)\))?:(?P<pages>[\w-]+)", cited)
+    place = {k: v or "" for k, v in where.groupdict().items()} if where else {}
+    return blank(
+        title=get("title"), authors=[person(x) for x in get("authors").rstrip(".").split(", ") if x], year=int_of(get("publication year")) or year_of(cited), source=get("journal/book"), sourceAbbrev=get("journal/book"),
+        doi=doi_of(get("doi")) or doi_of(cited), originId=get("pmid"), docTypeRaw="Journal Article", origin="biomed", **place,
+    )
+
+
 def _table_record(c: dict, index_a: bool) -> dict:
     get = lambda k: " ".join(c.get(k, "").split())
     cited = int_of(c.get("timesCited"))

@@ -117,3 +117,24 @@ def test_synonyms_and_marks(spark):
     assert highlight_pieces("Él vio SALT, salty.", ["salt", "el"]) == [("Él", True), (" vio ", False), ("SALT", True), (", salty.", False)]
     got = spark.createDataFrame([("the sea",), (None,)], "t string").select(highlight(F.col("t"), ["sea"]).alias("x")).collect()
     assert [(p["text"], p["mark"]) for p in got[0]["x"]] == [("the ", False), ("sea", True)] and got[1]["x"] == []
+
+
+def test_summary_table_of_a_biomedical_export():
+    from quillon.sources.parsers import parse_text
+
+    text = 'PMID,Title,Authors,Citation,Journal/Book,Publication Year,DOI\n77,"On salt","Doe J, Pérez M.","J Salt. 2001 Mar;12(3):45-9. doi: 10.1234/z.",J Salt,2001,\n'
+    _, rows, _ = parse_text("x.csv", text)
+    r = rows[0]
+    assert (r["originId"], r["volume"], r["issue"], r["pages"], r["year"], r["doi"], [a["short"] for a in r["authors"]]) == ("77", "12", "3", "45-9", 2001, "10.1234/z", ["Doe J", "Pérez M"])
+
+
+def test_short_names_of_references(spark):
+    from quillon.operators.analysis import reference_analysis, reference_short
+
+    rows = [("Smith J", 2001, "Nature", "7", "391", "", "x"), ("Smith J", 2001, "Nature", "", "", "10.1/y", "y"), ("Doe A", 1999, "", "", "", "", "z"), ("", None, "", "", "", "", "w " * 80)]
+    got = [r["short"] for r in reference_short(spark.createDataFrame(rows, "first_author string, year int, source string, volume string, page string, doi string, label string")).orderBy("label").collect()]
+    assert got[1:] == ["Smith J, 2001, Nature, 7:391", "Smith J, 2001, Nature, 10.1/y", "Doe A, 1999"] and len(got[0]) <= 90 and got[0].endswith("…")
+    docs = spark.createDataFrame([(1, "Smith", 2001, "Nature", "7", "391", "10.1/a", "", "On salt plants of the sea"), (2, "Doe", 2005, "Cell", "1", "1", "", "", "Other")], "doc long, surname string, year int, source string, volume string, first_page string, doi string, work_id string, title string")
+    refs = spark.createDataFrame([(1, 2, "Smith J", 2001, "Nature", "7", "391", "10.1/a", "", "Smith J, 2001"), (2, 2, "Smith, J.", 2001, "Nature", "7", "391", "", "", "Smith, On salt plants of the sea")], "occ long, doc long, first_author string, year int, source string, volume string, page string, doi string, work_id string, raw string")
+    links, clusters = reference_analysis(docs, refs)
+    assert [(r["doc"], r["cited"], r["how"]) for r in links.collect()] == [(2, 1, "doi")] and {r["cluster"] for r in clusters.collect()} == {1}
