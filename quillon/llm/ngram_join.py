@@ -92,7 +92,7 @@ def _counter(shingle: int, buckets: int):
             for _, _, _, members in _sets(batch.column(0), shingle):
                 waiting.append(_slot(members, buckets).astype(np.int32))
                 n += len(members)
-                if n > buckets:
+                if n > min(buckets, 1 << 22):
                     add()
         add()
         yield _packed(dict(enumerate(total.reshape(SLICES, -1))))
