@@ -3,6 +3,7 @@
 Iterative operators cut their lineage by writing a table and reading it again. On a
 cluster the tables go to the folder named in ``spark.checkpoint.dir``, which all
 machines share. A session on ``local`` without that setting gets a temporary folder.
+What is still there when the session's JVM ends is deleted then.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         if app not in _LOCAL:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="quillon-")
         return _LOCAL[app]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
 class Stages:
@@ -38,6 +39,9 @@ class Stages:
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+        path, files = self._file("")
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -47,8 +51,10 @@ class Stages:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            path, files = self._file(name)
+            files.delete(path, True)
+
+    def _file(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
