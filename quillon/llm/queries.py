@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontam, html_extract, langid, license_scan, mixing, ngram_join, pii, quality, toxicity, url_filter
+from quillon.llm import decontam, html_extract, langid, license_scan, merkle, mixing, ngram_join, pii, quality, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_tampered(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -68,10 +72,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {
     "op1_license_scan": license_scan.ORACLE_SQL,
     "op6_quality_rules": quality.ORACLE_SQL,
     "op7_url_filter": url_filter.ORACLE_SQL,
+    "op12_merkle_manifest": merkle.ORACLE_SQL,
 }
