@@ -46,8 +46,9 @@ class Stages:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+    def keep(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """``by``: columns with few values, of which a reader skips those that it does not ask for."""
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
