@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontam, html_extract, langid, license_scan, merkle, mixing, ngram_join, pii, quality, toxicity, url_filter
+from quillon.llm import alignment, decontam, html_extract, langid, license_scan, merkle, mixing, ngram_join, pii, quality, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_tampered(_table(spark, sf_dir, "documents"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLE: dict[str, str] = {
