@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import alignment, decontam, html_extract, langid, license_scan, merkle, mixing, ngram_join, pii, quality, toxicity, url_filter
+from quillon.llm import alignment, decontam, html_extract, langid, license_scan, merkle, mixing, ngram_join, pii, quality, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
@@ -84,5 +89,6 @@ ORACLE: dict[str, str] = {
     "op1_license_scan": license_scan.ORACLE_SQL,
     "op6_quality_rules": quality.ORACLE_SQL,
     "op7_url_filter": url_filter.ORACLE_SQL,
+    "op11_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op12_merkle_manifest": merkle.ORACLE_SQL,
 }
