@@ -3,14 +3,15 @@
 A page is cut into lines (its blocks). Each line is chrome by its markup (menus, headers, footers, sidebars, notices,
 adverts, forms, reader comments), or plain, or in the article (``article``, ``main`` or role=main). The pages of a
 host are put in order of their URL path; each is paired with the neighbours before and after it that have other lines,
-and lines of both are aligned by longest common subsequence. Of a plain line it is enough that the neighbour with the
-longer path prefix shares it: it is deleted. The markup guards the article: a line in it is deleted only if both
-neighbours share it, it has ``SHORT`` words at most and no end of a sentence; copies and quoted passages so stay.
-Chrome is never output. The text is the article's lines if the page has any, else the plain lines.
+and lines of both are aligned by longest common subsequence. A line that the neighbour with the longer path prefix
+shares is deleted, unless it is in the article: what markup names as the article is the text that is asked for, and
+equal headings, quoted passages and copies in it are part of it. Chrome is never output, shared or not. The text is the
+article's lines if the page has any, else the plain lines.
 
 Only hashes of lines are put in order and aligned: pages of equal lines and path are one, ranges of (host, path) are
-sorted, and the page before and after a range is carried over its border. Texts are not shuffled; the numbers of deleted
-lines are joined to the pages, which are parsed again.
+sorted, and the page before and after a range is carried over its border. Neighbouring pages of equal lines are one run,
+which is aligned once and of which only the first page is held. Pages are parsed once, into a table that the numbers of
+deleted lines are joined to.
 """
 
 from __future__ import annotations
@@ -23,19 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.exprs import ascii_lower
 from quillon.store import Stages
 
-#: A line of the article that has more words is never deleted.
-SHORT = 12
 #: Deletions of up to so many pages (a few numbers each) are broadcast; more are joined by shuffle.
 BROADCAST_PAGES = 100_000
 #: Lines times lines that are aligned at once; longer pages are halved until they fit.
 CELLS = 1 << 24
-CHROME_LINE, PLAIN, ARTICLE = 0, 1, 2
+CHROME_LINE, PLAIN, ARTICLE, INSIDE = 0, 1, 2, 3
 
 # fixed values: HTML elements by role
 BLOCK = set(
@@ -50,13 +50,19 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 CHROME = set(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer header"
     " masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted related replies respond share sharing"
-    " sidebar signup site-footer site-header skip-link social sponsor sponsored subscribe toolbar widget".split()
+    " sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+)
+# fixed values: words that may stand beside them in a name
+BESIDE = set(
+    "area articles bar block bottom box button buttons container content form group icons inner item items left link links list main media outer page"
+    " posts reader right row section site slot stories thread top unit user users wrap wrapper".split()
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar"}
 COMMENTS = {"comment", "comments", "replies", "respond"}
-# fixed values: with one of the first, one of the second names the head of an article
-CONTENT = {"article", "content", "entry", "post", "story"}
+# fixed values: words that, alone in a name, mark chrome outside of an article only
 HEADS = {"header", "masthead", "banner"}
+# fixed values: elements that their names never make chrome inside an article
+TEXT = set("h1 h2 h3 h4 h5 h6 p blockquote pre li dt dd td th figcaption caption b i em strong span".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)(?:>|\Z)", re.S
@@ -68,6 +74,12 @@ def _attributes(text: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)}
 
 
+def _named(name: str) -> set[str]:
+    """The words of a class or id, if it has one of ``CHROME`` and all others may stand beside it."""
+    words = {w for w in re.split(r"[-_]+", name) if w and not w.isdigit()}
+    return words if words & CHROME and words <= CHROME | BESIDE else set()
+
+
 def _is_chrome(tag: str, raw: str, in_article: bool) -> tuple[bool, bool]:
     """Whether an element is not main text, and whether it holds reader comments."""
     if tag in DROP or (tag == "header" and not in_article):
@@ -75,51 +87,34 @@ def _is_chrome(tag: str, raw: str, in_article: bool) -> tuple[bool, bool]:
     if not raw.strip():
         return False, False
     a = _attributes(raw)
-    words: set[str] = set()
-    for w in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
-        parts = set(re.split(r"[-_]+", w))
-        words |= (parts | {w}) - (HEADS if parts & CONTENT else set())
+    words = set().union(*(_named(w) for w in f"{a.get('class', '')} {a.get('id', '')}".lower().split()))
+    talk = bool(words & COMMENTS)
+    if in_article:
+        words = set() if tag in TEXT else words - HEADS if not words <= HEADS else set()
     role = a.get("role", "").lower()
     hidden = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "").lower())
-    if tag in ("body", "html", "article", "main") and not words & COMMENTS:
+    if tag in ("body", "html") or (tag in ("article", "main") and not talk):
         return bool(hidden), False
-    return bool(words & CHROME or role in ROLES or hidden), bool(words & COMMENTS)
-
+    return bool(words & CHROME or role in ROLES or hidden), talk and bool(words & CHROME)
 
-def lines_of(page: str) -> tuple[list[str], list[int]]:
-    """The lines of a page and the kind of each."""
-    lines: list[str] = []
-    kinds: list[int] = []
-    now: list[str] = []
-    article = 0  # open article or main elements
-    role_main = False
-    skip, depth, comments = "", 0, False
-    at, end, low = 0, len(page), None
-
-    def flush() -> None:
-        if now:
-            s = " ".join(entities.unescape("".join(now)).split())
-            now.clear()
-            if s:
-                lines.append(s)
-                kinds.append(CHROME_LINE if skip else ARTICLE if article or role_main else PLAIN)
 
+def _events(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before it, tag, whether it closes, attributes) of each tag; the last has no tag. Content of ``RAW`` elements is left out."""
+    at, end, low, text = 0, len(page), None, ""
     while at < end:
         m = _TAG.search(page, at)
         if m is None:
-            now.append(page[at:])
             break
-        if m.start() > at:
-            now.append(page[at : m.start()])
+        text += page[at : m.start()]
         at = m.end()
-        tag = (m[2] or "").lower()
+        tag, closing = (m[2] or "").lower(), bool(m[1])
         if not tag:
             continue
-        closing = bool(m[1])
-        if tag in RAW and not closing:
+        if tag in RAW:
             if tag in BLOCK:
-                flush()
-            if not m[3].rstrip().endswith("/"):
+                yield text, tag, True, ""
+                text = ""
+            if not closing and not m[3].rstrip().endswith("/"):
                 low = page.lower() if low is None else low
                 if len(low) != len(page):  # a letter whose lower case is longer
                     close = re.compile(rf"</{tag}", re.I).search(page, at)
@@ -128,38 +123,88 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
                     found = low.find(f"</{tag}", at)
                     at = end if found < 0 else found
             continue
-        if tag in BLOCK:
-            flush()
-        elif tag in CELL_TAGS or tag == "br":
-            now.append(" ")
-        if skip:
-            over = False
-            if tag == skip:
-                depth += -1 if closing else 1
-                over = not depth
-            elif tag in ("article", "main") and not closing and not comments:
-                over = True  # an element that was never closed
-            elif closing and tag in ("article", "main", "body", "html"):
-                over = True
-            if over:
-                flush()
-                skip = ""
-            if skip or tag not in ("article", "main"):
-                continue
+        yield text, tag, closing, m[3] or ""
+        text = ""
+    yield text + page[at:], "", False, ""
+
+
+def _extents(events: list[tuple[str, str, bool, str]]) -> dict[int, tuple[int, bool]]:
+    """Of each element, by its first event: the event that ends it, and whether that is its own end tag or a sibling."""
+    out: dict[int, tuple[int, bool]] = {}
+    opened: list[tuple[str, int]] = []
+    of: dict[str, int] = {}  # how many of a tag are open
+
+    def close(depth: int, n: int, own: bool) -> None:
+        while len(opened) > depth:
+            tag, first = opened.pop()
+            of[tag] -= 1
+            out[first] = n, own and len(opened) == depth
+
+    for n, (_, tag, closing, _) in enumerate(events):
+        if not tag or tag in VOID or tag in RAW:
+            continue
         if closing:
-            if tag in ("article", "main") and article:
-                article -= 1
+            if of.get(tag):
+                close(max(k for k, x in enumerate(opened) if x[0] == tag), n, True)
             continue
-        chrome, talk = _is_chrome(tag, m[3] or "", article > 0)
-        if chrome and tag not in VOID:
+        if tag in BLOCK or tag in CELL_TAGS:  # a paragraph ends before a block, an item before the next
+            last = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] in BLOCK or opened[k][0] in CELL_TAGS), None)
+            if last is not None and (opened[last][0] == "p" or opened[last][0] == tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
+                close(last, n, True)
+        opened.append((tag, n))
+        of[tag] = of.get(tag, 0) + 1
+    close(0, len(events), False)
+    return out
+
+
+def lines_of(page: str) -> tuple[list[str], list[int]]:
+    """The lines of a page and the kind of each.
+
+    An element that is chrome is left at its own end, whatever it holds; one that has no end tag of its own is left where
+    an article begins in it or an element around it ends. If a page has an article only inside of chrome (an element
+    that another's end tag seems to close), that one counts.
+    """
+    lines: list[str] = []
+    kinds: list[int] = []
+    now: list[str] = []  # text of the open line, and of chrome inside of it
+    aside: list[str] = []
+    chrome: list[tuple[int, bool, bool]] = []  # end, own end, comments
+    article: list[int] = []  # ends of open article and main elements
+
+    def flush() -> None:
+        for part, kind in ((now, ARTICLE if article else PLAIN), (aside, INSIDE if article and not any(c[2] for c in chrome) else CHROME_LINE)):
+            s = " ".join(entities.unescape("".join(part)).split()) if part else ""
+            part.clear()
+            if s:
+                lines.append(s)
+                kinds.append(kind)
+
+    events = list(_events(page))
+    extents = _extents(events)
+    for n, (text, tag, closing, raw) in enumerate(events):
+        if text:
+            (aside if chrome else now).append(text)
+        if tag in BLOCK or not tag:
             flush()
-            skip, depth, comments = tag, 1, talk
-        elif tag in ("article", "main"):
-            article += 1
-        elif "role" in (m[3] or "") and tag in BLOCK and _attributes(m[3]).get("role") == "main":
-            role_main = True
-    flush()
-    return lines, kinds
+        elif tag in CELL_TAGS or tag == "br":
+            (aside if chrome else now).append(" ")
+        while chrome and chrome[-1][0] <= n:
+            chrome.pop()
+        while article and article[-1] <= n:
+            article.pop()
+        if closing or not tag or n not in extents:
+            continue
+        end, own = extents[n]
+        drop, talk = _is_chrome(tag, raw, bool(article))
+        if drop:
+            chrome.append((min(end, chrome[-1][0]) if chrome else end, own, talk))
+        elif tag in ("article", "main") or ("role" in raw and tag in BLOCK and _attributes(raw).get("role") == "main"):
+            if tag in ("article", "main") and not any(c[1] or c[2] for c in chrome):
+                chrome.clear()
+            article.append(end)
+    if ARTICLE in kinds:
+        return lines, [CHROME_LINE if k == INSIDE else k for k in kinds]
+    return lines, [ARTICLE if k == INSIDE else k for k in kinds]
 
 
 def main_lines(lines: list[str], kinds: list[int], deleted: set[int] | frozenset[int] = frozenset()) -> list[str]:
@@ -241,45 +286,40 @@ def _common(a: str, b: str) -> int:
     return n
 
 
-#: Of a line in the article: whether it is short and ends no sentence.
-_ENDS = re.compile(r"[.!?…:;。！？][\"'»”’)\]]*$")
-
-
-def _weak(line: str) -> bool:
-    return len(line.split()) <= SHORT and not _ENDS.search(line)
+def deleted_lines(path: str, kinds: list[int], near: list[tuple[str, set[int]]]) -> list[int]:
+    """Numbers of the lines to delete; ``near`` has path and shared lines of the page before and of that after, as far as there are any."""
+    if not near:
+        return []
+    best = near[int(len(near) == 2 and _common(path, near[1][0]) > _common(path, near[0][0]))]
+    return sorted(i for i in best[1] if kinds[i] != ARTICLE)
 
 
-def deleted_lines(path: str, hashes: list, kinds: list[int], near: list[tuple[str, list]]) -> list[int]:
-    """Numbers of the lines to delete; kinds are 1 for a plain line and 2 for a weak one of the article.
+def _differences(rows: Iterator[tuple], name: str) -> Iterator[tuple]:
+    """Rows (part, host, path, d1, d2, hashes, kinds, visitor) in order -> what is known of them.
 
-    ``near`` has the path and lines of the page before and of that after, as far as there are any.
+    (run, host, path, d1, d2, None, ...) for each page, and (run, None, None, None, None, kinds, path before, lines shared
+    with it, path after, lines shared with it) for each run of pages of equal lines. Three pages are held at most.
     """
-    if not near or not any(kinds):
-        return []
-    common = [_common(path, x[0]) for x in near]
-    shared = [shared_lines(hashes, x[1]) for x in near]
-    best = shared[int(len(near) == 2 and common[1] > common[0])]
-    both = shared[0] & shared[1] if len(near) == 2 else set()
-    return [i for i, k in enumerate(kinds) if (k == 1 and i in best) or (k == 2 and i in both)]
+    before: tuple | None = None  # the page before the run, which has other lines
+    head: tuple | None = None  # the first page of the run
+    last = ""  # path of its last page
+    run = 0
 
-
-def _differences(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows (part, host, path, d1, d2, hashes, kinds, visitor) in order -> (host, path, d1, d2, deleted)."""
-    before: tuple | None = None  # the last page of other lines
-    run: list[tuple] = []  # pages of equal lines that wait for the page after them
-
-    def close(after: tuple | None) -> Iterator[tuple]:
-        for row in run:
-            near = [(x[2], x[5]) for x in (before, after) if x is not None and x[:2] == row[:2]]
-            if not row[7]:
-                yield (*row[1:5], deleted_lines(row[2], row[5], row[6], near))
+    def close(after: tuple | None) -> tuple:
+        near = [x if x is not None and x[1] == head[1] else None for x in (before, after)]
+        return (f"{name}-{run}", None, None, None, None, head[6], *(v for x in near for v in ((x[2], sorted(shared_lines(head[5], x[5]))) if x else (None, None))))
 
     for row in rows:
-        if run and (row[:2] != run[0][:2] or row[3:5] != run[0][3:5]):
-            yield from close(row)
-            before, run = run[-1], []
-        run.append(row if not run else (*row[:5], run[0][5], run[0][6], row[7]))  # lines of a run are held once
-    yield from close(None)
+        if head is None or row[1] != head[1] or row[3:5] != head[3:5]:
+            if head is not None:
+                yield close(row)
+                before, run = (*head[:2], last, *head[3:]), run + 1
+            head = row
+        last = row[2]
+        if not row[7]:
+            yield (f"{name}-{run}", *row[1:5], None, None, None, None, None)
+    if head is not None:
+        yield close(None)
 
 
 def _borders(spans: list[tuple]) -> list[tuple]:
@@ -311,26 +351,10 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     url = F.coalesce(F.col(url_col), F.lit(""))
     host = ascii_lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
-    rows = pages.select(host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
-    kept = "host string, path string, d1 long, d2 long, hashes array<long>, kinds array<tinyint>"
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                found = [lines_of(x or "") for x in part.column(2).to_pylist()]
-                digests = [_digest(x, k) for x, k in found]
-                kinds = [[1 if k == PLAIN else 2 if k == ARTICLE and _weak(x) else 0 for x, k in zip(*f, strict=True)] for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), part.column(1), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
-                        pa.array([[_hash(x) for x in f[0]] for f in found], pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int8())),
-                    ],
-                    ["host", "path", "d1", "d2", "hashes", "kinds"],
-                )
-
+    whole = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
     key = ["host", "path", "d1", "d2"]  # also the order
-    each = rows.mapInArrow(hashed, kept).dropDuplicates(key)
+    parsed = stages.keep(whole.mapInArrow(_parse, PARSED), "parsed")
+    each = parsed.select(*key, "hashes", "kinds").dropDuplicates(key)
     each = stages.keep(each.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id()), "lines")
     # the outermost pages of each part (keys only: four a part)
     page = F.struct(*key)
@@ -347,50 +371,66 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     visitors = spark.createDataFrame(borders, "to int, host string, path string, d1 long, d2 long").distinct()  # four a part at most
     carried = each.join(F.broadcast(visitors), key).select(F.col("to").alias("part"), *key, "hashes", "kinds", F.lit(True).alias("visitor"))
     flow = each.select("part", *key, "hashes", "kinds", F.lit(False).alias("visitor")).unionByName(carried)
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch_of in _chunks(x for x in _differences(_rows(batches)) if x[4]):
-            columns = list(zip(*batch_of, strict=True))
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, [*key, "deleted"])
-
     flow = flow.repartition("part").sortWithinPartitions("part", *key)
-    gone = stages.keep(flow.mapInArrow(align, "host string, path string, d1 long, d2 long, deleted array<int>"), "gone")
-
-    parsed = "page_id long, url string, host string, path string, d1 long, d2 long, lines array<string>, at array<int>"
-    whole = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                found = [lines_of(x or "") for x in part.column(4).to_pylist()]
-                digests = [_digest(x, k) for x, k in found]
-                chosen = [[i for i, k in enumerate(kinds) if k == (ARTICLE if ARTICLE in kinds else PLAIN)] for _, kinds in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(part.column(i) for i in range(4)), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
-                        pa.array([[f[0][i] for i in c] for f, c in zip(found, chosen, strict=True)], pa.list_(pa.string())),
-                        pa.array(chosen, pa.list_(pa.int32())),
-                    ],
-                    ["page_id", "url", "host", "path", "d1", "d2", "lines", "at"],
-                )
-
+    runs = stages.keep(flow.mapInArrow(_align, RUNS), "runs")
+    shared = runs.where("kinds is not null and (size(with_before) > 0 or size(with_after) > 0)").drop(*key)
+    met = runs.where("kinds is null").select("run", *key).join(shared, "run")
+    gone = stages.keep(met.select(*key, "kinds", "before", "with_before", "after", "with_after").mapInArrow(_choose, GONE), "gone")
     if gone.limit(BROADCAST_PAGES + 1).count() <= BROADCAST_PAGES:
         gone = F.broadcast(gone)
-    found = whole.mapInArrow(parse, parsed).join(gone, key, "left")
+    found = parsed.drop("hashes", "kinds").join(gone, key, "left")
     left = F.filter("lines", lambda x, i: F.col("deleted").isNull() | ~F.array_contains("deleted", F.get("at", i)))
     text = F.array_join(left, "\n\n")
-    out = found.select("page_id", "url", text.alias("text"), (F.size("lines") - F.size(left)).cast("long").alias("n_shared"))
+    out = found.select("page_id", "url", text.alias("text"), F.coalesce(F.size("deleted"), F.lit(0)).cast("long").alias("n_shared"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
 
 
+PARSED = "page_id long, url string, host string, path string, d1 long, d2 long, hashes array<long>, kinds array<tinyint>, lines array<string>, at array<int>"
+RUNS = (
+    "run string, host string, path string, d1 long, d2 long, kinds array<tinyint>, before string, with_before array<int>, after string, with_after array<int>"
+)
+GONE = "host string, path string, d1 long, d2 long, deleted array<int>"
+_TYPES = {"string": pa.string(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<tinyint>": pa.list_(pa.int8()), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for chunk in _chunks(_rows(batches), 500):
+        out = []
+        for page_id, url, host, path, page in chunk:
+            lines, kinds = lines_of(page or "")
+            at = [i for i, k in enumerate(kinds) if k == (ARTICLE if ARTICLE in kinds else PLAIN)]
+            out.append((page_id, url, host, path, *_digest(lines, kinds), [_hash(x) for x in lines], kinds, [lines[i] for i in at], at))
+        yield _batch(out, PARSED)
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task = TaskContext.get().partitionId()
+    parts = itertools.groupby(_rows(batches), key=lambda row: row[0])
+    for chunk in _chunks((x for part, rows in parts for x in _differences(rows, f"{task}-{part}")), 1000):
+        yield _batch(chunk, RUNS)
+
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for chunk in _chunks(_rows(batches), 1000):
+        out = []
+        for host, path, d1, d2, kinds, before, with_before, after, with_after in chunk:
+            near = [(p, set(shared or ())) for p, shared in ((before, with_before), (after, with_after)) if p is not None]
+            out.append((host, path, d1, d2, deleted_lines(path, kinds, near)))
+        yield _batch([x for x in out if x[4]], GONE)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def _chunks(rows: Iterator[tuple], size: int = 1000) -> Iterator[list[tuple]]:
+def _chunks(rows: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
     while chunk := list(itertools.islice(rows, size)):
         yield chunk
 

@@ -26,10 +26,7 @@ def brute(pages):
         if near:
             steps = [html_extract._common(path, k[0]) for k in near]
             best = near[1] if len(near) == 2 and steps[1] > steps[0] else near[0]
-            gone |= {i for i in lcs(lines, of[best]) if kinds[i] == html_extract.PLAIN}
-            if len(near) == 2:
-                both = lcs(lines, of[before]) & lcs(lines, of[after])
-                gone |= {i for i in both if kinds[i] == html_extract.ARTICLE and html_extract._weak(lines[i])}
+            gone |= {i for i in lcs(lines, of[best]) if kinds[i] != html_extract.ARTICLE}
         out[pid] = "\n\n".join(html_extract.main_lines(lines, kinds, gone))
     return out
 
@@ -77,3 +74,31 @@ def test_long_pages_are_halved(monkeypatch):
         assert len(got) == t[-1][-1]
         it = iter(b)
         assert all(x in it for x in [a[i] for i in sorted(got)])
+
+
+def text_of(page):
+    return html_extract.main_lines(*html_extract.lines_of(page))
+
+
+def test_article_headings_stay(spark):
+    page = lambda k: f"<article><h2>Introduction</h2><p>Text {k}.</p><h2>References</h2></article>"
+    rows = [(k, f"http://h.com/{k}", page(k)) for k in range(3)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {k: f"Introduction\n\nText {k}.\n\nReferences" for k in range(3)}
+
+
+def test_comments_and_what_follows_them():
+    assert text_of('<article><p>One</p></article><section class="comments"><article>c1</article><article>c2</article></section>') == ["One"]
+    assert text_of('<article><p>One</p><article class="comment">..</article><p>Two</p></article>') == ["One", "Two"]
+    assert text_of('<article>One<div class="comment-list"><article>a</article><div><article>b</article></div></div><p>Two</article><p>three') == ["One", "Two"]
+    assert text_of('<aside><article>teaser</article></aside><main><p>One</main><footer>f') == ["One"]
+    assert text_of('<div class="ad">Buy<article><p>One</p></article>') == ["One"]
+    assert text_of('<nav><ul><li>a<li>b</ul><article><p>One</article>') == ["One"]
+
+
+def test_names_of_chrome_inside_and_outside_of_articles():
+    inside = '<article><section id="related-work"><p>A</p></section><p class="notice">B</p><div class="social-science">C</div><div class="header">D</div></article>'
+    assert text_of(inside) == ["A", "B", "C", "D"]
+    assert text_of('<article><p>A</p><div class="share-buttons">x</div><div class="related-posts">y</div><ul class="ad-slot-2"><li>z</ul>B</article>') == ["A", "B"]
+    assert text_of('<div class="header">x</div><div id="cookie-banner">y</div><p>A</p><div class="masthead">z</div>') == ["A"]
+    assert text_of("<article><p>Hello <span hidden>x</span>there<p>you</article>") == ["Hello there", "you"]
