@@ -6,14 +6,15 @@ overlap; the count of a pair of ids is the number of rows that hold it linked. M
 1. Rows are encoded in batches. A batch writes one line a row (sums, digest of its groups) and, for every A id, its
    postings: the B ids linked to it, how many rows have each, and which rows how often.
 2. Counts are added up by pair and gathered by A id, of which each has at most the vocabulary of B.
-3. Postings meet the counts of their A id in a sorted join, whose large ids Spark splits, since each line is worked on by
-   itself; a task adds up what its lines contribute to each row and passes it on.
+3. Postings are dealt by group of A ids and by ``TOGETHER`` batches, so that no id fills a task, sorted (Spark spills
+   them) and cogrouped with the counts of their ids: maximum and counts are looked up there, and what a cogroup adds to
+   each row is passed on.
 4. Contributions are summed by row, a batch at a time.
 
 Texts are cut before a space or line feed that follows no white space, where neither tokenizer has a token across (A
-never joins the two; B's vocabulary is tested for it when it is loaded). What a unit encodes to is kept, so that a word
-is encoded once a worker as long as the store is not full. A text of any length is encoded whole; over ``LONG`` it is
-taken in parts of whole units. Tests compare with both tokenizers on whole texts.
+never joins the two; B's vocabulary is tested for it when it is loaded), and a unit that occurs often in a block of
+texts is encoded once. A text of any length is encoded whole; over ``LONG`` it is taken in parts of whole units. Tests
+compare with both tokenizers on whole texts.
 
 Null and empty texts, and those that a tokenizer does not render byte for byte, have no tokens: zeros and an empty
 digest. Repeated rows count as often as they occur, and ids may be null or repeated. Other columns are not read. An
@@ -23,6 +24,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -42,10 +44,12 @@ TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Rows of a batch at most; a row is named by 15 bits in its batch.
 BITS = 15
-#: Links after which a batch ends, characters of texts encoded together, characters of a text taken in parts, units kept.
-LINKS, BLOCK, LONG, KEPT = 6_000_000, 3_000_000, 1_000_000, 250_000
-#: Batches whose contributions a task adds up at a time.
-HELD = 64
+#: Links after which a batch ends, characters of texts encoded together, characters of a text taken in parts.
+LINKS, BLOCK, LONG = 6_000_000, 6_000_000, 1_000_000
+#: Groups of A ids, and batches whose postings of such a group are worked on together.
+GROUPS, TOGETHER = 32, 16
+#: Postings looked up at a time.
+SLICE = 500_000
 
 ENCODED = (
     "kind string, batch string, doc int, id string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -77,51 +81,62 @@ class Units:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{B_FILE}")
         alphabet = _byte_alphabet()
-        self.a_bytes = {i: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        vocabulary = self.a.get_vocab()
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.a_bytes[i] = bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], "i8") for side in (self.a_bytes, self.b_bytes))
+        self.numbers = pa.array([str(i) for i in range(max(len(self.a_bytes), len(pieces)))])
         self.space = pieces.index("▁")
         spaced = [p.replace("▁", " ") for i, p in enumerate(pieces) if not self.b.is_byte(i)]
         self.whole = any(_CUT.search(p) or (p.strip(" ") and "\n" in p) for p in spaced)
         self.width = len(pieces)
-        self.known: dict[str, tuple] = {}
-
-    def look_up(self, keys: list[str]) -> list[tuple]:
-        """(tokens of A, tokens of B, groups, links, groups as text or None if not rendered, codes of the links) for each key."""
-        if len(self.known) > KEPT:
-            self.known.clear()
-        new = [k for k in keys if k not in self.known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            units = [k if k[:1] == "\n" else k[1:] if k[:1] == "\x00" else " " + k for k in part]
-            encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
-            of_a = [e.ids for e in encode(units, add_special_tokens=False)]
-            of_b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-            for key, unit, a, b in zip(part, units, of_a, of_b, strict=True):
-                if unit[0] != " ":
-                    b = b[1:] if b[:1] == [self.space] else []
-                elif unit == " ":
-                    b = [self.space]
-                self.known[key] = self._align(unit.encode(errors="surrogatepass"), a, b)
-        return [self.known[k] for k in keys]
-
-    def _align(self, raw: bytes, a: list[int], b: list[int]) -> tuple:
-        left, right = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(left) != raw or b"".join(right) != raw:
-            return 0, 0, 0, 0, None, b""
-        groups, codes = [], []
-        i = j = i0 = j0 = end_a = end_b = 0
-        while i < len(a):
-            end_a = end_a or len(left[i])
-            end_b = end_b or len(right[j])
-            codes.append(a[i] * self.width + b[j])
-            step = min(end_a, end_b)
-            end_a, end_b = end_a - step, end_b - step
-            i, j = i + (end_a == 0), j + (end_b == 0)
-            if end_a == end_b == 0:
-                groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-                i0, j0 = i, j
-        return len(a), len(b), len(groups), len(codes), ";".join(groups), np.array(codes, "<i8").tobytes()
+
+    def encode(self, keys: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        """For each key: tokens of A, tokens of B, groups, links; its groups as text (null if not rendered); where its links begin; and codes of all links."""
+        units = [k if k[:1] == "\n" else k[1:] if k[:1] == "\x00" else " " + k for k in keys]
+        encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
+        of_a, of_b = [], []
+        for at in range(0, len(units), 20_000):
+            part = units[at : at + 20_000]
+            of_a += [e.ids for e in encode(part, add_special_tokens=False)]
+            for u, b in zip(part, self.b.encode([u[1:] if u[0] == " " else u for u in part], num_threads=1), strict=True):
+                of_b.append([self.space] if u == " " else b if u[0] == " " else b[1:] if b[:1] == [self.space] else [])
+        raws = [u.encode(errors="surrogatepass") for u in units]
+        a, b, n_a, n_b = self._flat(of_a, of_b)
+        good = np.ones(len(units), bool)
+        if b"".join(self.a_bytes[i] for i in a.tolist()) != (raw := b"".join(raws)) or b"".join(self.b_bytes[i] for i in b.tolist()) != raw or not self._sized(a, b, n_a, n_b, raws):
+            good = np.array([b"".join(self.a_bytes[i] for i in x) == r == b"".join(self.b_bytes[i] for i in y) for x, y, r in zip(of_a, of_b, raws, strict=True)])
+            a, b, n_a, n_b = self._flat(*([x if g else [] for x, g in zip(side, good, strict=True)] for side in (of_a, of_b)))
+        # bytes end where a token of either ends: a link for each such stretch, a group where both end
+        end_a, end_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        both = np.sort(np.r_[end_a, end_b], kind="stable")
+        twice = both[1:] == both[:-1] if len(both) else np.zeros(0, bool)
+        ends, edge = both[np.r_[True, ~twice]] if len(both) else both, both[1:][twice]
+        i, j = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        codes = a[i] * self.width + b[j]
+        last = np.r_[0, np.cumsum(n_a)]
+        unit_ends = np.r_[0, end_a][last]
+        links = np.searchsorted(ends, unit_ends, "right")
+        groups = np.searchsorted(edge, unit_ends, "right")
+        sides = []
+        for ids, side_ends in ((a, end_a), (b, end_b)):
+            bounds = pa.array(np.r_[0, np.searchsorted(side_ends, edge, "right")].astype("i4"))
+            sides.append(pc.binary_join(pa.ListArray.from_arrays(bounds, self.numbers.take(pa.array(ids))), ","))
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(groups.astype("i4")), pc.binary_join_element_wise(*sides, "|")), ";")
+        lines = pc.if_else(pa.array(good), lines, pa.scalar(None, pa.string()))
+        return np.stack([n_a, n_b, np.diff(groups), np.diff(links)], axis=1), lines, links, codes
+
+    def _flat(self, of_a: list, of_b: list) -> tuple[np.ndarray, ...]:
+        flat = [np.fromiter(itertools.chain.from_iterable(x), "i8") for x in (of_a, of_b)]
+        return (*flat, *(np.fromiter(map(len, x), "i8", len(x)) for x in (of_a, of_b)))
+
+    def _sized(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, raws: list[bytes]) -> bool:
+        """Whether the tokens of each unit have the unit's size on both sides."""
+        sizes = np.cumsum([len(r) for r in raws])
+        return all((np.r_[0, np.cumsum(s)][np.cumsum(n)] == sizes).all() for s, n in ((self.a_sizes[a], n_a), (self.b_sizes[b], n_b)))
 
     def parts(self, text: str) -> Iterator[list[str]]:
         """Keys of the units of a space and ``text``, some at a time."""
@@ -253,11 +268,9 @@ def _encode_block(units: Units, batch: _Batch, ids: list, texts: pa.Array, sizes
         bounds, flat = cut.offsets.to_numpy(), cut.flatten()
         bounds = bounds - bounds[0]
         coded = flat.dictionary_encode()
-        known = units.look_up(coded.dictionary.to_pylist())
         unit = coded.indices.to_numpy()
-        lines = pa.array([k[4] for k in known], pa.string())
+        sums, lines, starts, codes = units.encode(coded.dictionary.to_pylist())
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype("i4")), lines.take(coded.indices)), ";").to_pylist()
-        sums = np.array([k[:4] for k in known], "i8").reshape(-1, 4)
         sums = np.add.reduceat(sums[unit], bounds[:-1], axis=0).tolist()
         for d, s, text in zip(at.tolist(), sums, joined, strict=True):
             if text is not None:
@@ -265,22 +278,19 @@ def _encode_block(units: Units, batch: _Batch, ids: list, texts: pa.Array, sizes
         good = np.repeat([t is not None for t in joined], np.diff(bounds))
         owner = np.repeat(at + base, np.diff(bounds))[good]
         unit = unit[good]
-        codes = np.frombuffer(b"".join(k[5] for k in known), "<i8")
-        lengths = np.array([len(k[5]) // 8 for k in known], "i8")
-        starts = np.cumsum(lengths) - lengths
-        own = lengths[unit]
-        places = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(starts[unit], own)
+        own = np.diff(starts)[unit]
+        places = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own - starts[unit], own)
         batch.add(codes[places], np.repeat(owner, own))
     for d in np.flatnonzero(~plain & (sizes > 0)).tolist():
         total, digest, own, good = np.zeros(4, "i8"), hashlib.sha256(), _Batch(), True
         for n, keys in enumerate(units.parts(texts[d].as_py())):
-            known = units.look_up(keys)
-            good = good and all(k[4] is not None for k in known)
+            sums, lines, _, codes = units.encode(keys)
+            good = good and not lines.null_count
             if not good:
                 break
-            total += np.array([k[:4] for k in known], "i8").sum(axis=0)
-            digest.update(((";" if n else "") + ";".join(k[4] for k in known)).encode())
-            own.add(np.frombuffer(b"".join(k[5] for k in known), "<i8"), base + d)
+            total += sums.sum(axis=0)
+            digest.update(((";" if n else "") + ";".join(lines.to_pylist())).encode())
+            own.add(codes, base + d)
         if good:
             found[d] = (*total.tolist(), digest.hexdigest())
             own.pack()
@@ -294,45 +304,42 @@ def _expanded(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype("i8")
 
 
-def _contribute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings with the counts of their A id: what they add to each row of a batch."""
-    held: dict[str, np.ndarray] = {}
-
-    def flush() -> pa.RecordBatch:
-        rows = []
-        for name, sums in held.items():
-            docs = np.flatnonzero(sums[1])
-            rows.append((name, docs.astype("<u2").tobytes(), sums[0, docs].astype("<i8").tobytes(), sums[1, docs].astype("<i8").tobytes()))
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["batch", "docs", "best", "sums"])
-
-    for rows in batches:
-        weight = np.cumsum(pc.binary_length(rows.column(3)).to_numpy(zero_copy_only=False) // 2 + pc.list_value_length(rows.column(5)).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < rows.num_rows:
-            end = max(at + 1, int(np.searchsorted(weight, weight[at] + 1_000_000, "right")))
-            part = rows.slice(at, end - at)
-            at = end
-            (bs, n_b), (ns, _), (all_b, n_all), (all_n, _) = (_expanded(part.column(k)) for k in (1, 2, 5, 6))
-            line = np.repeat(np.arange(part.num_rows), n_b) << 32
-            lines = np.repeat(np.arange(part.num_rows), n_all) << 32
-            count = all_n[np.searchsorted(lines | all_b, line | bs)]
-            top = np.maximum.reduceat(all_n, np.cumsum(n_all) - n_all)
-            best = count == np.repeat(top, n_b)
-            docs = np.frombuffer(b"".join(part.column(3).to_pylist()), "<u2")
-            times = np.frombuffer(b"".join(part.column(4).to_pylist()), "<u4").astype("i8")
-            of_line = np.add.reduceat(ns.astype("i8"), np.cumsum(n_b) - n_b)
-            ends = np.cumsum(of_line)
-            added = np.stack([times * np.repeat(best, ns), times * np.repeat(count, ns)])
-            for k, name in enumerate(part.column(0).to_pylist()):
-                if name not in held and len(held) == HELD:
-                    yield flush()
-                sums = held.setdefault(name, np.zeros((2, 1 << BITS), "i8"))
-                own = slice(ends[k] - of_line[k], ends[k])
-                np.add.at(sums[0], docs[own], added[0, own])
-                np.add.at(sums[1], docs[own], added[1, own])
-    if held:
-        yield flush()
+def _contribute(postings: pa.Table, counts: pa.Table) -> pa.Table:
+    """What the postings of a group of A ids add to each row of some batches."""
+    if not postings.num_rows:
+        return ADDS.empty_table()
+    counts = counts.combine_chunks()
+    counts = counts.take(pa.array(np.argsort(counts.column("id").to_numpy()))).combine_chunks()
+    all_b, n_all = _expanded(counts.column("all_bs").chunk(0))
+    all_n, _ = _expanded(counts.column("all_ns").chunk(0))
+    keys = np.repeat(counts.column("id").to_numpy().astype("i8") << 32, n_all) | all_b
+    top = np.repeat(np.maximum.reduceat(all_n, np.cumsum(n_all) - n_all), n_all)
+    postings = postings.combine_chunks()
+    coded = postings.column("batch").chunk(0).dictionary_encode()
+    sums = np.zeros((2, len(coded.dictionary) << BITS), "i8")
+    weight = np.cumsum(pc.binary_length(postings.column("docs")).to_numpy() // 2)
+    at = 0
+    while at < postings.num_rows:
+        end = max(at + 1, int(np.searchsorted(weight, weight[at] + SLICE, "right")))
+        part = postings.slice(at, end - at).combine_chunks()
+        (bs, n_b), (ns, _) = (_expanded(part.column(c).chunk(0)) for c in ("bs", "ns"))
+        place = np.searchsorted(keys, np.repeat(part.column("a").to_numpy().astype("i8") << 32, n_b) | bs)
+        docs, times = (np.frombuffer(b"".join(part.column(c).to_pylist()), t).astype("i8") for c, t in (("docs", "<u2"), ("ms", "<u4")))
+        of_line = np.add.reduceat(ns.astype("i8"), np.cumsum(n_b) - n_b)
+        docs |= np.repeat(coded.indices.to_numpy()[at:end].astype("i8") << BITS, of_line)
+        count = all_n[place]
+        np.add.at(sums[0], docs, times * np.repeat(count == top[place], ns))
+        np.add.at(sums[1], docs, times * np.repeat(count, ns))
+        at = end
+    rows = []
+    for k, name in enumerate(coded.dictionary.to_pylist()):
+        own = sums[:, k << BITS : (k + 1) << BITS]
+        docs = np.flatnonzero(own[1])
+        rows.append({"batch": name, "docs": docs.astype("<u2").tobytes(), "best": own[0, docs].astype("<i8").tobytes(), "sums": own[1, docs].astype("<i8").tobytes()})
+    return pa.Table.from_pylist(rows, ADDS)
+
+
+ADDS = pa.schema([("batch", pa.string()), ("docs", pa.binary()), ("best", pa.binary()), ("sums", pa.binary())])
 
 
 def _total(rows: pd.DataFrame, adds: pd.DataFrame) -> pd.DataFrame:
@@ -349,10 +356,12 @@ def align(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     stages = Stages(docs.sparkSession, "alignment")
     read = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
     encoded = stages.keep(read.mapInArrow(_encoder(folder), ENCODED), "encoded", "kind")
-    postings = encoded.where("kind = 'posting'").select("batch", "a", "bs", "ns", "docs", "ms")
+    batches = encoded.where("kind = 'row'").agg(F.countDistinct("batch")).first()[0]
+    parts = max(1, -(-batches // TOGETHER))
+    postings = encoded.where("kind = 'posting'").select("batch", "a", "bs", "ns", "docs", "ms", (F.col("a") % GROUPS).alias("g"), F.pmod(F.xxhash64("batch"), F.lit(parts)).alias("part"))
     counts = pair_counts(encoded).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("b", "n"))).alias("p"))
-    met = postings.join(counts.select("a", F.col("p.b").alias("all_bs"), F.col("p.n").alias("all_ns")), "a")
-    adds = met.select("batch", "bs", "ns", "docs", "ms", "all_bs", "all_ns").mapInArrow(_contribute, "batch string, docs binary, best binary, sums binary")
+    counts = counts.select(F.col("a").alias("id"), F.col("p.b").alias("all_bs"), F.col("p.n").alias("all_ns"), (F.col("a") % GROUPS).alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    adds = postings.groupBy("g", "part").cogroup(counts.groupBy("g", "part")).applyInArrow(_contribute, "batch string, docs binary, best binary, sums binary")
     rows = encoded.where("kind = 'row'").select("batch", "doc", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     out = rows.groupBy("batch").cogroup(adds.groupBy("batch")).applyInPandas(_total, "id string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long")
     return out.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", "doc_id")

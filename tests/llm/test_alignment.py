@@ -73,22 +73,22 @@ def rows_of(n, seed):
 @pytest.mark.parametrize(("links", "block", "long"), [(6_000_000, 3_000_000, 1_000_000), (500, 200, 60)])
 def test_alignment_against_whole_texts(spark, whole, links, block, long):
     rows = rows_of(120, links)
-    old = alignment.LINKS, alignment.BLOCK, alignment.LONG, alignment.KEPT, alignment.HELD
+    old = alignment.LINKS, alignment.BLOCK, alignment.LONG
     encode = alignment._encoder(alignment.TOKENIZERS)
 
     def small(batches):
-        alignment.LINKS, alignment.BLOCK, alignment.LONG, alignment.KEPT, alignment.HELD = links, block, long, 50, 2
+        alignment.LINKS, alignment.BLOCK, alignment.LONG = links, block, long
         try:
             yield from encode(batches)
         finally:
-            alignment.LINKS, alignment.BLOCK, alignment.LONG, alignment.KEPT, alignment.HELD = old
+            alignment.LINKS, alignment.BLOCK, alignment.LONG = old
 
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, a int, batch string").repartition(3)
-    kept, alignment._encoder = alignment._encoder, lambda folder: small
+    kept, alignment._encoder, alignment.TOGETHER = (alignment._encoder, alignment.TOGETHER), lambda folder: small, 3
     try:
         got = alignment.align(docs).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum").collect()
     finally:
-        alignment._encoder = kept
+        alignment._encoder, alignment.TOGETHER = kept
     assert sorted((r[0] is not None, r[0] or 0, *r[1:]) for r in got) == brute(rows, whole)
 
 
