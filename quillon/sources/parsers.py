@@ -178,8 +178,8 @@ def read_tagged2(text: str) -> list[dict]:
             if now:
                 out.append(_tagged2_record(now))
             now, tag = {}, ""
-        elif head == "EF":
-            break
+        elif head == "EF":  # exports that were put together go on
+            tag = ""
         elif re.match(r"[A-Z][A-Z0-9](?: |$)", line):
             tag = head
             if tag not in ("FN", "VR"):
@@ -250,7 +250,7 @@ def read_tagged4(text: str) -> list[dict]:
                 authors[-1]["initials"] = person(v)["initials"]
             elif k == "AUID" and authors and "ORCID" in v.upper():
                 authors[-1]["orcid"] = v.split(":")[-1].strip()
-            elif k == "AD" and authors:
+            elif k == "AD" and authors and v:
                 authors[-1]["affiliations"] = [*authors[-1]["affiliations"], v]
                 authors[-1]["country"] = authors[-1]["country"] or country_of(v)
         doi = next((doi_of(v) for k, v in fields if k in ("LID", "AID") and "[doi]" in v), "")
