@@ -18,14 +18,17 @@ from quillon.operators import dedup, entities, filters
 from quillon.operators.components import connected_components
 from quillon.store import Stages
 
-# fixed values: abbreviations in institution names
-ABBREVIATIONS = {
-    "acad": "Academy", "agr": "Agricultural", "appl": "Applied", "assoc": "Association", "biol": "Biology", "chem": "Chemistry", "coll": "College", "ctr": "Center",
-    "dept": "Department", "ecol": "Ecology", "engn": "Engineering", "environm": "Environmental", "hosp": "Hospital", "inst": "Institute", "int": "International", "lab": "Laboratory",
-    "med": "Medicine", "minist": "Ministry", "natl": "National", "polytech": "Polytechnic", "res": "Research", "sci": "Science", "soc": "Society", "syst": "Systems", "technol": "Technology", "univ": "University",
-}
-# fixed values: small words of titles
-SMALL = "and da das de del do dos e en et for in la las los of the y".split()
+# fixed values: words of institution names that are shortened by cutting off their end, as title words are by ISO 4 (stem|ending)
+_CUT = (
+    "Acad|emy Agric|ultural Astron|omical Biol|ogy Bot|anical Chem|ical Clin|ical Coll|ege Comput|ing Econ|omics Educ|ation Electron|ics Environ|mental"
+    " Geol|ogical Hosp|ital Inst|itute Int|ernational Lab|oratory Libr|ary Manag|ement Math|ematics Med|ical Minist|ry Nucl|ear Observ|atory Oceanogr|aphic"
+    " Pharm|acy Phys|ics Polytech|nic Psychol|ogy Res|earch Sch|ool Sci|ence Soc|iety Technol|ogy Univ|ersity Vet|erinary"
+).split()
+# fixed values: words shortened in their middle
+_INNER = {"assn": "Association", "ctr": "Center", "dept": "Department", "engn": "Engineering", "govt": "Government", "intl": "International", "natl": "National"}
+ABBREVIATIONS = {x.split("|")[0].lower(): x.replace("|", "") for x in _CUT} | _INNER
+# fixed values: articles, prepositions and conjunctions, which stay small in titles
+SMALL = "a al an and at by con da das de dei del della der des di die do dos du e en et for für in la las le les los o of on para por pour the to und y zu".split()
 # fixed values: fields that count for the completeness of a record
 SCORED = ["title", "abstract", "doi", "source", "volume", "pages", "funding", "publisher"]
 SCORED_LISTS = ["languages", "authors", "authorKeywords", "indexKeywords", "references", "areas"]

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions.highlight import highlight, highlight_pieces, highlight_terms
+from quillon.functions.highlight import highlight, highlight_terms
 from quillon.operators import cleaning, dedup, filters, indicators, networks
 from quillon.sources.reader import read_bib
 from quillon.sources.synonyms import synonyms_from_csv, synonyms_to_csv
@@ -73,7 +73,7 @@ def test_indicators_of_read_records(cleaned):
 
 
 def test_institution_names(spark):
-    rows = [("UNIV DE LA PLATA",), ("Natl Inst Agr.",), ("[Doe, J.] Univ Calif",), (None,)]
+    rows = [("UNIV DE LA PLATA",), ("Natl Inst Agric.",), ("[Doe, J.] Univ Calif",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "x string").select(cleaning.normalize_institution(F.col("x"))).collect()]
     assert got == ["University de la Plata", "National Institute Agricultural", "University Calif", ""]
 
@@ -114,9 +114,12 @@ def test_synonyms_and_marks(spark):
     rows = [("plant, green", "plant"), ('say "no"', "no")]
     assert synonyms_from_csv(synonyms_to_csv(rows)) == rows and synonyms_from_csv("Término;x\na;b\n;c\n") == [("a", "b")]
     assert highlight_terms("salt stress, sea; salt stress\nx") == ["salt stress", "sea"]
-    assert highlight_pieces("Él vio SALT, salty.", ["salt", "el"]) == [("Él", True), (" vio ", False), ("SALT", True), (", salty.", False)]
-    got = spark.createDataFrame([("the sea",), (None,)], "t string").select(highlight(F.col("t"), ["sea"]).alias("x")).collect()
-    assert [(p["text"], p["mark"]) for p in got[0]["x"]] == [("the ", False), ("sea", True)] and got[1]["x"] == []
+    texts = ["Él vio SALT, salty.", "the sea", None, "", "İ salt-stress test é", "salt stress test"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(highlight(F.col("t"), ["salt", "el", "stress test", "salt stress", "sea"]).alias("x")).collect()
+    assert [[(p["text"], p["mark"]) for p in r["x"]] for r in got] == [
+        [("Él", True), (" vio ", False), ("SALT", True), (", salty.", False)], [("the ", False), ("sea", True)], [], [],
+        [("İ ", False), ("salt", True), ("-", False), ("stress test", True), (" é", False)], [("salt stress test", True)],
+    ]
 
 
 def test_summary_table_of_a_biomedical_export():
