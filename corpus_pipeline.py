@@ -39,15 +39,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of the smallest id of each component; of repeated rows of an id, the first in order of all columns stays.
+    """Rows of the smallest id of each component; of repeated rows of an id, the one with the smallest hash of all columns stays.
 
-    Rows without an id stay, and so do null and empty texts, which are linked with nothing. Columns may have any name.
+    Rows without an id stay, and so do null and empty texts, which are linked with nothing. Columns may have any name
+    and any type.
     """
     found = ngram_join.ngram_jaccard_components(docs, threshold=80, shingle=5)
     key, n = fresh(docs.columns, "_id", "_n")
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     named = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col(key)).drop(key)
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
+    plain = [F.to_json(F.struct(F.col(f"`{c}`").alias("c"))) if "map<" in kind or kind == "variant" else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*plain))
     one = named.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).drop(n)
     return one.unionByName(docs.where("doc_id is null"))
 

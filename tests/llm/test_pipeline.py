@@ -38,3 +38,10 @@ def test_stages_on_empty_tables(spark, tmp_path):
     for name, s in schema.items():
         spark.createDataFrame([], s).write.parquet(f"{tmp_path}/{name}.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_with_columns_of_any_type(spark):
+    rows = [(1, text(1), {"a": 1}), (1, text(1), {"a": 2}), (2, text(1), None), (3, text(5), {}), (None, None, {"b": 1})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>")
+    got = cp.drop_near_duplicates(spark, docs, "")
+    assert got.dtypes == docs.dtypes and sorted(str(r["doc_id"]) for r in got.collect()) == ["1", "3", "None"]
