@@ -325,7 +325,7 @@ def repeated_stretches(docs: DataFrame, stages: Stages, length: int = LENGTH, gr
     once = cut.groupBy("sha").agg(F.first("n_bytes").alias("n_bytes"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("lo", "hi", "name")])
     texts = stages.keep(once.withColumn("t", F.monotonically_increasing_id()), "texts")
     each = texts.select("t", F.posexplode(F.arrays_zip("lo", "hi", "name")).alias("at", "a")).select("t", F.col("at").cast("long").alias("at"), "a.*")
-    many = each.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+    many = stages.keep(each.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "many")  # written, so that Spark can split the join
     kept = stages.keep(each.join(many, "name"), "anchors")
     # sequences are broken where an anchor is left out
     along = Window.partitionBy("t").orderBy("at")
