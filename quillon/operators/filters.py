@@ -65,9 +65,21 @@ def _named(name: str):
     return lambda v: F.struct(F.lit(name).alias("facet"), v.alias("value"))
 
 
+#: Letters compare without case and accents, in the order of the root locale.
+COLLATION = "UNICODE_CI_AI"
+
+
+def natural(c: Column) -> Column:
+    """A sort key of text: letters by collation, runs of digits by their value, so that 10 comes after 9."""
+    parts = F.regexp_extract_all(c, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    bare = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    numbered = lambda x: F.concat(F.lpad(F.length(bare(x)).cast("string"), 4, "0"), bare(x))  # noqa: E731  longer numbers are larger
+    return F.collate(F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), numbered(x)).otherwise(x)), ""), COLLATION)
+
+
 @dataclass
 class TableView:
-    """Search, sort and page of a table: blanks last in both directions, ties by ``position``."""
+    """Search, sort and page of a table: text in natural order, blanks last in both directions, ties by ``position``."""
 
     search: str = ""
     sort: str | None = None
@@ -86,7 +98,7 @@ class TableView:
         if self.sort:
             text = dict(df.dtypes)[self.sort] == "string"
             c = F.nullif(F.col(self.sort), F.lit("")) if text else F.col(self.sort)
-            c = fold(c) if text else c
+            c = natural(c) if text else c
             keys.append(c.desc_nulls_last() if self.descending else c.asc_nulls_last())
         return out.orderBy(*keys, self.position).offset(self.page * self.size).limit(self.size)
 

@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.ordering import numbered, running_sums
+from quillon.store import Stages
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b as a double; null where b is 0 or null."""
@@ -68,15 +71,15 @@ def sources_table(docs: DataFrame, reference_year: int, unit: str = "source") ->
         F.min("year").alias("first_year"), F.max("year").alias("last_year"),
     )
     full = base.join(h_index(docs, unit), unit, "left").join(g_index(docs, unit), unit, "left")
-    # one row per unit: sorted once as a whole for rank and running share
-    order = Window.orderBy(F.desc("n"), F.desc("citations"), F.col(unit))
-    total = base.agg(F.sum("n").alias("all_docs"))
-    return full.crossJoin(F.broadcast(total)).select(
+    # one row per unit: ranks and running sums by ranges of the order
+    ranked = running_sums(full, [F.desc("n"), F.desc("citations"), F.col(unit)], {"n": "upto"}, Stages(docs.sparkSession, "sources"), "ranks", to="rank")
+    total = ranked.agg(F.max("upto").alias("all_docs"))
+    return ranked.crossJoin(F.broadcast(total)).select(
         unit, "n", (100.0 * ratio(F.col("n"), F.col("all_docs"))).alias("share"),
-        (100.0 * ratio(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("all_docs"))).alias("cumulative"),
+        (100.0 * ratio(F.col("upto"), F.col("all_docs"))).alias("cumulative"),
         "citations", "cited_docs", ratio(F.col("citations"), F.col("cited_docs")).alias("mean_cited"), "h", "g",
         m_index(F.col("h"), F.col("first_year"), reference_year).alias("m"), "first_year", "last_year",
-        F.row_number().over(order).cast("long").alias("rank"),
+        "rank",
     )
 
 
@@ -86,9 +89,10 @@ def bradford_zones(table: DataFrame, unit: str = "source") -> DataFrame:
     A zone ends at the first rank whose running total is nearest to the target; the second
     cut is sought after the first.
     """
-    order = Window.orderBy(F.desc("n"), F.col(unit))
-    ranked = table.select(unit, "n", F.row_number().over(order).cast("long").alias("rank"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative"))
-    total = table.agg(F.sum("n").alias("t"))
+    stages = Stages(table.sparkSession, "bradford")
+    ranked = running_sums(table.select(unit, "n"), [F.desc("n"), F.col(unit)], {"n": "cumulative"}, stages, "ranks", to="rank")
+    ranked = stages.keep(ranked.select(unit, "n", "rank", "cumulative"), "ranked")  # read three times
+    total = ranked.agg(F.max("cumulative").alias("t"))
     near = lambda k: F.struct(F.abs(F.col("cumulative") - F.col("t") * k / 3.0).alias("d"), F.col("rank").alias("r"))
     one = ranked.crossJoin(F.broadcast(total)).agg(F.min(near(1)).getField("r").alias("cut1"))
     both = ranked.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(one))
@@ -157,6 +161,11 @@ def dynamics(rows: DataFrame, unit: str) -> DataFrame:
     return full.select(unit, "year", "n", F.sum("n").over(w).alias("cumulative"))
 
 
+def ranked_authors(table: DataFrame) -> DataFrame:
+    """``authors_table`` with ``rank``: documents desc, citations desc, author."""
+    return numbered(table, [F.desc("n"), F.desc("citations"), F.col("author")], Stages(table.sparkSession, "authors"), "ranks", to="rank").withColumn("rank", F.col("rank") + 1)
+
+
 def authors_table(docs: DataFrame, authors: DataFrame, reference_year: int) -> DataFrame:
     """Per author: documents, fractional count (1/k over the distinct authors of a document), citations, h, g, m."""
     signed = authors.select("doc", "author").where("author is not null").distinct()

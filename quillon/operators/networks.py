@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from quillon.operators.indicators import ratio
 from quillon.store import Stages
 
-#: Longest item list of a document that is joined to itself in one piece.
+#: Values of one key that are paired in one piece; more are cut into blocks, which are paired block by block.
+BLOCK = 2000
+#: Association measures of co-occurrence counts.
 MEASURES = ("none", "association", "salton", "jaccard", "inclusion", "equivalence")
 
 
@@ -25,18 +27,30 @@ def incidence(rows: DataFrame, min_freq: int = 1, max_items: int | None = None,
     return once.join(items.select("item"), "item", "left_semi").select("doc", "item"), items
 
 
-def cooccurrence(inc: DataFrame) -> DataFrame:
+def shared_pairs(rows: DataFrame, key: str, value: str, block: int = BLOCK) -> DataFrame:
+    """(src, dst, count): pairs of values, src < dst, and the keys that have both; ``rows`` has each (key, value) once.
+
+    A key of n values is cut into ceil(n / block) blocks by a hash of the value, and each pair of blocks is joined by
+    itself: no task meets more than two blocks of a key, however many values it has.
+    """
+    parts = rows.groupBy(key).agg(F.ceil(F.count("*") / block).cast("long").alias("parts")).where("parts > 0")
+    own = rows.join(parts, key).withColumn("own", F.pmod(F.xxhash64(value), "parts"))
+    sent = own.select(key, F.col(value).alias("v"), "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    sent = sent.select(key, "v", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    left = sent.where("own = low").select(key, "low", "high", F.col("v").alias("a"))
+    right = sent.where("own = high").select(key, "low", "high", F.col("v").alias("b"))
+    pairs = left.join(right, [key, "low", "high"]).where("(low < high and a != b) or a < b")
+    return pairs.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.count("*").alias("count"))
+
+
+def cooccurrence(inc: DataFrame, block: int = BLOCK) -> DataFrame:
     """(src, dst, count): documents that have both items."""
-    a, b = inc.select("doc", F.col("item").alias("src")), inc.select("doc", F.col("item").alias("dst"))
-    return a.join(b, "doc").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("count"))
+    return shared_pairs(inc, "doc", "item", block)
 
 
-def coupling(inc: DataFrame) -> DataFrame:
-    """(src, dst, count): items that two documents share; an item of one document only is dropped first."""
-    used = inc.groupBy("item").agg(F.count("*").alias("k")).where("k > 1").select("item")
-    shared = inc.join(used, "item", "left_semi")
-    a, b = shared.select("item", F.col("doc").alias("src")), shared.select("item", F.col("doc").alias("dst"))
-    return a.join(b, "item").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("count"))
+def coupling(inc: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(src, dst, count): items that two documents share; an item of one document only has no pair."""
+    return shared_pairs(inc, "item", "doc", block)
 
 
 def normalized(count: Column, ci: Column, cj: Column, measure: str) -> Column:

@@ -325,6 +325,29 @@ def table_search_page(c):
     return filters.TableView(search="AUTO 1", sort="name", descending=True, page=1, position="customer", search_columns=["segment", "name"]).apply(rows)
 
 
+_STEMS = ["Étude", "etude", "Zoo", "ábaco", "ABACO"]
+
+
+@query(
+    "table_natural_sort",
+    f"""SELECT p_partkey AS part, {_STEMS}[p_partkey % 5 + 1] || ' ' || (p_partkey % 1000) AS label FROM part
+ORDER BY [2, 2, 3, 1, 1][p_partkey % 5 + 1] DESC, p_partkey % 1000 DESC, p_partkey OFFSET 75 LIMIT 25""",
+)
+def table_natural_sort(c):
+    stem = F.get(F.array(*map(F.lit, _STEMS)), (F.col("p_partkey") % 5).cast("int"))
+    rows = c.table("part").select(F.col("p_partkey").alias("part"), F.concat_ws(" ", stem, (F.col("p_partkey") % 1000).cast("string")).alias("label"))
+    return filters.TableView(sort="label", descending=True, page=3, position="part").apply(rows)
+
+
+@query(
+    "authors_ranked",
+    f"""WITH {DOCS}, {SIGNED}, r AS (SELECT author, count(*) AS n, CAST(sum(cited) AS BIGINT) AS citations FROM signed JOIN docs USING (doc) GROUP BY 1)
+SELECT author, n, citations, row_number() OVER (ORDER BY n DESC, citations DESC, author) AS rank FROM r""",
+)
+def authors_ranked(c):
+    return indicators.ranked_authors(indicators.authors_table(c.docs, c.authors, REF)).select("author", "n", "citations", "rank")
+
+
 DECISIONS = "dec AS (SELECT doc_id AS key, CASE WHEN toxic = 1 THEN 'exclude' WHEN quality = 1 THEN 'include' ELSE 'maybe' END AS decision FROM labels)"
 
 
