@@ -12,15 +12,16 @@ from quillon.operators import citations, indicators, kernels, networks
 
 
 def cited_units(refs: DataFrame, unit: str = "work", clusters: DataFrame | None = None) -> DataFrame:
-    """(doc, item) of cited works (by cluster), first authors (surname and first initial) or sources (folded name)."""
+    """(doc, item) of cited works (by cluster), first authors (surname and first initial) or sources (the group of the name)."""
     if unit == "work":
         return refs.join(clusters, "occ").select("doc", F.col("cluster").alias("item")).distinct()
     if unit == "author":
         initial = F.regexp_extract(F.col("first_author"), r"[\s,]+(\p{Lu})", 1)
         key = F.concat_ws(" ", citations.surname_of(F.col("first_author")), F.lower(initial))
         return refs.where(F.coalesce("first_author", F.lit("")) != "").select("doc", key.alias("item")).distinct()
-    key = F.trim(F.regexp_replace(fold("source"), r"[^\p{L}\p{N}]+", " "))
-    return refs.where(F.coalesce("source", F.lit("")) != "").select("doc", key.alias("item")).distinct()
+    named = refs.where(F.coalesce("source", F.lit("")) != "")
+    groups = citations.cited_source_groups(named.groupBy("source").agg(F.count("*").alias("n")))
+    return named.join(groups, "source").select("doc", F.col("grp").alias("item")).distinct()
 
 
 def coupling_units(docs: DataFrame, cited: DataFrame, unit: Column | None = None, local: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import fold, norm_title, title_probe
 from quillon.operators.components import connected_components
+from quillon.store import Stages
 
 
 def surname_of(author: Column) -> Column:
@@ -114,6 +115,44 @@ def reference_table(refs: DataFrame, clusters: DataFrame) -> DataFrame:
     return n.join(text, "cluster").join(year, "cluster", "left")
 
 
+def _letters_of(words: Column) -> Column:
+    return F.array_join(words, "")
+
+
+def _matching(a: Column, b: Column) -> Column:
+    """Whether two word lists of equal length match word by word."""
+    return F.forall(F.zip_with(a, b, _abbreviates), lambda ok: ok)
+
+
+def cited_source_groups(counts: DataFrame) -> DataFrame:
+    """(source, grp, label) of spellings of cited sources with their weights (source, n): one group for each source.
+
+    Spellings of equal words are one name, and names of equal letters one group. A name joins the fullest name that it
+    abbreviates, word by word; candidates have as many words and the same initials. If it abbreviates names that do not
+    match the fullest one, it could be either and stays apart. A group is called by its fullest name, in the spelling
+    with small and capital letters, else the heaviest. Spellings without a letter or digit, and nulls, have no group.
+    Pairs are formed of distinct names only, within a table of word counts and initials.
+    """
+    stages = Stages(counts.sparkSession, "cited-sources")
+    own = counts.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("n").alias("n")).withColumn("words", _words(F.col("source"))).where(F.size("words") > 0)
+    own = stages.keep(own.withColumn("name", F.array_join("words", " ")), "spellings")
+    names = own.groupBy("name").agg(F.first("words").alias("words")).withColumn("letters", _letters_of(F.col("words")))
+    initials = F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), "")
+    names = stages.keep(names.select("name", "words", "letters", F.length("letters").alias("size"), initials.alias("initials")), "names")
+    short, full = (names.select(*[F.col(c).alias(f"{side}_{c}") for c in names.columns]) for side in ("s", "f"))
+    joined = short.join(full, (F.col("s_initials") == F.col("f_initials")) & (F.size("s_words") == F.size("f_words")) & (F.col("s_size") < F.col("f_size")))
+    pairs = stages.keep(joined.where(_matching(F.col("s_words"), F.col("f_words"))).select("s_name", "f_name", "f_words", "f_size"), "pairs")
+    top = pairs.groupBy("s_name").agg(F.min_by(F.struct("f_name", "f_words"), F.struct(-F.col("f_size"), "f_name")).alias("top"))
+    agreed = pairs.join(top, "s_name").groupBy("s_name").agg(F.first("top.f_name").alias("f_name"), F.bool_and((F.col("f_name") == F.col("top.f_name")) | _matching(F.col("f_words"), F.col("top.f_words"))).alias("ok"))
+    alike = names.groupBy("letters").agg(F.min("name").alias("f_name")).join(names, "letters").select(F.col("name").alias("s_name"), "f_name")
+    links = agreed.where("ok").select("s_name", "f_name").unionByName(alike)
+    of = connected_components(stages.keep(links.select(F.col("f_name").alias("src"), F.col("s_name").alias("dst")), "links")).select(F.col("node").alias("name"), "component")
+    members = own.join(of, "name").join(names.select("name", "size"), "name")
+    mixed = (F.upper("source") != F.col("source")) & (F.lower("source") != F.col("source"))
+    called = members.groupBy("component").agg(F.min_by(F.struct("name", "source"), F.struct(-F.col("size"), "name", ~mixed, -F.col("n"), "source")).alias("c"))
+    return members.join(called, "component").select("source", F.col("c.name").alias("grp"), F.col("c.source").alias("label"))
+
+
 def historiograph(docs: DataFrame, links: DataFrame, size: int = 30, min_local: int = 1) -> tuple[DataFrame, DataFrame]:
     """Nodes (doc, year, local, layer) and forward edges (src = citing, dst = cited) among the most cited documents of the collection.
 

@@ -53,3 +53,15 @@ def test_stream_appends_and_refreshes(spark, tmp_path):
 def test_windowed_counts_in_batch_form(spark):
     df = spark.createDataFrame([("2020-01-01 00:10:00", "a"), ("2020-01-01 00:20:00", "a"), ("2020-01-01 01:20:00", "a")], "t string, k string").withColumn("t", F.to_timestamp("t"))
     assert sorted(r["n"] for r in windowed_counts(df, "t", "k").collect()) == [1, 2]
+
+
+def test_cited_sources_are_grouped_by_abbreviation(spark):
+    from quillon.operators.citations import cited_source_groups
+
+    names = [("J Ecol", 3), ("Journal of Ecology", 2), ("J. Ecol.", 1), ("J ECON", 1), ("PhytoKeys", 1), ("Phyto Keys", 1), ("Phys Rev", 1), ("Physical Review", 1), ("Physics Reviews", 1), ("", 1), ("...", 1), (None, 4)]
+    got = {r["source"]: (r["grp"], r["label"]) for r in cited_source_groups(spark.createDataFrame(names, "source string, n long")).collect()}
+    assert got["J Ecol"] == got["Journal of Ecology"] == got["J. Ecol."] and got["J Ecol"][1] == "Journal of Ecology"
+    assert got["J ECON"] != got["J Ecol"] and got["PhytoKeys"] == got["Phyto Keys"]
+    assert len({got[x][0] for x in ("Phys Rev", "Physical Review", "Physics Reviews")}) == 3  # an abbreviation of two titles stays apart
+    assert set(got) == {n for n, _ in names if n and n != "..."}
+    assert cited_source_groups(spark.createDataFrame([], "source string, n long")).count() == 0
