@@ -43,13 +43,31 @@ def local_citations(docs: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def matched_references(docs: DataFrame, refs: DataFrame) -> DataFrame:
-    """(occ, doc, cited, how): the references that are documents of the collection.
+    """(occ, doc, cited, how): the references that are other documents of the collection (``all_matches``)."""
+    return all_matches(docs, refs).where("how != 'ambiguous' and doc != cited")
+
+
+def local_citation_stats(docs: DataFrame, refs: DataFrame) -> DataFrame:
+    """One row: references, matched, by_doi, by_id, by_bib, ambiguous, self, citing_docs, cited_docs, links (distinct)."""
+    m = all_matches(docs, refs)
+    good = (F.col("how") != "ambiguous") & (F.col("doc") != F.col("cited"))
+    by = {"by_doi": "doi", "by_id": "work_id", "by_bib": "reference"}
+    one = m.agg(
+        F.count_if(good).alias("matched"), *[F.count_if(good & (F.col("how") == how)).alias(n) for n, how in by.items()], F.count_if(F.col("how") == "ambiguous").alias("ambiguous"),
+        F.count_if((F.col("how") != "ambiguous") & (F.col("doc") == F.col("cited"))).alias("self"),
+    )
+    ends = m.where(good).select("doc", "cited").distinct().agg(F.countDistinct("doc").alias("citing_docs"), F.countDistinct("cited").alias("cited_docs"), F.count("*").alias("links"))
+    return refs.agg(F.count("*").alias("references")).crossJoin(one).crossJoin(ends)  # one row each
+
+
+def all_matches(docs: DataFrame, refs: DataFrame) -> DataFrame:
+    """(occ, doc, cited, how): what references are in the collection, their own document too; ``how`` is doi, work_id, reference or ambiguous.
 
     DOI and catalogue id decide first. Otherwise candidates share surname and year, or year, three letters
     and all but one letter of a surname of six or more; a different DOI or volume vetoes. Accepted are a title that
     the reference contains; an exact surname with a matching source and no other page, or the same volume and page;
     a near surname with matching source and volume and no other page. Of several candidates those by title, then by page, then by
-    exact surname are preferred; if more than one is left, the reference is ambiguous and gives no link.
+    exact surname are preferred; if more than one is left, the reference is ambiguous.
     """
     r = refs.withColumns({"s": surname_of(F.col("first_author")), "text": norm_title(F.col("raw"))}).alias("r")
     d = docs.withColumns({"s": F.regexp_replace(fold(F.coalesce("surname", F.lit(""))), r"[^\p{L}]+", ""), "probe": title_probe(F.coalesce("title", F.lit("")))}).alias("d")
@@ -76,10 +94,10 @@ def matched_references(docs: DataFrame, refs: DataFrame) -> DataFrame:
     )
     scored = c.where(~differ("r.doi", "d.doi") & ~differ("r.volume", "d.volume") & ok).select(
         F.col("r.occ").alias("occ"), F.col("r.doc").alias("doc"), F.col("d.doc").alias("cited"), F.struct(titled.alias("t"), paged.alias("p"), (~F.col("near")).alias("e")).alias("rank")
-    ).where("doc != cited")
+    )
     best = scored.groupBy("occ").agg(F.max("rank").alias("rank"))
-    left = scored.join(best, ["occ", "rank"]).groupBy("occ", "doc").agg(F.countDistinct("cited").alias("n"), F.min("cited").alias("cited")).where("n = 1")
-    return sure.where("doc != cited").unionByName(left.select("occ", "doc", "cited", F.lit("reference").alias("how")))
+    left = scored.join(best, ["occ", "rank"]).groupBy("occ", "doc").agg(F.countDistinct("cited").alias("n"), F.min("cited").alias("cited"))
+    return sure.unionByName(left.select("occ", "doc", "cited", F.when(F.col("n") == 1, "reference").otherwise("ambiguous").alias("how")))
 
 
 def local_citation_table(docs: DataFrame, links: DataFrame) -> DataFrame:

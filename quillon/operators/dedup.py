@@ -39,21 +39,31 @@ def title_links(items: DataFrame) -> DataFrame:
     """Rule 2. Titles are compared by a 128-bit digest, and equal records (doi, surname) collapse first.
 
     Of a title and year only classes of different surname or DOI are paired; a class without both is compatible with
-    every other and serves as the centre of a star.
+    every other and serves as the centre of a star. A class with a DOI meets those of the same DOI and those without one
+    only, so that a title with many DOIs makes no pairs of them.
     """
+    stages = Stages(items.sparkSession, "titles")
     some = items.where(F.length("title") >= 10).select(
         "rec", F.xxhash64("title").alias("t1"), F.xxhash64(F.lit(1), "title").alias("t2"), F.coalesce(F.col("year").cast("string"), F.lit("")).alias("year"), "doi", "surname"
     )
+    some = stages.keep(some, "digests")
     key = ["t1", "t2", "year"]
-    classes = some.groupBy(*key, "doi", "surname").agg(F.min("rec").alias("src"))
-    same = some.join(classes, [*key, "doi", "surname"]).where("rec != src").select("src", F.col("rec").alias("dst"))
+    classes = stages.keep(some.groupBy(*key, "doi", "surname").agg(F.min("rec").alias("src"), F.count("*").alias("n")), "classes")
+    same = some.join(classes.where("n > 1"), [*key, "doi", "surname"]).where("rec != src").select("src", F.col("rec").alias("dst"))
     free = classes.where("doi = '' and surname = ''").select(*key, F.col("src").alias("centre"))
     star = classes.join(free, key).where("src != centre").select(F.least("src", "centre").alias("src"), F.greatest("src", "centre").alias("dst"))
     rest = classes.join(free, key, "left_anti")
-    a, b = rest.alias("a"), rest.alias("b")
-    on = (F.col("a.t1") == F.col("b.t1")) & (F.col("a.t2") == F.col("b.t2")) & (F.col("a.year") == F.col("b.year")) & (F.col("a.src") < F.col("b.src"))
-    ok = ~_conflict() & surname_compatible(F.col("a.surname"), F.col("b.surname"))
-    pairs = a.join(b, on).where(ok).select(F.col("a.src").alias("src"), F.col("b.src").alias("dst"))
+    many = rest.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").select(*key)
+    rest = stages.keep(rest.drop("n").join(many, key), "rest")
+
+    def paired(left: DataFrame, on: list[str], ok: Column) -> DataFrame:
+        a, b = left.alias("a"), rest.alias("b")
+        equal = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
+        found = a.join(b, equal).where(ok & surname_compatible(F.col("a.surname"), F.col("b.surname")))
+        return found.select(F.least("a.src", "b.src").alias("src"), F.greatest("a.src", "b.src").alias("dst"))
+
+    unnamed = paired(rest.where("doi = ''"), key, (F.col("b.doi") != "") | (F.col("a.src") < F.col("b.src")))
+    pairs = unnamed.union(paired(rest.where("doi != ''"), [*key, "doi"], F.col("a.src") < F.col("b.src")))
     return same.union(star).union(pairs).withColumns({"reason": F.lit("title"), "similarity": F.lit(1.0)})
 
 
@@ -104,9 +114,14 @@ def neighbour_links(items: DataFrame, threshold: float = 0.95, window: int = WIN
 def duplicate_groups(items: DataFrame, threshold: float = 0.95, kept_apart: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(group, rec) of groups with two records or more, and (group, n, reason, similarity, doi_conflict).
 
-    ``kept_apart`` (group) lists groups that the user has undone.
+    ``kept_apart`` lists what the user has undone: records (rec), which then merge with nothing, whatever a later file
+    adds, or groups (group) of this very table.
     """
-    links = doi_links(items).unionByName(title_links(items)).unionByName(neighbour_links(items, threshold))
+    stages = Stages(items.sparkSession, "duplicates")
+    if kept_apart is not None and "rec" in kept_apart.columns:
+        items, kept_apart = items.join(kept_apart.select("rec").distinct(), "rec", "left_anti"), None
+    items = stages.keep(items, "items")  # read by every rule
+    links = stages.keep(doi_links(items).unionByName(title_links(items)).unionByName(neighbour_links(items, threshold)), "links")
     members = connected_components(links).select(F.col("component").alias("group"), F.col("node").alias("rec"))
     if kept_apart is not None:
         members = members.join(kept_apart, "group", "left_anti")

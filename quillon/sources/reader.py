@@ -31,10 +31,22 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame([[r[n] for n in names] for r in rows], columns=names)
 
 
-def read_bib(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all files under ``path`` (folders and globs too), one task per files; rows with a warning have no record."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_parse, RECORD)
+def read_bib(spark: SparkSession, path: str, skip_repeated: bool = False) -> DataFrame:
+    """Records of all files under ``path`` (folders and globs too), one task per files; rows with a warning have no record.
+
+    ``skip_repeated``: of files of the same name and size only the first path is read.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    if skip_repeated:
+        files = files.join(repeated_files(spark, path).select("path"), "path", "left_anti")
+    return files.select("path", "content").mapInPandas(_parse, RECORD)
+
+
+def repeated_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, first): files that have the name and size of a file with a smaller path; contents are not read."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", F.substring_index("path", "/", -1).alias("file"))
+    first = files.groupBy("file", "length").agg(F.min("path").alias("first"))
+    return files.join(first, ["file", "length"]).where("path != first").select("path", "first")
 
 
 def records_only(rows: DataFrame) -> DataFrame:
@@ -64,3 +76,22 @@ def completeness(rows: DataFrame) -> DataFrame:
     return one.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("filled")) for c in FIELDS])).alias("x")).select(
         "x.field", "x.filled", (F.col("x.filled") / F.when(F.col("n") > 0, F.col("n"))).alias("share")
     )
+
+
+def import_warnings(rows: DataFrame) -> DataFrame:
+    """(file, code, value): what the records of a file lack; value is a percentage, or for noYear the records."""
+    has = lambda c: F.size(c) > 0
+    share = {
+        "references": has("references"), "abstract": F.coalesce(F.col("abstract"), F.lit("")) != "", "keywords": has("authorKeywords") | has("indexKeywords"), "affiliations": has("affiliations"), "countries": has("countries"),
+        "cited": F.col("timesCited").isNotNull(), "doi": F.coalesce(F.col("doi"), F.lit("")) != "",
+    }
+    one = records_only(rows).groupBy("file").agg(F.count_if(F.col("year").isNull()).alias("undated"), *[F.avg(F.coalesce(c, F.lit(False)).cast("int")).alias(n) for n, c in share.items()])
+    percent = lambda c: F.round(100 * F.col(c)).cast("long")
+    none = F.lit(0).cast("long")
+    codes = [
+        ("noReferences", F.col("references") == 0, none), ("fewReferences", (F.col("references") > 0) & (F.col("references") < 0.5), percent("references")), ("noAbstract", F.col("abstract") == 0, none), ("noKeywords", F.col("keywords") == 0, none),
+        ("noAffiliations", F.col("affiliations") == 0, none), ("fewCountries", (F.col("affiliations") > 0) & (F.col("countries") < 0.5), percent("countries")), ("noCitations", F.col("cited") == 0, none), ("fewDoi", F.col("doi") < 0.5, percent("doi")),
+        ("noYear", F.col("undated") > 0, F.col("undated")),
+    ]
+    found = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(code).alias("code"), value.alias("value"))) for code, test, value in codes]))
+    return one.select("file", F.explode(found).alias("w")).select("file", "w.code", "w.value")

@@ -82,3 +82,15 @@ def test_reference_matching(spark):
     assert {r["occ"]: r["cluster"] for r in clusters.collect()} == {10: 10, 12: 10, 11: 11, 13: 13}
     nodes, edges = citations.historiograph(docs.withColumn("cited", F.lit(1)), links)
     assert {r["doc"] for r in nodes.collect()} == {1, 2} and [(r["src"], r["dst"]) for r in edges.collect()] == [(2, 1)]
+
+
+def test_one_title_with_many_dois_and_records_set_apart(spark):
+    rows = [(k, f"10.1/{k}", "letter to the editor", 2001, f"s{k % 7}", "f") for k in range(120)]
+    rows += [(200, "", "letter to the editor", 2001, "s3", "f"), (201, "", "letter to the editor", 2001, "s33", "f"), (202, "10.1/5", "letter to the editor", 2001, "s5x", "f")]
+    items = spark.createDataFrame(rows, "rec long, doi string, title string, year int, surname string, file string")
+    ok = lambda a, b: not (a[1] and b[1] and a[1] != b[1]) and (a[4] in b[4] or b[4] in a[4])
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and ok(a, b)}
+    assert {(r["src"], r["dst"]) for r in dedup.title_links(items).collect()} == want
+    apart = spark.createDataFrame([(200,), (5,)], "rec long")
+    members, _ = dedup.duplicate_groups(items, kept_apart=apart)
+    assert not {200, 5} & {r["rec"] for r in members.collect()}

@@ -151,3 +151,17 @@ def test_project_round_trip(spark, tmp_path):
     writers.save_project(df, {"threshold": 0.9}, str(tmp_path / "p"))
     rows, settings = writers.load_project(spark, str(tmp_path / "p"))
     assert rows.collect() == df.collect() and settings == {"threshold": 0.9}
+
+
+def test_warnings_and_repeated_files(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.csv").write_text(CSV)
+    (tmp_path / "b" / "y.ris").write_text(RIS.replace("PY  - 2011\n", "") + RIS.replace("DO  - https://doi.org/10.1000/r.1\n", ""))
+    path = f"{tmp_path}/*/*"
+    assert [r["path"].split("/")[-2:] for r in reader.repeated_files(spark, path).collect()] == [["b", "x.csv"]]
+    rows = reader.read_bib(spark, path, skip_repeated=True)
+    assert sorted(r["file"] for r in rows.collect()) == ["x.csv", "y.ris", "y.ris"]
+    found = {(r["file"], r["code"]): r["value"] for r in reader.import_warnings(rows).collect()}
+    assert {c for f, c in found if f == "y.ris"} == {"noReferences", "noKeywords", "noAffiliations", "noCitations", "noYear"} and found["y.ris", "noYear"] == 1
+    assert {c for f, c in found if f == "x.csv"} == {"noAbstract", "noKeywords", "noAffiliations", "fewDoi"}
