@@ -59,7 +59,7 @@ BESIDE = set(
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar"}
 COMMENTS = {"comment", "comments", "replies", "respond"}
-# fixed values: words that, alone in a name, mark chrome outside of an article only
+# fixed values: words that mark chrome inside an article only together with page or site
 HEADS = {"header", "masthead", "banner"}
 # fixed values: elements that their names never make chrome inside an article
 TEXT = set("h1 h2 h3 h4 h5 h6 p blockquote pre li dt dd td th figcaption caption b i em strong span".split())
@@ -90,7 +90,7 @@ def _is_chrome(tag: str, raw: str, in_article: bool) -> tuple[bool, bool]:
     words = set().union(*(_named(w) for w in f"{a.get('class', '')} {a.get('id', '')}".lower().split()))
     talk = bool(words & COMMENTS)
     if in_article:
-        words = set() if tag in TEXT else words - HEADS if not words <= HEADS else set()
+        words = set() if tag in TEXT else words if words & {"page", "site"} else words - HEADS
     role = a.get("role", "").lower()
     hidden = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "").lower())
     if tag in ("body", "html") or (tag in ("article", "main") and not talk):
