@@ -178,7 +178,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A text is named by its id and xxhash64, so that null and repeated ids are told apart by
     their texts, and repeated rows give one row. Ties go to the smaller item_id. Items with a
     null id or text, and empty texts, match nothing; an item of under LITERAL tokens matches
-    only a text that equals it. Other columns are not read.
+    only a text that equals it. Very long texts are searched whole. An empty table on either
+    side gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     stages = Stages(spark, "decontam")

@@ -322,7 +322,8 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id"
     """One row per row of ``docs``: id, text with surrogates, and counts of entities by type.
 
     A null text stays null with counts 0. Repeated rows and null ids are handled row by
-    row. Other columns are not read. There is no shuffle; the whole text is searched.
+    row. Other columns are not read. There is no shuffle; the whole text is searched, however
+    long it is. An empty table gives no rows.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,8 +44,10 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``docs``, with the cleaned text in ``clean_text``.
 
     A null text has no words and is rejected, as is any text of under 10 words. Repeated
-    rows are judged each by itself, null ids too; other columns are not read. All work is
-    inside a row, so there is no shuffle and no key to be skewed.
+    rows are judged each by itself, null ids too; other columns, whatever their names, are
+    not read. Very long texts are judged whole; a line that equals an earlier one is the
+    repeated one. An empty table gives no rows. All work is inside a row, so there is no
+    shuffle and no key to be skewed.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     first = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))

@@ -235,8 +235,9 @@ def score_toxicity(docs: DataFrame, machine: FactorizationMachine, id_col: str =
     """One row (doc_id, held_out, score, predicted) per row of ``docs``.
 
     A null or empty text has no term and gets the score of the bias alone. Repeated rows
-    and null ids (held out) are scored row by row. Whole texts count; columns other than
-    id and text are not read.
+    and null ids (held out) are scored row by row. Whole texts count, very long ones in
+    pieces of whole texts; columns other than id and text are not read. An empty table
+    gives no rows.
     """
     spread = docs.sparkSession.sparkContext.broadcast(machine)
 
