@@ -50,3 +50,55 @@ def word_clusters(inc: DataFrame, items: DataFrame, docs: DataFrame) -> DataFram
         return pd.DataFrame([(i, a, b, round(h, 6), s) for i, (a, b, h, s) in enumerate(rows)], columns=["step", "a", "b", "height", "size"])
 
     return _cross(inc, items, docs).withColumn("map", F.lit(0)).groupBy("map").applyInPandas(run, "step long, a long, b long, height double, size long")
+
+
+#: Items of a correspondence analysis at most; their cross table is decomposed on the driver.
+MAX_ITEMS = 1000
+
+
+def cross_table(inc: DataFrame) -> DataFrame:
+    """(src, dst, weight), src <= dst: over the documents with both items the sum of one over the document's items.
+
+    ``inc`` has each (doc, item) once. It is the table of items by items that a correspondence analysis of documents by
+    items decomposes; the table of documents is never made dense.
+    """
+    k = inc.groupBy("doc").agg((1.0 / F.count("*")).alias("w"))
+    weighted = inc.join(k, "doc")
+    a, b = weighted.select("doc", F.col("item").alias("src"), "w"), inc.select("doc", F.col("item").alias("dst"))
+    return a.join(b, "doc").where("src <= dst").groupBy("src", "dst").agg(F.sum("w").alias("weight"))
+
+
+def correspondence_binary(inc: DataFrame, dims: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Correspondence analysis of documents by items without a dense table of documents.
+
+    Gives (dim, inertia, percent), items (item, dim, coordinate, contribution, cos2) and documents (doc, dim, coordinate,
+    contribution). A document's coordinate is the mean of its items', divided by the root of the inertia, by a join.
+    Items are bounded by ``MAX_ITEMS``; documents are not. An empty table gives empty results.
+    """
+    spark = inc.sparkSession
+    counts = inc.groupBy("item").agg(F.count("*").alias("f")).limit(MAX_ITEMS + 1).toPandas()  # bounded
+    if len(counts) > MAX_ITEMS:
+        raise ValueError(f"more than {MAX_ITEMS} items: keep the most frequent ones first (networks.incidence)")
+    names = sorted(counts["item"])
+    at = {x: i for i, x in enumerate(names)}
+    total = float(counts["f"].sum())
+    mass = np.zeros(len(names))
+    for x, f in counts.itertuples(index=False):
+        mass[at[x]] = f / (total or 1.0)
+    s = np.zeros((len(names), len(names)))
+    for a, b, w in cross_table(inc).toPandas().itertuples(index=False):  # MAX_ITEMS squared rows at most
+        s[at[a], at[b]] = s[at[b], at[a]] = w / total
+    root = np.sqrt(mass)
+    lam, v = kernels.eigen(s / np.outer(root, root) - np.outer(root, root)) if names else (np.zeros(0), np.zeros((0, 0)))
+    good = lam > 1e-11
+    every, lam, v = float(lam[good].sum()), lam[good][:dims], v[:, good][:, :dims]
+    coordinates = v * np.sqrt(lam) / root[:, None] if names else v
+    distance = (np.diag(s) / np.where(mass > 0, mass, 1) ** 2 - 1) if names else np.zeros(0)  # squared distance of an item to the centre
+    kind = dict(inc.dtypes)["item"]
+    inertia = spark.createDataFrame([(k + 1, float(x), 100 * float(x) / every) for k, x in enumerate(lam)], "dim int, inertia double, percent double")
+    rows = [(x, k + 1, float(coordinates[i, k]), float(v[i, k] ** 2), float(coordinates[i, k] ** 2 / distance[i]) if distance[i] > 1e-12 else 0.0) for i, x in enumerate(names) for k in range(len(lam))]
+    items = spark.createDataFrame(rows, f"item {kind}, dim int, coordinate double, contribution double, cos2 double")
+    size = inc.groupBy("doc").agg(F.count("*").alias("k"))
+    documents = inc.join(items.select("item", "dim", "coordinate"), "item").groupBy("doc", "dim").agg(F.sum("coordinate").alias("s")).join(size, "doc").join(inertia.select("dim", "inertia"), "dim")
+    place = F.col("s") / F.col("k") / F.sqrt("inertia")
+    return inertia, items, documents.select("doc", "dim", place.alias("coordinate"), (F.col("k") / F.lit(total or 1.0) * place * place / F.col("inertia")).alias("contribution"))

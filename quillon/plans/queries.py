@@ -593,6 +593,24 @@ def author_variants(c):
 # multivariate ---------------------------------------------------------------------------
 
 
+@query(
+    "correspondence_cross",
+    f"""WITH {INC}, k AS (SELECT doc, 1.0::DOUBLE / count(*) AS w FROM inc GROUP BY 1)
+SELECT a.item AS src, b.item AS dst, round(sum(w), 6) AS weight FROM inc a JOIN inc b ON a.doc = b.doc AND a.item <= b.item JOIN k ON k.doc = a.doc GROUP BY 1, 2""",
+)
+def correspondence_cross(c):
+    from quillon.operators import factorial
+
+    return rounded(factorial.cross_table(_parts(c)[0]))
+
+
+@query("correspondence_documents")
+def correspondence_documents(c):
+    from quillon.operators import factorial
+
+    return rounded(factorial.correspondence_binary(_parts(c)[0])[2])
+
+
 @query("factorial_mca")
 def factorial_mca(c):
     from quillon.operators import factorial
