@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import contains_all, fold
+from quillon.operators.ordering import numbered
+from quillon.store import Stages
 
 
 @dataclass(frozen=True)
@@ -129,6 +131,20 @@ def one_decision(decisions: DataFrame, key: str = "key") -> DataFrame:
     return rows.groupBy(key).agg(F.min("d").alias("d")).select(key, "d.decision", "d.reason")
 
 
+def decision_table(docs: DataFrame, decisions: DataFrame, key: str = "key", order: str | None = None) -> DataFrame:
+    """The rows of a decision export: ``n`` from 1 in ``order`` (default: key), all columns of ``docs``, decision, stage, reason.
+
+    A document without a decision has empty texts. Stage and reason are of excluded ones: fulltext with a reason, else
+    screening. Numbers are counted by ranges, so that the table may be of any size.
+    """
+    rows = docs.join(one_decision(decisions, key), key, "left")
+    out = F.coalesce(F.col("decision") == "exclude", F.lit(False))
+    reason = F.when(out, F.coalesce("reason", F.lit(""))).otherwise("")
+    rows = rows.withColumn("stage", F.when(~out, "").when(reason != "", "fulltext").otherwise("screening")).withColumns({"reason": reason, "decision": F.coalesce("decision", F.lit(""))})
+    found = numbered(rows, [order or key], Stages(docs.sparkSession, "decisions"), "rows", to="n")
+    return found.select((F.col("n") + 1).alias("n"), *docs.columns, "decision", "stage", "reason")
+
+
 NOT_RETRIEVED = "notRetrieved"
 
 

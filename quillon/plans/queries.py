@@ -355,6 +355,17 @@ def _decisions(c):
     return c.table("labels").select(F.col("doc_id").alias("key"), F.when(F.col("toxic") == 1, "exclude").when(F.col("quality") == 1, "include").otherwise("maybe").alias("decision"))
 
 
+@query(
+    "decision_rows",
+    f"""WITH {DECISIONS} SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id AS key, source, coalesce(decision, '') AS decision,
+  CASE WHEN decision = 'exclude' THEN CASE WHEN doc_id % 2 = 0 THEN 'fulltext' ELSE 'screening' END ELSE '' END AS stage, CASE WHEN decision = 'exclude' AND doc_id % 2 = 0 THEN 'topic' ELSE '' END AS reason
+FROM documents LEFT JOIN dec ON key = doc_id""",
+)
+def decision_rows(c):
+    docs = c.table("documents").select(F.col("doc_id").alias("key"), "source")
+    return filters.decision_table(docs, _decisions(c).withColumn("reason", F.when(F.col("key") % 2 == 0, "topic")))
+
+
 @query(
     "prisma_flow",
     f"""WITH {DECISIONS}, r AS (SELECT doc_id AS key, decision FROM documents LEFT JOIN dec ON key = doc_id)
