@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.sources.parsers import decode, parse_text
+from quillon.sources.parsers import decode, detect, finish, header_row, parse_delimited, parse_text, sniff_separator, table_reader
+from quillon.sources.scan import scan_tagged
 from quillon.sources.schema import RECORD, blank
 
+#: Bytes of the largest file that a task reads whole.
+LARGE = 8 << 20
+#: Rows of a large table that become records at once.
+CHUNK = 2000
+#: Bytes of a large file by which its format is told.
+_HEAD = 1 << 16
+
 
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [f.name for f in RECORD]
@@ -34,12 +44,114 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_bib(spark: SparkSession, path: str, skip_repeated: bool = False) -> DataFrame:
     """Records of all files under ``path`` (folders and globs too), one task per files; rows with a warning have no record.
 
+    Tables of over ``LARGE`` bytes are read row by row, and tagged exports in UTF-8 record by record (``scan_tagged``), so
+    that a task never holds one whole; BibTeX, and tagged exports in other encodings, are still read whole.
     ``skip_repeated``: of files of the same name and size only the first path is read.
     """
     files = spark.read.format("binaryFile").load(path)
     if skip_repeated:
         files = files.join(repeated_files(spark, path).select("path"), "path", "left_anti")
-    return files.select("path", "content").mapInPandas(_parse, RECORD)
+    large = [r["path"] for r in files.where(F.col("length") > LARGE).select("path").collect()]  # contents are not read
+    tables, tagged = _layouts(spark, large) if large else ({}, {})
+    apart = [x for paths in tables.values() for x, _ in paths] + [x for paths in tagged.values() for x in paths]
+    whole = files.where((F.col("length") <= LARGE) | ~F.col("path").isin(apart)) if apart else files
+    found = whole.select("path", "content").mapInPandas(_parse, RECORD)
+    for (encoding, separator), paths in tables.items():
+        found = found.unionByName(_read_tables(spark, [x for x, _ in paths], max(n for _, n in paths), encoding, separator))
+    for form, paths in tagged.items():
+        found = found.unionByName(scan_tagged(spark, [_literal(x) for x in paths], form).withColumn("path", F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))))
+    return found
+
+
+def _literal(path: str) -> str:
+    """A path whose odd characters are no glob."""
+    return re.sub(r"([*?{}\[\]\\])", r"\\\1", path)
+
+
+def _heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    size: dict[str, int] = {}
+    for pdf in frames:
+        kept = []
+        for url, line in zip(pdf["url"], pdf["line"], strict=True):
+            if size.get(url, 0) < _HEAD:
+                kept.append((url, size.get(url, 0), line))
+                size[url] = size.get(url, 0) + len(line) + 1
+        yield pd.DataFrame(kept, columns=["url", "at", "line"])
+
+
+def _layouts(spark: SparkSession, large: list[str]) -> tuple[dict[tuple[str, str], list[tuple[str, int]]], dict[str, list[str]]]:
+    """By encoding and separator the tables among large files with their columns, and by format the tagged ones in UTF-8; from their first lines."""
+    paths = [_literal(x) for x in large]
+    names = {r["url"]: r["path"] for r in spark.read.format("binaryFile").load(paths).select("path", F.col("_metadata.file_path").alias("url")).collect()}
+    lines = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("url"), F.col("_metadata.file_block_start").alias("block"), "value")
+    sound = {r["url"]: r["ok"] for r in lines.groupBy("url").agg(F.bool_and(F.is_valid_utf8("value")).alias("ok")).collect()}
+    heads = defaultdict(list)
+    first = lines.where("block = 0").select("url", F.substring(F.col("value").cast("binary"), 1, 1 << 20).alias("line"))
+    for r in first.mapInPandas(_heads, "url string, at long, line binary").collect():
+        heads[r["url"]].append((r["at"], bytes(r["line"])))
+    tables, tagged = defaultdict(list), defaultdict(list)
+    for url, path in names.items():
+        data = b"\n".join(line for _, line in sorted(heads[url]))
+        if data.startswith((b"\xff\xfe", b"\xfe\xff")):
+            text, encoding = decode(data)
+        else:
+            encoding = "utf-8" if sound.get(url) else "latin1"
+            text = data.decode(encoding, "replace")
+        form, text = detect(path.rsplit("/", 1)[-1], text), text.removeprefix("\ufeff")
+        if form in ("tagged2", "tagged4", "ris") and encoding == "utf-8":
+            tagged[form].append(path)
+        elif form == "csv" and header_row(rows := parse_delimited(text)[:6]) is not None:
+            tables[encoding, sniff_separator(text)].append((path, max(map(len, rows))))
+    return tables, tagged
+
+
+def _read_tables(spark: SparkSession, paths: list[str], width: int, encoding: str, separator: str) -> DataFrame:
+    """Records of delimited files, each read by one task from its start to its end, row by row."""
+    names = [f"c{i}" for i in range(width)]
+    charset = {"utf-8": "UTF-8", "latin1": "ISO-8859-1", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE"}[encoding]
+    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).options(header=False, multiLine=True, sep=separator, quote='"', escape='"', encoding=charset).csv([_literal(x) for x in paths])
+    url = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return rows.select(F.url_decode(url).alias("path"), F.array(*names).alias("cells")).mapInPandas(_parse_rows, RECORD)
+
+
+def _parse_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of tables in their order; a task has whole files, one after the other."""
+    names = [f.name for f in RECORD]
+    frame = lambda rows: pd.DataFrame([[r[n] for n in names] for r in rows], columns=names)
+    path, first, read, position, dropped = None, [], None, 0, 0
+
+    def ended() -> list[dict]:
+        own = {"path": path, "file": path.rsplit("/", 1)[-1], "format": "csv"}
+        return ([blank(**own, warning=f"dropped:{dropped}")] if dropped else []) + ([blank(**own, warning="empty")] if not dropped and not position else [])
+
+    out: list[dict] = []
+    for pdf in frames:
+        for here, cells in zip(pdf["path"], pdf["cells"], strict=True):
+            if here != path:
+                if path is not None:
+                    out += ended()
+                path, first, read, position, dropped = here, [], None, 0, 0
+            row = ["" if x is None else x for x in cells]
+            if not any(x.strip() for x in row):
+                continue
+            if read is None:
+                if len(first) < 6:  # else no header: no records
+                    first.append(row)
+                    if header_row(first) is not None:
+                        read = table_reader(row)
+                continue
+            r = finish(read(row))
+            if r["title"]:
+                r.update(path=path, file=path.rsplit("/", 1)[-1], position=position, format="csv", warning="")
+                out.append(r)
+                position += 1
+            else:
+                dropped += 1
+            if len(out) >= CHUNK:
+                yield frame(out)
+                out = []
+    if path is not None:
+        yield frame(out + ended())
 
 
 def repeated_files(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import networks
+from quillon.sources import reader
 
 EDGES = "src long, dst long, count long, weight double"
 
@@ -20,3 +21,22 @@ def test_transitivity_without_edges_or_triples_is_that_of_sql(spark):
     single = of([(1, 2, 1, 1.0), (3, 4, 1, 1.0)])
     assert single[:2] == (0, 0) and math.isnan(single[2])
     assert of([(1, 2, 1, 1.0), (2, 3, 1, 1.0), (1, 3, 1, 1.0)]) == (1, 3, 1.0)
+
+
+def test_large_tables_are_read_row_by_row_as_whole_ones_are(spark, tmp_path, monkeypatch):
+    head = "Authors,Title,Year,Source title,Cited by,DOI,Affiliations,Authors with affiliations\n"
+    row = lambda i: f'"Smith, J.; Roe, P.","A ""title"" {i},\n over two lines",200{i % 10},J Test,{i},10.1/x{i},"Univ A, Chile; Univ B, Spain","Smith, J., Univ A, Chile; Roe, P., Univ B, Spain"\n'
+    files = {
+        "a.csv": ("Export of today\n\n" + head + "".join(map(row, range(30))) + ",,2001,J Test\n" + "short\n" + ",only a title\n").encode(), "b one+two.csv": head.encode() + row(7).encode(), "latin.csv": (head + "Núñez A,Título,1999,Revista\n").encode("latin-1"),
+        "wide.csv": ("﻿" + head.replace(",", ";") + "Núñez A;Título;1999;Revista;;;;;more;cells\n").encode("utf-16-le"), "tab.txt": "PT\tAU\tTI\tSO\tPY\nJ\tSmith, J\tA thing\tJ Test\t2001\n".encode(), "bom.csv": ("﻿" + head + row(3)).encode(), "head.csv": head.encode(), "no.csv": b"x\ny\n",
+        "t.ris": b"TY  - JOUR\nTI  - One\nAU  - Smith, J\nPY  - 2001\nER  - \n", "u.bib": b"@article{a, title={One}, year=2001}\n",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = lambda: sorted(repr(r.asDict(True)) for r in reader.read_bib(spark, str(tmp_path)).collect())
+    want = rows()
+    monkeypatch.setattr(reader, "LARGE", 1)
+    monkeypatch.setattr(reader, "CHUNK", 4)
+    whole = reader._parse
+    monkeypatch.setattr(reader, "_parse", lambda frames: whole(f[f["path"].str.contains("u.bib|no.csv")] for f in frames))  # no other file may come here
+    assert rows() == want
