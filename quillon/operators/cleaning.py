@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.people import let, table
 from quillon.functions.text import fold, norm_title
 from quillon.operators import dedup, entities, filters
 from quillon.operators.components import connected_components
@@ -49,19 +50,23 @@ def institution_key(name: Column) -> Column:
 def normalize_institution(name: Column) -> Column:
     """Abbreviations written out; a name in capitals gets title case. A leading [author list] and a last point go."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"^\[[^\]]*\]\s*|\.\s*$", ""), r"\s+", " "))
-    table = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
-    words = F.transform(F.split(bare, " "), lambda w: F.coalesce(F.element_at(table, F.regexp_replace(fold(w), r"\.$", "")), w))
-    letters = F.regexp_replace(bare, r"[^\p{L}]", "")
-    title = F.array_join(
-        F.transform(F.split(F.lower(F.array_join(words, " ")), " "), lambda w, i: F.when((i > 0) & w.isin(*SMALL), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000)))), " "
-    )
-    return F.when((F.length(letters) > 4) & (letters == F.upper(letters)), title).otherwise(F.array_join(words, " "))
+    whole = table(ABBREVIATIONS)
+
+    def of(bare: Column) -> Column:
+        words = F.transform(F.split(bare, " "), lambda w: F.coalesce(F.try_element_at(whole, F.regexp_replace(fold(w), r"\.$", "")), w))
+        letters = F.regexp_replace(bare, r"[^\p{L}]", "")
+        title = F.array_join(
+            F.transform(F.split(F.lower(F.array_join(words, " ")), " "), lambda w, i: F.when((i > 0) & w.isin(*SMALL), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000)))), " "
+        )
+        return F.when((F.length(letters) > 4) & (letters == F.upper(letters)), title).otherwise(F.array_join(words, " "))
+
+    return let(bare, of)
 
 
 def institutions_of(affiliations: Column) -> Column:
     """Distinct normalised institutions of a list of affiliations, in order; one spelling (the first) for a key."""
     names = F.filter(F.transform(affiliations, lambda a: normalize_institution(entities.institution_of(a))), lambda x: x != "")
-    return F.filter(names, lambda x, i: F.array_position(F.transform(names, institution_key), institution_key(x)) == i + 1)
+    return let(names, lambda n: let(F.transform(n, institution_key), lambda keys: F.filter(n, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
 def record_countries(rows: DataFrame) -> Column:
@@ -112,11 +117,11 @@ def _first(rows: DataFrame, key: str, order: list[Column], names: dict[str, str]
 # survivors ------------------------------------------------------------------------------
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """rec, a hash of path and place (the same on every run), and seq, the order of import."""
-    paths = rows.select("path").distinct()
+def numbered(rows: DataFrame, stages: Stages) -> DataFrame:
+    """rec, a hash of path and place (the same on every run), and seq, the order of import. ``rows`` are read twice."""
     order = F.row_number().over(Window.orderBy("path")).cast("long")  # one row a file
-    return rows.join(paths.withColumn("_file", order), "path").select(
+    files = stages.keep(rows.select("path").distinct().withColumn("_file", order), "files")
+    return rows.join(files, "path").select(
         F.xxhash64("path", "position").alias("rec"), (F.col("_file") * (1 << 32) + F.col("position")).alias("seq"), *rows.columns
     )
 
@@ -141,10 +146,13 @@ def merge_groups(records: DataFrame, members: DataFrame) -> DataFrame:
     texts and the year the first filled one in order of completeness, lists the longest, authors those with most
     affiliated authors (then most authors), citations the largest, open access true if any is true, false if any is
     false; ISSN, ISBN and countries are united; the type is the first that is not other. merge_log maps a field to the
-    rec it came from, where that is not the base. A group is aggregated with map-side combine, never gathered.
+    rec it came from, where that is not the base. A group is aggregated with map-side combine, never gathered. A column
+    ``_score`` has the completeness, else it is computed.
     """
     kinds = dict(records.dtypes)
-    rows = members.join(records, "rec").withColumn("_s", score(records)).withColumn("_q", -F.col("seq"))
+    if "_score" not in records.columns:
+        records = records.withColumn("_score", score(records))
+    rows = members.join(records, "rec").withColumn("_s", F.col("_score")).withColumn("_q", -F.col("seq"))
     order = lambda *lead: F.struct(*[x.alias(f"o{i}") for i, x in enumerate(lead)], "_s", "_q")
     affiliated = F.size(F.filter("authors", lambda a: F.size(a["affiliations"]) > 0))
     orders = {c: order(F.coalesce(F.length(c), F.lit(0))) for c in LONGEST_TEXT}
@@ -182,26 +190,64 @@ class Settings:
 
 class Cleaned:
     """Tables of a cleaned collection. ``records`` are all unique ones, ``screening`` those that pass the filters,
-    ``shown`` those that decisions include (all, without decisions)."""
+    ``shown`` those that decisions include (all, without decisions).
+
+    What a table does not need is not computed: ``unique`` are the survivors as they were read, ``sourced`` have the names
+    of sources besides, and names of authors and institutions are found where they are asked for. Only narrow tables are
+    written (``signatures``, ``forms``, ``sources``, ``unsigned``), and ``records`` when somebody reads whole ones.
+    """
 
-    def __init__(self, stages: Stages, raw: DataFrame, groups: DataFrame, records: DataFrame, settings: Settings):
-        self.stages, self.raw, self.groups, self.records, self.settings = stages, raw, groups, records, settings
+    def __init__(self, stages: Stages, raw: DataFrame, groups: DataFrame, unique: DataFrame, settings: Settings):
+        self.stages, self.raw, self.groups, self.unique, self.settings = stages, raw, groups, unique, settings
 
     @cached_property
-    def screening(self) -> DataFrame:
-        names = {"doc_type": "docType", "source": "source_name", "cited": "timesCited"}
-        return filters.apply_filters(self.records, self.settings.filters, names)
+    def sources(self) -> DataFrame:
+        return self.stages.keep(source_groups(self.unique), "sources")
+
+    @property
+    def sourced(self) -> DataFrame:
+        return named_sources(self.unique, self.sources)
 
     @cached_property
+    def forms(self) -> DataFrame:
+        return signature_forms(self.unique, self.settings, self.stages)
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return self.stages.keep(normalize(self.sourced, self.forms), "records")
+
+    @property
+    def screening(self) -> DataFrame:
+        return self._screened(self.records)
+
+    @property
     def shown(self) -> DataFrame:
+        return self._shown(self.records)
+
+    def _screened(self, records: DataFrame) -> DataFrame:
+        names = {"doc_type": "docType", "source": "source_name", "cited": "timesCited"}
+        return filters.apply_filters(records, self.settings.filters, names)
+
+    @property
+    def _lists(self) -> DataFrame:
+        """``documents`` for tables that do not show the source: its names are found only if the filters ask for them."""
+        return self._shown(self.sourced if self.settings.filters.sources else with_prisma_key(self.unique))
+
+    def _shown(self, records: DataFrame) -> DataFrame:
         chosen = self.settings.decisions
-        return self.screening if chosen is None else filters.included(self.screening, chosen, "prisma_key")
+        return self._screened(records) if chosen is None else filters.included(self._screened(records), chosen, "prisma_key")
+
+    @property
+    def documents(self) -> DataFrame:
+        """``shown`` with authors and affiliations as they were read."""
+        return self._shown(self.sourced)
 
     def stats(self) -> DataFrame:
         """One row: identified, groups, duplicates_removed, unique, filtered_out, screening, shown."""
         count = lambda df, name: df.agg(F.count("*").alias(name))
         out = count(self.raw, "identified")
-        for df, name in ((self.groups.select("group").distinct(), "groups"), (self.records, "unique"), (self.screening, "screening"), (self.shown, "shown")):
+        records = self.sourced if self.settings.filters.sources else with_prisma_key(self.unique)
+        for df, name in ((self.groups.select("group").distinct(), "groups"), (self.unique, "unique"), (self._screened(records), "screening"), (self._lists, "shown")):
             out = out.crossJoin(F.broadcast(count(df, name)))  # rows of one number
         return out.select(
             "identified", "groups", (F.col("identified") - F.col("unique")).alias("duplicates_removed"), "unique",
@@ -210,15 +256,30 @@ class Cleaned:
 
     @property
     def docs(self) -> DataFrame:
-        return self.shown.select(
+        return self.documents.select(
             F.col("rec").alias("doc"), F.col("year").cast("long").alias("year"), F.nullif("source_name", F.lit("")).alias("source"), F.col("docType").alias("doc_type"),
             F.get("languages", F.lit(0)).alias("language"), F.col("timesCited").cast("long").alias("cited"),
         )
 
-    @property
+    @cached_property
     def signatures(self) -> DataFrame:
         """doc, pos, author (key), label, country, institutions; one row a signature."""
-        return self.shown.select(F.col("rec").alias("doc"), F.posexplode("authors").alias("pos", "a")).select("doc", "pos", "a.key", "a.label", "a.country", "a.institutions")
+        rows = with_forms(self._lists.select(F.col("rec").alias("doc"), F.posexplode("authors").alias("pos", "a")), self.forms)
+        return self.stages.keep(rows.select("doc", "pos", "key", "label", "a.country", "institutions"), "signatures")
+
+    @property
+    def institutions(self) -> DataFrame:
+        """(doc, name): distinct institutions of the signatures, or of the affiliations of a document whose signatures have none."""
+        signed = self.signatures.select("doc", F.explode("institutions").alias("name")).distinct()
+        lone = self.unsigned.select("doc", F.explode("institutions").alias("name"))
+        return signed.union(lone)
+
+    @cached_property
+    def unsigned(self) -> DataFrame:
+        """(doc, institutions) of the documents whose signatures have no institution."""
+        linked = self.signatures.where("size(institutions) > 0").select(F.col("doc").alias("rec")).distinct()
+        lone = self._lists.select("rec", "affiliations").join(linked, "rec", "left_anti")
+        return self.stages.keep(lone.select(F.col("rec").alias("doc"), institutions_of(F.col("affiliations")).alias("institutions")), "unsigned")
 
     @property
     def authors(self) -> DataFrame:
@@ -226,20 +287,20 @@ class Cleaned:
 
     @property
     def keywords(self) -> DataFrame:
-        return self.shown.select(F.col("rec").alias("doc"), F.explode(F.when(F.size("authorKeywords") > 0, F.col("authorKeywords")).otherwise(F.col("indexKeywords"))).alias("term")).select("doc", fold("term").alias("term"))
+        return self._lists.select(F.col("rec").alias("doc"), F.explode(F.when(F.size("authorKeywords") > 0, F.col("authorKeywords")).otherwise(F.col("indexKeywords"))).alias("term")).select("doc", fold("term").alias("term"))
 
     @property
     def references(self) -> DataFrame:
-        return self.shown.select(F.col("rec").alias("doc"), F.explode("references").alias("r")).select("doc", norm_title(F.col("r.raw")).alias("ref"), F.col("r.year").cast("long").alias("year"))
+        return self._lists.select(F.col("rec").alias("doc"), F.explode("references").alias("r")).select("doc", norm_title(F.col("r.raw")).alias("ref"), F.col("r.year").cast("long").alias("year"))
 
     @property
     def countries(self) -> DataFrame:
-        return self.shown.select(F.col("rec").alias("doc"), F.explode(record_countries(self.shown)).alias("country"))
+        return self._lists.select(F.col("rec").alias("doc"), F.explode(record_countries(self._lists)).alias("country"))
 
     @property
     def docs_with_countries(self) -> DataFrame:
         """docs with countries and country: of the correspondence, else of the first author with one, else the first of the record."""
-        return self.docs.join(document_country(self.shown).select("doc", "countries", "country", "basis"), "doc")
+        return self.docs.join(document_country(self._lists).select("doc", "countries", "country", "basis"), "doc")
 
 
 def document_country(records: DataFrame) -> DataFrame:
@@ -261,44 +322,73 @@ def prisma_key(doi: Column, title: Column, year: Column) -> Column:
     return F.when(bare != "", F.concat(F.lit("doi:"), bare)).otherwise(F.concat(F.lit("t:"), text, F.lit("|"), F.coalesce(year.cast("string"), F.lit(""))))
 
 
-def normalize(records: DataFrame, settings: Settings, stages: Stages) -> DataFrame:
-    """records with author keys, labels and institutions, institutions, source_key, source_name and prisma_key."""
+def with_prisma_key(records: DataFrame) -> DataFrame:
+    return records.withColumn("prisma_key", prisma_key(F.col("doi"), F.col("title"), F.col("year")))
+
+
+def named_sources(records: DataFrame, sources: DataFrame) -> DataFrame:
+    """records with source_key, source_name (of ``source_groups``) and prisma_key."""
+    return with_prisma_key(records.withColumn("name_key", source_key(F.col("source"))).join(sources, "name_key", "left").drop("name_key"))
+
+
+#: Forms of signatures that are broadcast at most.
+FORMS = 200_000
+
+
+def _form() -> list[Column]:
+    """What key, label and institutions of an author ``a`` depend on."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return [text("a.last").alias("last"), text("a.initials").alias("initials"), F.coalesce("a.affiliations", F.array().cast("array<string>")).alias("places")]
+
+
+def signature_forms(records: DataFrame, settings: Settings, stages: Stages) -> DataFrame:
+    """(last, initials, places, key, label, institutions) of the authors' distinct names with affiliations, each named once."""
     merged = entities.resolve_merges(settings.author_merges)
     canonical = (lambda k: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in merged.items() for x in p]), k), k)) if merged else (lambda k: k)
-    rows = records.select(F.col("rec"), F.posexplode("authors").alias("pos", "a"))
-    rows = rows.select("rec", "pos", "a", canonical(entities.author_key(F.col("a.last"), F.col("a.initials"))).alias("key"), F.trim(F.concat_ws(" ", "a.last", "a.initials")).alias("spelling"), institutions_of(F.col("a.affiliations")).alias("institutions"))
-    rows = stages.keep(rows, "signatures")
-    labels = entities.vote(rows.where("key != '|'"), "key", "spelling").select("key", F.col("spelling").alias("label"))
-    named = rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "spelling"))
+    form = ["last", "initials", "places"]
+    rows = records.select(F.explode("authors").alias("a")).select(*_form()).groupBy(*form).agg(F.count("*").alias("times"))
+    rows = stages.keep(rows, "spellings")
+    rows = rows.select(*form, "times", canonical(entities.author_key(F.col("last"), F.col("initials"))).alias("key"), F.trim(F.concat_ws(" ", "last", "initials")).alias("spelling"), institutions_of(F.col("places")).alias("institutions"))
+    rows = stages.keep(rows, "named")
     if settings.institution_aliases is not None:
         aliases = settings.institution_aliases.select(institution_key(F.col("alias")).alias("_k"), F.col("name").alias("_to")).dropDuplicates(["_k"])
-        flat = named.select("rec", "pos", F.posexplode("institutions").alias("i", "name")).withColumn("_k", institution_key(F.col("name"))).join(aliases, "_k", "left")
-        lists = flat.groupBy("rec", "pos").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("_to", "name").alias("name")))).alias("x"))
-        lists = lists.select("rec", "pos", F.array_distinct(F.transform("x", lambda v: v["name"])).alias("aliased"))
-        named = named.join(lists, ["rec", "pos"], "left").withColumn("institutions", F.coalesce("aliased", F.array().cast("array<string>")))
+        flat = rows.select(*form, F.posexplode("institutions").alias("i", "name")).withColumn("_k", institution_key(F.col("name"))).join(aliases, "_k", "left")
+        lists = flat.groupBy(*form).agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("_to", "name").alias("name")))).alias("x"))  # the institutions of one form
+        lists = lists.select(*form, F.array_distinct(F.transform("x", lambda v: v["name"])).alias("aliased"))
+        rows = rows.join(lists, form, "left").withColumn("institutions", F.coalesce("aliased", F.array().cast("array<string>")))
+    labels = entities.vote(rows.where("key != '|'"), "key", "spelling", F.col("times")).select("key", F.col("spelling").alias("label"))
+    return stages.keep(rows.join(labels, "key", "left").select(*form, "key", F.coalesce("label", "spelling").alias("label"), "institutions"), "forms")
+
+
+def with_forms(rows: DataFrame, forms: DataFrame) -> DataFrame:
+    """rows(a, ...) with key, label and institutions of the author ``a``."""
+    few = forms.limit(FORMS + 1).count() <= FORMS
+    return rows.select("*", *_form()).join(F.broadcast(forms) if few else forms, ["last", "initials", "places"]).drop("last", "initials", "places")
+
+
+def normalize(records: DataFrame, forms: DataFrame) -> DataFrame:
+    """records with author keys, labels and institutions (of ``signature_forms``), and institutions."""
+    named = with_forms(records.select(F.col("rec"), F.posexplode("authors").alias("pos", "a")), forms)
     author = F.struct("pos", F.col("a").withField("key", F.col("key")).withField("label", F.col("label")).withField("institutions", F.col("institutions")).alias("a"))
     lists = named.groupBy("rec").agg(F.array_sort(F.collect_list(author), lambda x, y: x["pos"] - y["pos"]).alias("x"))  # the authors of one record
     lists = lists.select("rec", F.transform("x", lambda v: v["a"]).alias("new"))
     empty = lists.schema["new"].dataType.simpleString()
     out = records.join(lists, "rec", "left").withColumn("authors", F.coalesce("new", F.array().cast(empty))).drop("new")
     of_authors = F.array_distinct(F.flatten(F.transform("authors", lambda a: a["institutions"])))
-    out = out.withColumn("institutions", F.when(F.size(of_authors) > 0, of_authors).otherwise(institutions_of(F.col("affiliations"))))
-    sources = source_groups(records)
-    out = out.withColumn("name_key", source_key(F.col("source"))).join(sources, "name_key", "left").drop("name_key")
-    return out.withColumn("prisma_key", prisma_key(F.col("doi"), F.col("title"), F.col("year")))
+    return out.withColumn("institutions", F.when(F.size(of_authors) > 0, of_authors).otherwise(institutions_of(F.col("affiliations"))))
 
 
 def clean(rows: DataFrame, settings: Settings = Settings()) -> Cleaned:  # noqa: B008
     """The collection of the rows of ``read_bib``; rows with a warning hold no record."""
     stages = Stages(rows.sparkSession, "clean")
-    raw = stages.keep(numbered(rows.where("warning = ''")), "raw")
+    rows = rows.where("warning = ''")
+    raw = numbered(stages.keep(rows.withColumn("_score", score(rows)), "rows"), stages)  # every field is read once for the score
     items = raw.select("rec", F.coalesce("doi", F.lit("")).alias("doi"), norm_title(F.col("title")).alias("title"), "year", entities.letters(F.get("authors", F.lit(0))["last"]).alias("surname"), F.col("path").alias("file"))
     members, _ = dedup.duplicate_groups(items, settings.threshold, settings.excluded)
     members = stages.keep(members, "members")
     single = raw.join(members.select("rec"), "rec", "left_anti").withColumn("merged", F.lit(1).cast("long")).withColumn("merge_log", F.create_map().cast("map<string,bigint>"))
-    unique = stages.keep(single.unionByName(merge_groups(raw, members)), "unique")
-    records = stages.keep(normalize(unique, settings, stages), "records")
-    return Cleaned(stages, raw, members, records, settings)
+    unique = single.unionByName(merge_groups(raw, members)).drop("_score")  # not written: a table reads the columns that it has
+    return Cleaned(stages, raw, members, unique, settings)
 
 
 def without_files(rows: DataFrame, paths: list[str]) -> DataFrame:
@@ -314,7 +404,7 @@ def collaboration_lists(cleaned: Cleaned, unit: str) -> tuple[DataFrame, DataFra
     if unit == "countries":
         rows = cleaned.countries.select("doc", F.col("country").alias("item"), F.col("country").alias("label"))
     elif unit == "institutions":
-        rows = cleaned.shown.select(F.col("rec").alias("doc"), F.explode("institutions").alias("label")).select("doc", institution_key(F.col("label")).alias("item"), "label").where("item != ''")
+        rows = cleaned.institutions.select("doc", institution_key(F.col("name")).alias("item"), F.col("name").alias("label")).where("item != ''")
     else:
         rows = cleaned.signatures.where("not startswith(key, '|')").select("doc", F.col("key").alias("item"), "label")
     return rows.select("doc", "item").distinct(), entities.vote(rows, "item", "label")
@@ -322,15 +412,14 @@ def collaboration_lists(cleaned: Cleaned, unit: str) -> tuple[DataFrame, DataFra
 
 def institutions_table(cleaned: Cleaned) -> DataFrame:
     """institution, documents, appearances, share, country, rank: appearances are signatures, or documents without any linked one."""
-    of_docs = cleaned.shown.select(F.col("rec").alias("doc"), F.explode("institutions").alias("name")).withColumn("key", institution_key(F.col("name"))).where("key != ''")
-    linked = F.exists("authors", lambda a: F.size(a["institutions"]) > 0)
+    of_docs = cleaned.institutions.withColumn("key", institution_key(F.col("name"))).where("key != ''")
     signed = cleaned.signatures.select("doc", "country", F.explode("institutions").alias("name")).withColumn("key", institution_key(F.col("name"))).where("key != ''")
-    lone = of_docs.join(cleaned.shown.where(~linked).select(F.col("rec").alias("doc")), "doc", "left_semi").groupBy("key").agg(F.count("*").alias("lone"))
+    lone = cleaned.unsigned.select(F.explode("institutions").alias("name")).withColumn("key", institution_key(F.col("name"))).where("key != ''").groupBy("key").agg(F.count("*").alias("lone"))
     docs = of_docs.groupBy("key").agg(F.countDistinct("doc").alias("documents"))
     seen = signed.groupBy("key").agg(F.count("*").alias("signed"))
     name = entities.vote(of_docs.select("key", "name", "doc").distinct(), "key", "name")
     country = entities.vote(signed.withColumn("country", F.nullif("country", F.lit(""))), "key", "country")
-    total = cleaned.shown.agg(F.count("*").alias("t"))
+    total = cleaned._lists.agg(F.count("*").alias("t"))
     out = docs.join(seen, "key", "left").join(lone, "key", "left").join(name, "key").join(country, "key", "left").crossJoin(F.broadcast(total))
     out = out.withColumn("appearances", F.coalesce("signed", F.lit(0)) + F.coalesce("lone", F.lit(0)))
     return out.select(F.col("name").alias("institution"), "documents", "appearances", (F.col("documents") / F.col("t")).alias("share"), "country")
@@ -338,12 +427,12 @@ def institutions_table(cleaned: Cleaned) -> DataFrame:
 
 def countries_tables(cleaned: Cleaned) -> tuple[DataFrame, DataFrame, DataFrame]:
     """By country of the document (documents, scp, mcp, mcp_ratio, mean_cited); by author (appearances, documents); and (basis, n)."""
-    own = document_country(cleaned.shown)
+    own = document_country(cleaned._lists)
     first = own.where("country is not null").groupBy("country").agg(
         F.count("*").alias("documents"), F.count_if(F.size("countries") <= 1).alias("scp"), F.count_if(F.size("countries") > 1).alias("mcp"), F.avg("cited").alias("mean_cited")
     ).withColumn("mcp_ratio", F.col("mcp") / F.col("documents"))
-    signed = cleaned.signatures.where("country != ''").select("doc", "country")
-    lone = cleaned.shown.where(F.forall("authors", lambda a: F.coalesce(a["country"], F.lit("")) == "")).select(F.col("rec").alias("doc"), F.explode(F.array_distinct("countries")).alias("country"))
+    signed = cleaned._lists.select(F.col("rec").alias("doc"), F.explode("authors").alias("a")).select("doc", "a.country").where("country != ''")
+    lone = cleaned._lists.where(F.forall("authors", lambda a: F.coalesce(a["country"], F.lit("")) == "")).select(F.col("rec").alias("doc"), F.explode(F.array_distinct("countries")).alias("country"))
     seen = signed.unionAll(lone).groupBy("country").agg(F.count("*").alias("appearances"))
     second = cleaned.countries.groupBy("country").agg(F.count("*").alias("documents")).join(seen, "country", "left").select("country", F.coalesce("appearances", F.lit(0)).alias("appearances"), "documents")
     return first, second, own.groupBy("basis").agg(F.count("*").alias("n"))
@@ -351,7 +440,7 @@ def countries_tables(cleaned: Cleaned) -> tuple[DataFrame, DataFrame, DataFrame]
 
 def country_partners(cleaned: Cleaned) -> DataFrame:
     """country, documents, international, partners, collaborations, top (the partner of most documents), top_documents."""
-    lists = cleaned.shown.select(record_countries(cleaned.shown).alias("c")).where("size(c) > 0")
+    lists = cleaned._lists.select(record_countries(cleaned._lists).alias("c")).where("size(c) > 0")
     each = lists.select(F.explode("c").alias("country"), (F.size("c") > 1).alias("more"))
     docs = each.groupBy("country").agg(F.count("*").alias("documents"), F.count_if("more").alias("international"))
     pairs = lists.where("size(c) > 1").select("c", F.explode("c").alias("country")).select("country", F.explode("c").alias("other")).where("country != other")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.people import let
 from quillon.functions.text import fold
 from quillon.operators.components import connected_components
 
@@ -22,9 +23,9 @@ def author_key(last: Column, initials: Column) -> Column:
     return F.concat_ws("|", letters(last), letters(initials))
 
 
-def vote(rows: DataFrame, key: str, label: str) -> DataFrame:
-    """(key, label): the most frequent label, ties by its order."""
-    n = rows.where(F.col(label).isNotNull()).groupBy(key, label).agg(F.count("*").alias("n"))
+def vote(rows: DataFrame, key: str, label: str, times: Column | None = None) -> DataFrame:
+    """(key, label): the most frequent label, ties by its order. ``times``: how often a row counts (once)."""
+    n = rows.where(F.col(label).isNotNull()).groupBy(key, label).agg((F.count("*") if times is None else F.sum(times)).alias("n"))
     best = n.groupBy(key).agg(F.max("n").alias("n"))
     return n.join(best, [key, "n"]).groupBy(key).agg(F.min(label).alias(label))
 
@@ -65,14 +66,17 @@ def _has(part: Column, words: list[str]) -> Column:
 def institution_of(affiliation: Column) -> Column:
     """The part that names the institution: a top one that is no subunit, else a top one, a centre,
     the first part of three words without a digit, or the first that is no subunit."""
-    parts = F.filter(F.transform(F.split(affiliation, "[,;]"), lambda p: F.trim(p)), lambda p: p != "")
-    pick = lambda test: F.get(F.filter(parts, test), F.lit(0))
     digit = lambda p: p.rlike(r"\d")
-    first = F.get(parts, F.lit(0))
-    return F.coalesce(
-        pick(lambda p: _has(p, TOP_WORDS) & ~_has(p, UNIT_WORDS)), pick(lambda p: _has(p, TOP_WORDS)), pick(lambda p: _has(p, CENTRE_WORDS)),
-        F.when((F.size(F.split(first, r"\s+")) >= 3) & ~digit(first), first), pick(lambda p: ~_has(p, UNIT_WORDS) & ~digit(p)),
-    )
+
+    def of(parts: Column) -> Column:
+        pick = lambda test: F.get(F.filter(parts, test), F.lit(0))
+        first = F.get(parts, F.lit(0))
+        return F.coalesce(
+            pick(lambda p: _has(p, TOP_WORDS) & ~_has(p, UNIT_WORDS)), pick(lambda p: _has(p, TOP_WORDS)), pick(lambda p: _has(p, CENTRE_WORDS)),
+            F.when((F.size(F.split(first, r"\s+")) >= 3) & ~digit(first), first), pick(lambda p: ~_has(p, UNIT_WORDS) & ~digit(p)),
+        )
+
+    return let(F.filter(F.transform(F.split(affiliation, "[,;]"), lambda p: F.trim(p)), lambda p: p != ""), of)
 
 
 def source_groups(rows: DataFrame) -> DataFrame:

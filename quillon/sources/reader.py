@@ -7,8 +7,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillon.sources.parsers import decode, detect, finish, header_row, parse_delimited, parse_text, sniff_separator, table_reader
 from quillon.sources.scan import scan_tagged
@@ -22,8 +24,12 @@ CHUNK = 2000
 _HEAD = 1 << 16
 
 
-def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [f.name for f in RECORD]
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    schema = to_arrow_schema(RECORD)
+    return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
+
+
+def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
     for pdf in frames:
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
             file = path.rsplit("/", 1)[-1]
@@ -38,7 +44,7 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     rows = [blank(path=path, file=file, format=form, warning="empty")]
             except Exception as e:  # a bad file is a row of its own, it does not stop the job
                 rows = [blank(path=path, file=file, warning=f"readError:{type(e).__name__}")]
-            yield pd.DataFrame([[r[n] for n in names] for r in rows], columns=names)
+            yield _batch(rows)
 
 
 def read_bib(spark: SparkSession, path: str, skip_repeated: bool = False) -> DataFrame:
@@ -54,8 +60,12 @@ def read_bib(spark: SparkSession, path: str, skip_repeated: bool = False) -> Dat
     large = [r["path"] for r in files.where(F.col("length") > LARGE).select("path").collect()]  # contents are not read
     tables, tagged = _layouts(spark, large) if large else ({}, {})
     apart = [x for paths in tables.values() for x, _ in paths] + [x for paths in tagged.values() for x in paths]
-    whole = files.where((F.col("length") <= LARGE) | ~F.col("path").isin(apart)) if apart else files
-    found = whole.select("path", "content").mapInPandas(_parse, RECORD)
+    whole = files
+    if apart:  # a condition on the length alone, so that contents of other files are not read
+        whole = files.where(F.col("length") <= LARGE)
+        if rest := [x for x in large if x not in set(apart)]:
+            whole = whole.unionByName(spark.read.format("binaryFile").load([_literal(x) for x in rest]))
+    found = whole.select("path", "content").mapInArrow(lambda batches: _parse(b.to_pandas() for b in batches), RECORD)
     for (encoding, separator), paths in tables.items():
         found = found.unionByName(_read_tables(spark, [x for x, _ in paths], max(n for _, n in paths), encoding, separator))
     for form, paths in tagged.items():
@@ -68,30 +78,33 @@ def _literal(path: str) -> str:
     return re.sub(r"([*?{}\[\]\\])", r"\\\1", path)
 
 
-def _heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    size: dict[str, int] = {}
-    for pdf in frames:
-        kept = []
-        for url, line in zip(pdf["url"], pdf["line"], strict=True):
-            if size.get(url, 0) < _HEAD:
-                kept.append((url, size.get(url, 0), line))
-                size[url] = size.get(url, 0) + len(line) + 1
-        yield pd.DataFrame(kept, columns=["url", "at", "line"])
+def _head(spark: SparkSession, path: str, length: int) -> bytes:
+    """The whole lines among the first bytes of a file; more bytes if the first line is longer."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for size in (_HEAD, 16 * _HEAD):
+        stream = files.open(where)
+        try:
+            data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(length, size)))
+        finally:
+            stream.close()
+        if length <= size:
+            return data
+        if (end := data.rfind(b"\n")) >= 0:
+            return data[: end + 1]
+    return data
 
 
 def _layouts(spark: SparkSession, large: list[str]) -> tuple[dict[tuple[str, str], list[tuple[str, int]]], dict[str, list[str]]]:
     """By encoding and separator the tables among large files with their columns, and by format the tagged ones in UTF-8; from their first lines."""
     paths = [_literal(x) for x in large]
-    names = {r["url"]: r["path"] for r in spark.read.format("binaryFile").load(paths).select("path", F.col("_metadata.file_path").alias("url")).collect()}
-    lines = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("url"), F.col("_metadata.file_block_start").alias("block"), "value")
+    files = spark.read.format("binaryFile").load(paths).select("path", "length", F.col("_metadata.file_path").alias("url")).collect()
+    lines = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("url"), "value")
     sound = {r["url"]: r["ok"] for r in lines.groupBy("url").agg(F.bool_and(F.is_valid_utf8("value")).alias("ok")).collect()}
-    heads = defaultdict(list)
-    first = lines.where("block = 0").select("url", F.substring(F.col("value").cast("binary"), 1, 1 << 20).alias("line"))
-    for r in first.mapInPandas(_heads, "url string, at long, line binary").collect():
-        heads[r["url"]].append((r["at"], bytes(r["line"])))
     tables, tagged = defaultdict(list), defaultdict(list)
-    for url, path in names.items():
-        data = b"\n".join(line for _, line in sorted(heads[url]))
+    for path, length, url in files:
+        data = _head(spark, path, length)
         if data.startswith((b"\xff\xfe", b"\xfe\xff")):
             text, encoding = decode(data)
         else:
@@ -111,13 +124,11 @@ def _read_tables(spark: SparkSession, paths: list[str], width: int, encoding: st
     charset = {"utf-8": "UTF-8", "latin1": "ISO-8859-1", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE"}[encoding]
     rows = spark.read.schema(", ".join(f"{n} string" for n in names)).options(header=False, multiLine=True, sep=separator, quote='"', escape='"', encoding=charset).csv([_literal(x) for x in paths])
     url = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    return rows.select(F.url_decode(url).alias("path"), F.array(*names).alias("cells")).mapInPandas(_parse_rows, RECORD)
+    return rows.select(F.url_decode(url).alias("path"), F.array(*names).alias("cells")).mapInArrow(_parse_rows, RECORD)
 
 
-def _parse_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of tables in their order; a task has whole files, one after the other."""
-    names = [f.name for f in RECORD]
-    frame = lambda rows: pd.DataFrame([[r[n] for n in names] for r in rows], columns=names)
     path, first, read, position, dropped = None, [], None, 0, 0
 
     def ended() -> list[dict]:
@@ -125,8 +136,8 @@ def _parse_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return ([blank(**own, warning=f"dropped:{dropped}")] if dropped else []) + ([blank(**own, warning="empty")] if not dropped and not position else [])
 
     out: list[dict] = []
-    for pdf in frames:
-        for here, cells in zip(pdf["path"], pdf["cells"], strict=True):
+    for batch in batches:
+        for here, cells in zip(batch["path"].to_pylist(), batch["cells"].to_pylist(), strict=True):
             if here != path:
                 if path is not None:
                     out += ended()
@@ -148,10 +159,10 @@ def _parse_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 dropped += 1
             if len(out) >= CHUNK:
-                yield frame(out)
+                yield _batch(out)
                 out = []
     if path is not None:
-        yield frame(out + ended())
+        yield _batch(out + ended())
 
 
 def repeated_files(spark: SparkSession, path: str) -> DataFrame:
